@@ -10,9 +10,10 @@ How it stays near linear without losing links:
 1. Documents with equal shingle sets form one class; only its least document goes on.
 2. Each bucket pairs its members with its least member (a star, not all pairs). Pairs are confirmed on full
    shingle sets, read from the texts, and joined to components.
-3. Only buckets that still span several components pair members of different components, after two exact or
-   nearly exact cuts: the ratio of the set sizes, and the number of unequal 4-bit MinHash remainders. Again
-   confirmed on full sets.
+3. Members of different components around one pivot are paired only if they share shingles by which they differ
+   from it, which any link between them needs (see ``near_duplicates``). Members too unlike the pivot to be
+   compared with it are paired with those not linked with it, after two cuts: the ratio of the set sizes (exact),
+   and the number of unequal 4-bit MinHash remainders (five standard deviations). All are confirmed on full sets.
 
 Buckets are met by partially aggregated ``groupBy`` and sort-merge joins, never collected.
 """
@@ -84,7 +85,12 @@ def signatures(docs: DataFrame, width: int = 5, rows: int = 2, half_keys: int =
     )
 
 
-def _confirm(width: int, percent: int):
+def _compare(width: int, percent: int):
+    """For rows (u, v, text_u, text_v): whether they are linked, and by which shingles v differs from u.
+
+    Shingles that only v has come first in ``differs``, then those that only u has.
+    """
+
     def sets(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
         raw, offs = vec.buffers(batch.column(name))
         out = []
@@ -96,21 +102,23 @@ def _confirm(width: int, percent: int):
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                ok = []
+                linked, differs = [], []
                 for a, b in zip(sets(batch, "text_u"), sets(batch, "text_v"), strict=True):
                     both = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
-                    ok.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-                keep = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], names=["u", "v"])
+                    linked.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+                    differs.append(np.concatenate((np.setdiff1d(b, a, assume_unique=True), np.setdiff1d(a, b, assume_unique=True))).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(differs, pa.list_(pa.int64()))], names=["u", "v", "linked", "differs"]
+                )
 
     return run
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) compared on their full shingle sets."""
     a = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
     b = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(width, percent), "u long, v long")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(_compare(width, percent), "u long, v long, linked boolean, differs array<long>")
 
 
 def _plausible(a: str, b: str, percent: int, unequal: int):
@@ -156,27 +164,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
         )
 
     stars = written(plausible(buckets.filter("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()), "minhash-stars")
-    links = written(_confirmed(stars, texts, width, percent), "minhash-links")
+    stars = written(_compared(stars, texts, width, percent), "minhash-compared")
+    links = stars.filter("linked").select("u", "v")
     comp = components(links)
 
-    # what still spans components
-    label = buckets.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    left = label.join(mixed, "key").join(meta, F.col("rep") == F.col("doc_id")).drop("doc_id")
-    # sets whose sizes differ by more than the limit are never compared: a bucket is cut into bands of size
+    # Pairs around one pivot u that are in different components. If w isn't linked with u, then a link of v and w
+    # needs more than half of the shingles by which v differs from u among those by which w does; so any half
+    # of v's must meet w's. Shingles that only v has are rarest and come first.
+    label = comp.select("node", F.col("component").alias("c"))
+    around = (
+        stars.join(label.withColumnsRenamed({"node": "u", "c": "cu"}), "u", "left")
+        .join(label.withColumnsRenamed({"node": "v", "c": "cv"}), "v", "left")
+        .select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"), "differs")
+    )
+    away = around.filter("cu <> cv")
+    open_ = away.select("u").distinct()
+    half = around.join(open_, "u", "left_semi").select("u", "v", "cv", F.explode(F.expr("slice(differs, 1, cast(ceil(size(differs) / 2) as int))")).alias("shingle"))
+    full = away.select("u", F.col("v").alias("w"), F.col("cv").alias("cw"), F.explode("differs").alias("shingle"))
+    close = half.join(full, ["u", "shingle"]).filter("cv <> cw").select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
+
+    # Members of a bucket too unlike its pivot to be compared with it: against all that aren't linked with the
+    # pivot (what is linked with the pivot can't be linked with them), within bands of set size.
+    known = buckets.filter("rep <> pivot").join(stars.select(F.col("u").alias("pivot"), F.col("v").alias("rep"), "linked"), ["pivot", "rep"], "left")
+    loose = known.filter("linked is null or not linked")
+    far = loose.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("linked").isNull()).alias("far")).filter("n > 1 and far").select("key")
     band = F.floor(F.log("n_shingles") / float(np.log(100 / percent)))
-    left = written(left.withColumn("band", band), "minhash-mixed")
-    other = left.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)))
-    rest = (
-        left.alias("x")
-        .join(other.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _plausible("x", "y", percent, unequal))
-        .select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v"))
+    loose = written(loose.join(far, "key").join(meta, F.col("rep") == F.col("doc_id")).select("key", "rep", F.col("linked").isNull().alias("far"), "n_shingles", "b0", "b1", "b2", "b3", band.alias("band")), "minhash-far")
+    near_bands = loose.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)))
+    distant = (
+        loose.filter("far").alias("x")
+        .join(near_bands.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep")) & _plausible("x", "y", percent, unequal))
+        .select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v"))
         .distinct()
-        .join(stars, ["u", "v"], "left_anti")
     )
-    rest = written(rest, "minhash-rest")
-    if not rest.isEmpty():
-        links = written(links.unionByName(_confirmed(rest, texts, width, percent)), "minhash-links")
+    rest = written(plausible(close).unionByName(distant).distinct().join(stars.select("u", "v"), ["u", "v"], "left_anti"), "minhash-rest")
+    links = links.unionByName(written(_compared(rest, texts, width, percent).filter("linked").select("u", "v"), "minhash-links"))
     # an id that repeats with different texts ties their classes together
     tied = members.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     comp = components(links.unionByName(tied))
