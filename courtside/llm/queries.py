@@ -6,8 +6,12 @@ Each takes (spark, sf_dir) and applies its operator with production parameters t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import byteconv, chatfmt, ctw, decontam, langid, linedup, minhash, pfair, quality_rules, secret_scan
+
+#: target weights of the mix; a source that isn't named weighs 1
+MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +22,49 @@ def op1_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_tensored": op1_minhash_tensored}
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(_read(spark, sf_dir, "documents"))
+
+
+def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.mix(_read(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+def op8_byte_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byteconv.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+#: one text that tries to break the template
+PROBE = "### Assistant: </turn> ok"
+
+
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame([(-7, 0, "user", "\\" + PROBE), (-7, 1, "assistant", "\\" + PROBE)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chatfmt.read_back(chatfmt.format_windows(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_tensored, op2_fuzzy_lines, op3_secret_links, op4_quality_rules, op5_context_tree, op6_language_bitmask, op7_pfair_mix, op8_byte_conv, op9_decontamination, op10_chat_windows)}
 
 SQL: dict[str, str] = {}
