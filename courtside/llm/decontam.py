@@ -103,7 +103,7 @@ def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(points[s[a]]), int(points[e[b - 1]])) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-def _scan(parts, mark: bytes):
+def _scan(parts, mark: bytes, columns: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(parts, mark)
         for whole in batches:
@@ -117,21 +117,21 @@ def _scan(parts, mark: bytes):
                     out["items"].append(sorted(items))
                     out["hit_spans"].append([] if hit is None else [{"start": a, "end": b} for a, b in original_spans(text, hit)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())),
+                    [*(batch.column(c) for c in columns), pa.array(out["n_words"], pa.int64()), pa.array(out["n_hit"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())),
                      pa.array(out["hit_spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    names=["doc_id", "text", "n_words", "n_hit", "items", "hit_spans"],
+                    names=[*columns, "n_words", "n_hit", "items", "hit_spans"],
                 )
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_mb: int = 16) -> DataFrame:
-    """doc_id, text, n_words, n_hit, items (sorted, as text), hit_spans (code points of the original).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_mb: int = 16, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``columns``, n_words, n_hit, items (sorted, as text), hit_spans (code points of the original).
 
     A word is hit if it lies in an occurrence of a window: ``width`` consecutive words of an item, or the whole
     item if it has fewer. Null and empty texts have no words. Items without words have no window; items with a
     null id are ignored; repeated items count once. Repeated documents give a row each. An empty benchmark hits
-    nothing. Other columns are ignored.
+    nothing. Other columns pass if named; text must be.
 
     The benchmark is a test set, small against any corpus; the size of its distinct windows is measured and
     bounds what one automaton holds. Above 64 automata (a gigabyte of windows) this raises rather than overload.
@@ -145,9 +145,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, m
     for row in pairs.orderBy("pattern").toLocalIterator():
         parts[int(hashlib.md5(row.pattern.encode()).hexdigest()[:8], 16) % n_parts].append((row.pattern, tuple(row["items"])))
     mark = hashlib.sha256(repr(parts).encode()).digest()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _scan(parts, mark), "doc_id long, text string, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,end:long>>"
-    )
+    own = docs.select(*columns)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in own.dtypes)
+    return own.mapInArrow(_scan(parts, mark, columns), f"{kinds}, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,end:long>>")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
