@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: fixed values: generation suffixes
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """NFKD without combining marks. Spark has no built-in for it; the only Python in this module."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
