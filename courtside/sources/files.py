@@ -14,8 +14,6 @@ from ..schemas import CONTRACT_YEAR
 #: fixed values: three codes that the contract export spells its own way
 TEAM_CODES = {"BRK": "BKN", "CHO": "CHA", "PHO": "PHX"}
 SEASONS = ("2026-27", "2027-28", "2028-29", "2029-30", "2030-31", "2031-32")
-#: fixed values: columns of the exports
-LEADERBOARD = ("player_id", "player", "off_rapm", "def_rapm", "total_rapm", "possessions", "value", "wins")
 
 
 def read_contract_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -107,8 +105,8 @@ def write_one_csv(df: DataFrame, path: str, order_by: list | None = None) -> Non
 
 def leaderboard_rows(ratings: DataFrame, players: DataFrame) -> DataFrame:
     """Ranked export: unnamed ids go, order by rating, then id."""
-    named = players.filter(F.coalesce(F.trim("full_name"), F.lit("")) != "").select(F.col("nba_player_id").alias("player_id"), F.col("full_name").alias("player"))
-    return ratings.join(named, "player_id").orderBy(F.desc("total_rapm"), "player_id")
+    named = players.filter(F.coalesce(F.trim("full_name"), F.lit("")) != "").select(F.col("nba_player_id").alias("player_id"), F.col("full_name").alias("name"))
+    return ratings.join(named, "player_id").orderBy(F.desc("total"), "player_id")
 
 
 def write_meta(path: str, **values) -> None:
