@@ -44,7 +44,7 @@ def to_contract_years(contracts: DataFrame, seasons: tuple[str, ...]) -> DataFra
     return years.select(
         short_hash("bbref_slug", "team_abbrev").alias("contract_id"), "y.season", "bbref_slug", "player", "team_abbrev", (F.col("i") + 1).cast("short").alias("season_index"), F.col("y.cap_hit").alias("cap_hit"),
         F.when(paid, F.col("y.cap_hit")).otherwise(F.lit(0).cast("long")).alias("guaranteed"), paid.alias("is_guaranteed"), F.lit(None).cast("string").alias("option_type"), (~F.col("clean") | F.col("multi")).alias("needs_review"),
-        F.when(F.col("multi"), "multi_team_or_dead_money").when(~F.col("clean"), "partial_or_option_guarantee").alias("review_reason"),
+        F.when(F.col("multi"), "multi_team_dead_money").when(~F.col("clean"), "partial_guarantee").alias("review_reason"),
     )
 
 
