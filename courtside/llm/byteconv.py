@@ -25,9 +25,12 @@ LAGS = range(3, 25)
 
 
 def planes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text padded with zero bytes to whole half chunks (one at least): bytes, recurrence, half chunks per row."""
+    """Each text padded with zero bytes to whole half chunks: bytes, recurrence, half chunks per row.
+
+    The padding is longer than any lag and filter, so rows don't see each other.
+    """
     n = np.diff(offs)
-    halves = np.maximum(1, -(-n // HALF))
+    halves = -(-(n + LAGS[-1] + 4) // HALF)
     start = np.concatenate(([0], np.cumsum(halves * HALF)))
     out = np.zeros(start[-1] + TAPS, np.uint8)
     out[np.arange(len(b)) + np.repeat(start[:-1] - offs[:-1], n)] = b
@@ -37,9 +40,6 @@ def planes(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     for lag in LAGS:
         again[lag:] |= g[lag:] == g[:-lag]
     again &= g != 0
-    # a text's first bytes don't recur from its predecessor
-    for s in start[:-1]:
-        again[s : s + 4] = False
     return out, again[: start[-1]].astype(np.float32), halves
 
 
@@ -57,7 +57,10 @@ class Net:
         at = np.arange(0, int(halves.sum()) * HALF, STRIDE)
         a = np.repeat(p["b0"][None], len(at), 0)
         taps = [x[at + k] for k in range(TAPS)]
+        ends = np.cumsum(halves) * HALF
         for k in range(TAPS):
+            for back in range(STRIDE, k + 1, STRIDE):  # what a row's last places would read of the next row
+                taps[k][(ends - back) // STRIDE] = 0
             a += p["table"][k].take(taps[k], 0)
         a += again[at, None] * p["recur"]
         np.maximum(a, 0, out=a)
