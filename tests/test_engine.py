@@ -65,7 +65,7 @@ def test_possessions():
 
 
 def test_sub_resolution(spark):
-    rows = [("g", 1, 0, "Shot", None, 7, 11, "Jokić", True), ("g", 2, 1, "Substitution", "SUB: Braun FOR Jokic", 7, 11, "Jokić", True), ("g", 3, 2, "Shot", None, 7, 12, "C. Braun", True)]
+    rows = [("g", 1, 0, "Shot", None, 7, 11, "Jokić", True), ("g", 2, 1, "Substitution", "SUB: C. Braun FOR Jokic", 7, 11, "Jokić", True), ("g", 3, 2, "Shot", None, 7, 12, "Braun", True)]
     a = spark.createDataFrame(rows, "game_id string, event_num int, pos int, event_type string, description string, team_id long, person_id long, player_name string, reliable boolean")
     assert identity.resolve_incoming(a).first().player2_id == 12
 
@@ -79,7 +79,7 @@ def _league(n_players=24, games=60, seed=3):
             p = rng.permutation(n_players)[:10]
             w = float(rng.integers(5, 15))
             y = 110 + off[p[:5]].sum() - de[p[5:]].sum() + rng.normal(0, 8)
-            rows.append((f"g{g}", [int(x) for x in p[:5]], [int(x) for x in p[5:]], y * w / 100, w))
+            rows.append((f"g{g}", [int(x) for x in p[:5]], [int(x) for x in p[5:]], float(y * w / 100), w))
     return rows, off, de
 
 
