@@ -10,8 +10,8 @@ How it stays near linear without losing links:
 1. Documents with equal shingle sets form one class; only its least document goes on.
 2. Each bucket pairs its members with its least member (a star, not all pairs). Pairs are confirmed on full
    shingle sets, read from the texts, and joined to components.
-3. Members of different components around one pivot are paired only if they share shingles by which they differ
-   from it, which any link between them needs (see ``near_duplicates``). Members too unlike the pivot to be
+3. Members of different components around one pivot are paired only if they share one of the rarest shingles by
+   which they differ from it, which any link between them needs (a prefix filter, see ``near_duplicates``). Members too unlike the pivot to be
    compared with it are paired with those not linked with it, after two cuts: the ratio of the set sizes (exact),
    and the number of unequal 4-bit MinHash remainders (five standard deviations). All are confirmed on full sets.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -86,10 +86,7 @@ def signatures(docs: DataFrame, width: int = 5, rows: int = 2, half_keys: int =
 
 
 def _compare(width: int, percent: int):
-    """For rows (u, v, text_u, text_v): whether they are linked, and by which shingles v differs from u.
-
-    Shingles that only v has come first in ``differs``, then those that only u has.
-    """
+    """For rows (u, v, text_u, text_v): whether they are linked, and by which shingles v differs from u."""
 
     def sets(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
         raw, offs = vec.buffers(batch.column(name))
@@ -106,7 +103,7 @@ def _compare(width: int, percent: int):
                 for a, b in zip(sets(batch, "text_u"), sets(batch, "text_v"), strict=True):
                     both = len(np.intersect1d(a, b, assume_unique=True)) if len(a) and len(b) else 0
                     linked.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-                    differs.append(np.concatenate((np.setdiff1d(b, a, assume_unique=True), np.setdiff1d(a, b, assume_unique=True))).view(np.int64))
+                    differs.append(np.setxor1d(a, b, assume_unique=True).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(differs, pa.list_(pa.int64()))], names=["u", "v", "linked", "differs"]
                 )
@@ -168,20 +165,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
     links = stars.filter("linked").select("u", "v")
     comp = components(links)
 
-    # Pairs around one pivot u that are in different components. If w isn't linked with u, then a link of v and w
-    # needs more than half of the shingles by which v differs from u among those by which w does; so any half
-    # of v's must meet w's. Shingles that only v has are rarest and come first.
+    # Pairs around one pivot u that are in different components. D(v) are the shingles by which v differs from u;
+    # v and w differ by D(v) ^ D(w). At a link they differ by at most c * (n(v) + n(w)), c being
+    # (100 - percent) / (100 + percent), and by at most n * (100 - percent) / percent of either; w, not linked with u,
+    # differs from u by more than c * (n(u) + n(w)). So D(v) and D(w) share at least ``need`` shingles, and under any
+    # one order of shingles the first size - need + 1 of both meet (prefix filter). The order is rarest first around u.
     label = comp.select("node", F.col("component").alias("c"))
+    sizes = reps.select("doc_id", "n_shingles")
     around = (
         stars.join(label.withColumnsRenamed({"node": "u", "c": "cu"}), "u", "left")
         .join(label.withColumnsRenamed({"node": "v", "c": "cv"}), "v", "left")
-        .select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"), "differs")
+        .join(sizes.withColumnsRenamed({"doc_id": "u", "n_shingles": "nu"}), "u")
+        .join(sizes.withColumnsRenamed({"doc_id": "v", "n_shingles": "n"}), "v")
+        .select("u", "v", F.coalesce("cv", "v").alias("cv"), (F.coalesce("cu", "u") != F.coalesce("cv", "v")).alias("away"), "nu", "n", F.size("differs").cast("long").alias("d"), "differs")
+    )
+    open_ = around.filter("away").select("u").distinct()
+    each = around.join(open_, "u", "left_semi").withColumn("shingle", F.explode("differs")).drop("differs")
+    often = each.groupBy("u", "shingle").agg(F.count("*").alias("often"), F.bool_or("away").alias("met")).filter("often > 1 and met")
+    few = f"d - floor(n * {100 - percent} / {percent})"
+    half = f"floor((d - {100 - percent} * greatest(n - nu, 0) / {100 + percent}) / 2) + 1"
+    # shingles that no other member has go first: they only shorten the prefix
+    ranked = each.join(often, ["u", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("u", "v").orderBy("often", "shingle")))
+    ranked = ranked.withColumn("alone", F.col("d") - F.count("*").over(Window.partitionBy("u", "v")))
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("alone")).select(
+        "u", "v", "cv", "away", "n", "d", "shingle", F.expr(f"rank <= d - greatest(1, {few}, {half}) + 1").alias("as_v"), F.expr(f"away and rank <= d - greatest(1, {few}) + 1").alias("as_w")
+    )
+    ranked = written(ranked.filter("as_v or as_w"), "minhash-around")
+    full = ranked.filter("as_w").select("u", F.col("v").alias("w"), F.col("cv").alias("cw"), F.col("n").alias("nw"), F.col("d").alias("dw"), "shingle")
+    close = (
+        ranked.filter("as_v").join(full, ["u", "shingle"])
+        .filter((F.col("cv") != F.col("cw")) & ((100 + percent) * F.abs(F.col("d") - F.col("dw")) <= (100 - percent) * (F.col("n") + F.col("nw"))))
+        .select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
     )
-    away = around.filter("cu <> cv")
-    open_ = away.select("u").distinct()
-    half = around.join(open_, "u", "left_semi").select("u", "v", "cv", F.explode(F.expr("slice(differs, 1, cast(ceil(size(differs) / 2) as int))")).alias("shingle"))
-    full = away.select("u", F.col("v").alias("w"), F.col("cv").alias("cw"), F.explode("differs").alias("shingle"))
-    close = half.join(full, ["u", "shingle"]).filter("cv <> cw").select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
 
     # Members of a bucket too unlike its pivot to be compared with it: against all that aren't linked with the
     # pivot (what is linked with the pivot can't be linked with them), within bands of set size.
