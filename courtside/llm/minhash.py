@@ -11,9 +11,10 @@ How it stays near linear without losing links:
 2. Each bucket pairs its members with its least member (a star, not all pairs). Pairs are confirmed on full
    shingle sets, read from the texts, and joined to components.
 3. Members of different components around one pivot are paired only if they share one of the rarest shingles by
-   which they differ from it, which any link between them needs (a prefix filter, see ``near_duplicates``). Members too unlike the pivot to be
-   compared with it are paired with those not linked with it, after two cuts: the ratio of the set sizes (exact),
-   and the number of unequal 4-bit MinHash remainders (five standard deviations). All are confirmed on full sets.
+   which they differ from it, which any link between them needs (a prefix filter, see
+   ``near_duplicates``). Members too unlike the pivot to be compared with it are paired with those not linked with
+   it by a prefix filter on their own sets. Pairs pass two cuts: the ratio of the set sizes (exact), and the number
+   of unequal 4-bit MinHash remainders (over four standard deviations). All are confirmed on full sets.
 
 Buckets are met by partially aggregated ``groupBy`` and sort-merge joins, never collected.
 """
@@ -33,7 +34,7 @@ from .shared import written
 
 U64 = np.uint64
 #: of ``half_keys * 2 * rows`` 4-bit remainders, a linked pair (15 % unequal sets) has 14 % unequal on average;
-#: more than this share is over five standard deviations away
+#: more than this share is over four standard deviations away
 UNEQUAL_SHARE = 0.5
 
 
@@ -85,6 +86,21 @@ def signatures(docs: DataFrame, width: int = 5, rows: int = 2, half_keys: int =
     )
 
 
+def _shingles(width: int):
+    """(rep, text) -> one row for each distinct shingle of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = vec.buffers(batch.column("text"))
+            for i, j in vec.slices(offs):
+                own = vec.distinct_shingles(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
+                take = pa.array(np.repeat(np.arange(j - i), [len(x) for x in own]))
+                every = np.concatenate([np.asarray(x, U64) for x in own]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i).take(take), pa.array(every)], names=["rep", "shingle"])
+
+    return run
+
+
 def _compare(width: int, percent: int):
     """For rows (u, v, text_u, text_v): whether they are linked, and by which shingles v differs from u."""
 
@@ -198,21 +214,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
         .select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
     )
 
-    # Members of a bucket too unlike its pivot to be compared with it: against all that aren't linked with the
-    # pivot (what is linked with the pivot can't be linked with them), within bands of set size.
+    # Members of a bucket too unlike its pivot to be compared with it, against all that aren't linked with the pivot
+    # (what is linked with the pivot can't be linked with them). A link needs percent % of the larger set in common,
+    # so under one order of shingles the first size - percent % + 1 of both meet. Shingles seen in one component only
+    # go first (they link nothing new), then the rarest: what many share is not met. Two that were compared with the
+    # same pivot (there are at most half_keys ** 2 of them) have been paired around it above, so they are left out.
     known = buckets.filter("rep <> pivot").join(stars.select(F.col("u").alias("pivot"), F.col("v").alias("rep"), "linked"), ["pivot", "rep"], "left")
-    loose = known.filter("linked is null or not linked")
-    far = loose.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("linked").isNull()).alias("far")).filter("n > 1 and far").select("key")
-    band = F.floor(F.log("n_shingles") / float(np.log(100 / percent)))
-    loose = written(loose.join(far, "key").join(meta, F.col("rep") == F.col("doc_id")).select("key", "rep", F.col("linked").isNull().alias("far"), "n_shingles", "b0", "b1", "b2", "b3", band.alias("band")), "minhash-far")
-    near_bands = loose.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)))
+    loose = known.filter("linked is null or not linked").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    far = loose.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.bool_or(F.col("linked").isNull()).alias("far")).filter("c0 <> c1 and far").select("key")
+    strange = loose.join(far, "key").groupBy("rep", "c").agg(F.bool_or(F.col("linked").isNull()).alias("far")).join(sizes.withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"}), "rep")
+    met_with = stars.groupBy(F.col("v").alias("rep")).agg(F.collect_set("u").alias("pivots"))
+    strange = strange.join(met_with, "rep", "left").withColumn("pivots", F.array_append(F.coalesce("pivots", F.array().cast("array<long>")), F.col("rep")))
+    strange = written(strange.withColumn("p", F.array_min("pivots")), "minhash-far")
+    own = strange.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "text").mapInArrow(_shingles(width), "rep long, shingle long").join(strange.drop("pivots"), "rep")
+    own = written(own, "minhash-far-shingles")
+    often = own.groupBy("shingle").agg(F.count("*").alias("often"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("p").alias("p0"), F.max("p").alias("p1"), F.bool_or("far").alias("met")).filter("c0 <> c1 and p0 <> p1 and met").select("shingle", "often")
+    first = own.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("often", "shingle")))
+    first = first.withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("rep")))
+    first = written(first.filter(F.expr(f"rank + alone <= n - ({percent} * n + 99) div 100 + 1")).select("rep", "shingle").join(strange, "rep"), "minhash-far-prefixes")
     distant = (
-        loose.filter("far").alias("x")
-        .join(near_bands.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") != F.col("y.rep")) & _plausible("x", "y", percent, unequal))
+        first.filter("far").alias("x").join(first.alias("y"), "shingle")
+        .filter((F.col("x.c") != F.col("y.c")) & ~F.arrays_overlap("x.pivots", "y.pivots") & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
         .select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v"))
         .distinct()
     )
-    rest = written(plausible(close).unionByName(distant).distinct().join(stars.select("u", "v"), ["u", "v"], "left_anti"), "minhash-rest")
+    rest = written(plausible(close.unionByName(distant).distinct()).join(stars.select("u", "v"), ["u", "v"], "left_anti"), "minhash-rest")
     links = links.unionByName(written(_compared(rest, texts, width, percent).filter("linked").select("u", "v"), "minhash-links"))
     # an id that repeats with different texts ties their classes together
     tied = members.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
