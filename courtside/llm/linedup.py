@@ -2,10 +2,12 @@
 
 1. Lines are normalised (A-Z lower-cased; words of digits, letters and non-ASCII bytes, single spaces). Lines of at
    least ``min_words`` words take part. Equal normalised lines form one class, found by a 64-bit hash.
-2. Classes of at least ``fuzzy_words`` words get a 125-bit SimHash of their words and word pairs, cut into five
-   blocks of 25 bits. By the pigeonhole principle lines up to four bits apart share a block (most of those twice
-   as far do as well). Blocks are joined as a star around the least class, then what the star left unlinked is
-   joined with all of its block, both filtered by length and Hamming distance.
+2. Classes of at least ``fuzzy_words`` words meet by a prefix filter that loses no pair: one word edit changes at
+   most ``GRAM`` of a line's runs of ``GRAM`` words, so lines within the allowed edits share a known number of runs,
+   and under one order of runs (by hash) the first few of both (``prefixes``) have one in common. Blocks of one run
+   are joined as a star around the least class, then what the star left unlinked is joined with all of its block.
+   Both are filtered by what any link must meet: the numbers of words, and the parities of the words in 256 bins,
+   of which an edit changes two at most.
 3. Candidates are verified by edit similarity over their normalised words: ``1 - levenshtein / more words``.
 4. Verified links and classes form connected groups; the first occurrence by (doc_id, line) of each group stays.
 
@@ -25,19 +27,49 @@ from pyspark.sql import functions as F
 from . import vec
 from .components import components
 from .decontam import normalise
-from .shared import written
+from .shared import drop_written, written
 
 U64 = np.uint64
-BLOCKS, BLOCK_BITS = 5, 25
+GRAM = 3
+#: a run's hash, below its line's number in one sort key
+KEY_BITS, KEY_BYTES = 40, 5
+#: words of lines for each part of the keys, which one task sorts
+PART_WORDS = 8_000_000
 
 
-def lines_of(b: np.ndarray, offs: np.ndarray, fuzzy_words: int):
-    """Of every line with a word: row, number in its row, hash, words, bytes, two SimHash words (0 if too short)."""
+def edits(n, similarity: float):
+    """Word edits allowed where the longer line has ``n`` words."""
+    return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
+def gram_width(similarity: float, fuzzy_words: int) -> int:
+    """The widest runs, up to ``GRAM``, of which lines of any length share one at least."""
+    for q in range(GRAM, 1, -1):
+        n = np.arange(max(q, fuzzy_words), max(q, fuzzy_words) + 1000)
+        if fuzzy_words >= q and (n - q + 1 - q * edits(n, similarity)).min() > 0 and 1 > q * (1 - similarity):
+            return q
+    return 1
+
+
+def prefixes(n: np.ndarray, similarity: float, q: int) -> np.ndarray:
+    """How many of its least runs a line of ``n`` words shows: all but those that any line near it must share, and one."""
+    if not len(n):
+        return n
+    m = np.arange(int(n.max() / similarity) + 2)
+    need = m - q + 1 - q * edits(m, similarity)
+    # the longer of the two has n words or more, and edits(longer) more than n at most: need falls by less than q a step
+    own, which = np.unique(n, return_inverse=True)
+    return n - q + 2 - np.array([need[k : int(k / similarity) + 2].min() for k in own])[which]
+
+
+def lines_of(b: np.ndarray, offs: np.ndarray, fuzzy_words: int, similarity: float = 0.85):
+    """Of every line with a word: row, number in its row, hash, words, four words of parities, and the keys by which it
+    meets others with their offsets (zeros and no keys if too short)."""
     b = vec.LOWER[b]
     s, e, rows = vec.word_spans(b, offs, vec.ALNUM)
     if not len(s):
         z = np.zeros(0, np.int64)
-        return z, z, z.view(U64), z, z, z.view(U64), z.view(U64)
+        return z, z, z.view(U64), z, [z.view(U64)] * 4, z.view(U64), np.zeros(1, np.int64)
     breaks = np.concatenate(([0], np.cumsum(b == 10)))
     line = breaks[s]  # lines before it in the slice
     number = line - breaks[offs[rows]]
@@ -47,42 +79,111 @@ def lines_of(b: np.ndarray, offs: np.ndarray, fuzzy_words: int):
     up, down = vec._powers(len(w))
     c = np.concatenate((np.zeros(1, U64), np.cumsum(w * up[: len(w)], dtype=U64)))
     h = vec.mix((c[first + n] - c[first]) * down[first] + n.astype(U64))
-    size = np.add.reduceat(e - s + 1, first) - 1
-    a1, a2 = np.zeros(len(first), U64), np.zeros(len(first), U64)
+    parity = [np.zeros(len(first), U64) for _ in range(4)]
+    keys, n_keys = np.zeros(0, U64), np.zeros(len(first), np.int64)
     far = np.flatnonzero(n >= fuzzy_words)
     if len(far):
-        keep = np.repeat(n >= fuzzy_words, n)
-        x = w[keep]
-        pair = vec.mix(x * U64(3) + np.concatenate((x[1:], [U64(0)])))
-        cut = np.concatenate(([0], np.cumsum(n[far])[:-1]))
-        pair[np.concatenate((cut[1:], [len(x)])) - 1] = x[np.concatenate((cut[1:], [len(x)])) - 1]
-        for k, out in enumerate((a1, a2)):
-            total = np.zeros((len(far), 64), np.int32)
-            for f in (x, pair):
-                bits = np.unpackbits(vec.mix(f ^ vec.SEQ[40 + k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                total += np.add.reduceat(bits, cut, 0, dtype=np.int32)
-            ones = total > n[far, None]
-            out[far] = np.packbits(ones, axis=1, bitorder="little").view(U64)[:, 0]
-    return rows[first], number[first], h, n, size, a1, a2
-
-
-def _all_lines(min_words: int, fuzzy_words: int):
+        x, m = w[np.repeat(n >= fuzzy_words, n)], n[far]
+        cut = np.concatenate(([0], np.cumsum(m)[:-1]))
+        bit = U64(1) << ((x >> U64(56)) & U64(63))
+        for k, out in enumerate(parity):
+            out[far] = np.bitwise_xor.reduceat(np.where(x >> U64(62) == U64(k), bit, U64(0)), cut)
+        q = gram_width(similarity, fuzzy_words)
+        own = np.repeat(np.arange(len(far)).astype(U64), m)
+        g = np.zeros(len(x) - q + 1, U64)
+        for k in range(q):
+            g += x[k : len(x) - q + 1 + k] * vec.SEQ[k]
+        inside = own[: len(g)] == own[q - 1 :]
+        g, own, mask = vec.mix(g[inside] + U64(q)), own[: len(g)][inside] << U64(KEY_BITS), U64((1 << KEY_BITS) - 1)
+        packed = np.sort(own | (g & mask))
+        # a run's repeats in its line are runs of their own: its first, its second ...
+        start = np.concatenate(([True], packed[1:] != packed[:-1]))
+        at = np.arange(len(packed))
+        nth = at - np.maximum.accumulate(np.where(start, at, 0))
+        if nth.any():
+            packed = np.sort(np.where(nth > 0, (packed & ~mask) | (vec.mix((packed & mask) + nth.astype(U64) * vec.STEP) & mask), packed))
+        runs, shown = m - q + 1, prefixes(m, similarity, q)
+        begin = np.concatenate(([0], np.cumsum(runs)[:-1]))
+        keys = packed[at - np.repeat(begin, runs) < np.repeat(shown, runs)] & mask
+        n_keys[far] = np.minimum(runs, shown)
+    return rows[first], number[first], h, n, parity, keys, np.concatenate(([0], np.cumsum(n_keys)))
+
+
+def _all_lines(min_words: int, fuzzy_words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = vec.buffers(batch.column("text"))
             for i, j in vec.slices(offs, 1 << 19):
-                row, number, h, n, size, a1, a2 = lines_of(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], fuzzy_words)
+                row, number, h, n, parity, keys, cut = lines_of(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], fuzzy_words, similarity)
                 ok = n >= min_words
                 take = pa.array(row[ok])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i).take(take), batch.column("mark").slice(i, j - i).take(take), pa.array(number[ok].astype(np.int64)), pa.array(h[ok].view(np.int64)), pa.array((n[ok] >= fuzzy_words)),
-                     pa.array(size[ok].astype(np.int64)), pa.array(a1[ok].view(np.int64)), pa.array(a2[ok].view(np.int64))],
-                    names=["doc_id", "mark", "line", "h", "fuzzy", "size", "s0", "s1"],
+                    [batch.column("doc_id").slice(i, j - i).take(take), batch.column("mark").slice(i, j - i).take(take), pa.array(number[ok].astype(np.int64)), pa.array(h[ok].view(np.int64)), pa.array((n[ok] >= fuzzy_words)), pa.array(n[ok].astype(np.int64))]
+                    + [pa.array(p[ok].view(np.int64)) for p in parity]
+                    + [pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer((cut * KEY_BYTES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]))]).filter(pa.array(ok))],
+                    names=["doc_id", "mark", "line", "h", "fuzzy", "n", "p0", "p1", "p2", "p3", "keys"],
                 )
 
     return run
 
 
+def _dealt(part_bits: int):
+    """(h, keys) -> parts of the keys, many keys in a row: the low 32 bits of each key, then each h."""
+    shift = U64(KEY_BITS - part_bits)
+
+    def flush(held):
+        k, h = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        order = np.argsort(k)
+        k, h = k[order], h[order]
+        cut = np.searchsorted(k >> shift, np.arange((1 << part_bits) + 1).astype(U64))
+        low = k.astype(np.uint32)
+        some = np.flatnonzero(np.diff(cut))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([low[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), pa.array([h[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "low", "hs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            raw = b"".join(batch.column("keys").to_pylist())
+            k = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+            k[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+            n = np.diff(np.frombuffer(batch.column("keys").buffers()[1], np.int32)[batch.column("keys").offset :][: batch.num_rows + 1]) // KEY_BYTES
+            held.append((k.view(U64)[:, 0], np.repeat(batch.column("h").to_numpy(), n)))
+            size += len(k)
+            if size > 1_000_000:
+                yield from flush(held)
+                held, size = [], 0
+        if size:
+            yield from flush(held)
+
+    return run
+
+
+def _met(part_bits: int):
+    """Of one part: (key, h, pivot) of each key that several lines show, pivot being the least of them."""
+    top = KEY_BITS - part_bits
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        k = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint32)
+        h = np.frombuffer(b"".join(table.column("hs").to_pylist()), np.int64)
+        order = np.argsort(k)
+        x = k[order]
+        same = x[1:] == x[:-1]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        k, h = k[order], h[order]
+        order = np.lexsort((h, k))
+        k, h = k[order], h[order]
+        # a line that is repeated shows its keys each time
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))[: len(k)]
+        k, h = k[new], h[new]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
+        n = np.diff(np.concatenate((first, [len(k)])))
+        pivot, n = np.repeat(h[first], n), np.repeat(n, n)
+        full = ((key[0].as_py() << top) & ~0xFFFFFFFF) | k.astype(np.int64)
+        return pa.table({"key": full[n > 1], "h": h[n > 1], "pivot": pivot[n > 1]})
+
+    return run
+
+
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Normalised lines as strings of one character for each word, so that an edit is an edit of a word."""
     for whole in batches:
@@ -116,28 +217,27 @@ def _remove(columns):
     return run
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 8, similarity: float = 0.85, hamming: int = 32) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 8, similarity: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, mark, line, h) and, for lines tied by verified links, (node: h, component: group)."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    lines = written(texts.mapInArrow(_all_lines(min_words, fuzzy_words), "doc_id long, mark long, line long, h long, fuzzy boolean, size long, s0 long, s1 long"), "line-hashes")
-    one = lines.filter("fuzzy").groupBy("h").agg(F.min(F.struct("doc_id", "mark", "line")).alias("at"), F.first("size").alias("size"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    kinds = "doc_id long, mark long, line long, h long, fuzzy boolean, n long, p0 long, p1 long, p2 long, p3 long, keys binary"
+    every = written(texts.mapInArrow(_all_lines(min_words, fuzzy_words, similarity), kinds), "line-keys")
+    parities = ["p0", "p1", "p2", "p3"]
+    one = every.filter("fuzzy").groupBy("h").agg(F.min(F.struct("doc_id", "mark", "line")).alias("at"), *(F.first(c).alias(c) for c in ("n", *parities)))
     one = written(one, "line-classes")
-    mask = (1 << BLOCK_BITS) - 1
-    block = [F.col("s0").bitwiseAND(mask), F.shiftrightunsigned("s0", 25).bitwiseAND(mask), F.shiftrightunsigned("s0", 50).bitwiseOR(F.shiftleft(F.col("s1").bitwiseAND((1 << 11) - 1), 14)), F.shiftrightunsigned("s1", 11).bitwiseAND(mask), F.shiftrightunsigned("s1", 36).bitwiseAND(mask)]
-    keys = F.array(*(x + (k << BLOCK_BITS) for k, x in enumerate(block)))
-    # the band of the line's size rides in the key's upper half
-    band = F.least(F.floor(F.log(F.col("size") + 1) / float(np.log(1 / similarity))), F.lit(61)).cast("long")
-    low = (1 << 32) - 1
-    rows = one.select("h", F.explode(F.transform(keys, lambda k: k + F.shiftleft(band, 32))).alias("packed")).select("h", F.col("packed").bitwiseAND(low).alias("key"), F.shiftright("packed", 32).alias("band"))
-    shared = rows.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("most")).filter("pivot <> most").select("key", "pivot")
-    buckets = written(rows.join(shared, "key"), "line-blocks")
-    meta = one.select("h", "size", "s0", "s1")
+    far = every.filter("fuzzy")
+    part_bits = max(KEY_BITS - 32, int(far.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / PART_WORDS).bit_length())
+    dealt = far.select("h", "keys").mapInArrow(_dealt(part_bits), "part long, low binary, hs binary")
+    buckets = written(dealt.groupBy("part").applyInArrow(_met(part_bits), "key long, h long, pivot long"), "line-blocks")
+    lines = written(every.select("doc_id", "mark", "line", "h"), "line-hashes")
+    drop_written(every)
+    meta = one.select("h", "n", *parities)
 
     def close(a: str, b: str):
-        x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
-        bits = F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
-        return (F.least(x, y) >= similarity * F.greatest(x, y)) & (bits <= hamming)
+        x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+        bits = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in parities), F.lit(0))
+        allowed = F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
+        return (F.greatest(x, y) - F.least(x, y) <= allowed) & (bits <= 2 * allowed)
 
     def verified(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
@@ -152,14 +252,12 @@ def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 8, simil
     star = written(star.join(meta.alias("x"), F.col("u") == F.col("x.h")).join(meta.alias("y"), F.col("v") == F.col("y.h")).filter(close("x", "y")).select("u", "v"), "line-stars")
     links = verified(star)
     comp = components(links)
-    # a block whose members, the pivot aside, span components and hold two of like size
-    label = buckets.filter("h <> pivot").join(comp, F.col("h") == F.col("node"), "left").select("key", "band", "h", F.coalesce("component", "h").alias("c"))
-    by_band = label.groupBy("key", "band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
-    mixed = by_band.groupBy("key").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.max("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, cast(band as int))")).alias("bands"))
-    mixed = mixed.filter((F.col("c0") != F.col("c1")) & ((F.col("n") > 1) | (F.col("bands").bitwiseAND(F.shiftleft("bands", 1)) != 0))).select("key")
+    # a block whose members, the pivot aside, span components
+    label = buckets.filter("h <> pivot").join(comp, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+    mixed = label.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
     label = label.join(mixed, "key").join(meta, "h")
     rest = (
-        label.alias("x").join(label.alias("y"), (F.col("x.key") == F.col("y.key")) & F.col("y.band").between(F.col("x.band") - 1, F.col("x.band") + 1) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & close("x", "y"))
+        label.alias("x").join(label.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & close("x", "y"))
         .select(F.col("x.h").alias("u"), F.col("y.h").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
     )
     rest = written(rest, "line-rest")

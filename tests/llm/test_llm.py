@@ -338,3 +338,44 @@ def test_pipeline(spark, tmp_path):
     # all labels are 1, so nothing is rejected; copies of 0, 1 and 3 go, and document 5 is contaminated
     assert 5 not in got and {i for i in range(60) if i != 5} <= set(got) and not {i for i in got if 60 <= i < 85 and i % 2 == 0}
     assert len(got) == len(set(got))
+
+
+def word_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_lines_against_brute_force(spark):
+    r = random.Random(12)
+    lines = []
+    for n in [*range(8, 31), 40, 60, 100]:
+        for repeats in (WORDS, WORDS[:4]):
+            base = [r.choice(repeats) for _ in range(n)]
+            lines.append(base)
+            for _ in range(3):
+                w = list(base)
+                for _ in range(r.randint(1, max(1, int(0.15 * n)) + 1)):
+                    at = r.randrange(len(w))
+                    w[at : at + r.randint(0, 1)] = [r.choice(repeats)] * r.randint(0, 1)
+                if len(w) >= 8:
+                    lines.append(w)
+    par = list(range(len(lines)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for j, b in enumerate(lines):
+        for i, a in enumerate(lines[:j]):
+            most = max(len(a), len(b))
+            if most - min(len(a), len(b)) <= 0.15 * most and 100 * word_edits(a, b) <= 15 * most:
+                x, y = find(i), find(j)
+                par[max(x, y)] = min(x, y)
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    got = {x.doc_id: x.n_dropped for x in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(find(i) != i) for i in got} and len(got) == len(lines) and 40 < sum(got.values())
