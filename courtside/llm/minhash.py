@@ -12,8 +12,8 @@ How it stays near linear without losing links:
    shingle sets, read from the texts, and joined to components.
 3. Members of different components around one pivot are paired only if they share one of the rarest shingles by
    which they differ from it, which any link between them needs (a prefix filter, see
-   ``near_duplicates``). Members too unlike the pivot to be compared with it are paired with those not linked with
-   it by a prefix filter on their own sets. Pairs pass two cuts: the ratio of the set sizes (exact), and the number
+   ``near_duplicates``). Members too unlike the pivot to be compared with it are paired with all
+   others by a prefix filter on their own sets. Pairs pass two cuts: the ratio of the set sizes (exact), and the number
    of unequal 4-bit MinHash remainders (over four standard deviations). All are confirmed on full sets.
 
 Buckets are met by partially aggregated ``groupBy`` and sort-merge joins, never collected.
@@ -214,13 +214,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
         .select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
     )
 
-    # Members of a bucket too unlike its pivot to be compared with it, against all that aren't linked with the pivot
-    # (what is linked with the pivot can't be linked with them). A link needs percent % of the larger set in common,
+    # Members of a bucket too unlike its pivot to be compared with it, against all others (what is linked with the
+    # pivot can be linked with them as well: a text that grows). A link needs percent % of the larger set in common,
     # so under one order of shingles the first size - percent % + 1 of both meet. Shingles seen in one component only
     # go first (they link nothing new), then the rarest: what many share is not met. Two that were compared with the
     # same pivot (there are at most half_keys ** 2 of them) have been paired around it above, so they are left out.
     known = buckets.filter("rep <> pivot").join(stars.select(F.col("u").alias("pivot"), F.col("v").alias("rep"), "linked"), ["pivot", "rep"], "left")
-    loose = known.filter("linked is null or not linked").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    loose = known.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     far = loose.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.bool_or(F.col("linked").isNull()).alias("far")).filter("c0 <> c1 and far").select("key")
     strange = loose.join(far, "key").groupBy("rep", "c").agg(F.bool_or(F.col("linked").isNull()).alias("far")).join(sizes.withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"}), "rep")
     met_with = stars.groupBy(F.col("v").alias("rep")).agg(F.collect_set("u").alias("pivots"))

@@ -379,3 +379,16 @@ def test_lines_against_brute_force(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
     got = {x.doc_id: x.n_dropped for x in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: int(find(i) != i) for i in got} and len(got) == len(lines) and 40 < sum(got.values())
+
+
+def test_minhash_growing_chains(spark):
+    # each text grows by a tenth: neighbours are linked, the first and the last are too unlike to be compared
+    rows = []
+    for seed in range(150):
+        r = random.Random(seed)
+        w = [f"{r.choice(WORDS)}{seed}x{k}" for k in range(104)]
+        for k in range(3):
+            rows.append((3 * seed + k, " ".join(w)))
+            w += [f"{r.choice(WORDS)}{seed}y{k}{i}" for i in range(10)]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
