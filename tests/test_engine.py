@@ -160,3 +160,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert possessions and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_crosswalk_query_meets_all_customers(spark):
+    n = spark.read.parquet(f"{SF}/customer.parquet").count()
+    got = {r.nba_player_id: (r.bbref_slug, r.match_method) for r in QUERIES["q38_crosswalk"](spark, SF).collect()}
+    assert got and all(got[i] == (str(i), "exact") for i in got if i <= n)
+
+
+def test_crosswalk_fuzzy_path(spark):
+    players = spark.createDataFrame([(1, "Jonathan Williamsonn"), (2, "Peter Pan"), (3, "Zed Quux")], "nba_player_id long, full_name string")
+    other = spark.createDataFrame([("Jonathan Williamson", "a"), ("Jonathan Willis", "b"), ("Peter Pan", "c")], "full_name string, slug string")
+    got = {r.nba_player_id: (r.bbref_slug, r.match_method) for r in identity.build_crosswalk(players, other, None, None).collect()}
+    assert got == {1: ("a", "fuzzy"), 2: ("c", "exact"), 3: (None, "fuzzy")}
