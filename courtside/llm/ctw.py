@@ -8,8 +8,8 @@ estimates of all depths on the path with the weights ``Pe / 2 / Pw`` that this l
 tree, the deepest node that exists keeps all remaining weight.
 
 Counts are exact over the corpus: tasks count (context, byte) n-grams, a ``groupBy`` adds them, and every level of
-the tree is a ``groupBy`` of the level below. Only the finished nodes travel: at most ``max_nodes`` of them, the
-most frequent, 16 bytes each, which bounds what is broadcast; pruned nodes give way to their parents.
+the tree is a ``groupBy`` of the level below. No node is left out or broadcast: the distinct n-grams of all texts are
+joined with the levels, and each block of texts (``BLOCK_BYTES``) meets the scores of its own distinct n-grams.
 
 Beside it stands a unigram baseline with add-one smoothing. The ``hot_words`` most frequent words (a bounded
 number) are scored where the text is; all others are joined with the full table of counts.
@@ -31,7 +31,9 @@ from .shared import written
 U64 = np.uint64
 BEGIN, END = 0xFF, 0xFE  # no UTF-8 text has these bytes
 END_WORD = U64(0x656E645F746F6B65)
-CACHE_BITS = 21
+#: bytes of text that meet their n-grams' scores in one task
+BLOCK_BYTES = 1 << 25
+PARTS = pa.schema([(x, pa.int64()) for x in ("doc_id", "mark", "key", "tf", "n_tokens", "n_known", "n_bytes")] + [("logs", pa.float64()), ("score", pa.float64())])
 
 
 def byte_grams(b: np.ndarray, offs: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,69 +130,31 @@ def tree(grams: DataFrame, depth: int) -> list[DataFrame]:
     return out
 
 
-class Model:
-    """Nodes by key (depth, context, path): probability of a one, and the node's own weight."""
-
-    def __init__(self, keys: np.ndarray, one: np.ndarray, own: np.ndarray, depth: int):
-        order = np.argsort(keys)
-        self.keys, self.one, self.own, self.depth = keys[order], one[order].astype(np.float32), own[order].astype(np.float32), depth
-        self.cache_keys = self.cache_values = None
-
-    def evaluate(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each n-gram given those before."""
-        out = np.zeros(len(grams))
-        v, context = (grams & U64(255)).astype(np.int64), grams >> U64(8)
-        for k in range(8):
-            path = ((1 << k) | (v >> (8 - k))).astype(U64)
-            p, left, last = np.zeros(len(grams)), np.ones(len(grams)), np.full(len(grams), 0.5)
-            alive = np.ones(len(grams), bool)
-            for d in range(self.depth + 1):
-                key = (U64(d) << U64(60)) | ((context & U64((1 << (8 * d)) - 1)) << U64(8)) | path
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1) if len(self.keys) else np.zeros(len(key), np.int64)
-                alive &= (self.keys[at] == key) if len(self.keys) else False
-                one = np.where(alive, self.one[at] if len(self.keys) else 0.5, last)
-                own = np.where(alive, self.own[at] if len(self.keys) else 1, 0)
-                p += left * own * one
-                left = left * (1 - own)
-                last = one
-            p += left * last
-            bit = (v >> (7 - k)) & 1
-            out += np.log10(np.where(bit == 1, p, 1 - p))
-        return out
-
-    def score(self, grams: np.ndarray) -> np.ndarray:
-        """``evaluate`` through a fixed-size cache of n-grams."""
-        if self.cache_keys is None:
-            self.cache_keys, self.cache_values = np.full(1 << CACHE_BITS, ~U64(0)), np.zeros(1 << CACHE_BITS)
-        slot = ((grams * vec.STEP) >> U64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.cache_values[slot]
-        miss = np.flatnonzero(self.cache_keys[slot] != grams)
-        if len(miss):
-            u, inv = np.unique(grams[miss], return_inverse=True)
-            value = self.evaluate(u)
-            out[miss] = value[inv]
-            at = ((u * vec.STEP) >> U64(64 - CACHE_BITS)).astype(np.int64)
-            self.cache_keys[at], self.cache_values[at] = u, value
-        return out
-
-
-def _nodes(levels: list[DataFrame], depth: int, max_nodes: int) -> Model:
-    nodes = None
-    for i, level in enumerate(levels):
-        d = depth - i
-        x = level.select((F.lit(d << 60) + F.shiftleft("context", 8) + F.col("path")).alias("key"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).cast("float").alias("one"), F.col("own").cast("float").alias("own"), F.floor(F.log2(F.col("n0") + F.col("n1")) * 16).alias("size"))
-        nodes = x if nodes is None else nodes.unionByName(x)
-    sizes = sorted(((r["size"], r["count"]) for r in nodes.groupBy("size").count().collect()), reverse=True)
-    least, total = None, 0
-    for size, n in sizes:
-        if total + n > max_nodes and total:
-            break
-        least, total = size, total + n
-    t = nodes.filter(F.col("size") >= (0 if least is None else least)).select("key", "one", "own").toArrow()
-    return Model(t["key"].to_numpy().astype(np.int64).view(U64), t["one"].to_numpy(), t["own"].to_numpy(), depth)
-
-
-def score_texts(docs: DataFrame, depth: int = 5, hot_words: int = 1 << 19, max_nodes: int = 4_000_000) -> DataFrame:
+def gram_scores(grams: DataFrame, levels: list[DataFrame], depth: int) -> DataFrame:
+    """(key, score): log10 probability of the last byte of each distinct n-gram given those before, over all nodes."""
+    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+    # the mixture along the path from the root, carried down level by level
+    top = levels[-1].select("context", "path", (F.col("own") * one).alias("p"), (1 - F.col("own")).alias("left"), one.alias("last"))
+    mixed = [written(top, "ctw-mix")]
+    for level in reversed(levels[:-1]):
+        d = len(mixed)
+        up = mixed[-1].withColumnsRenamed({"context": "up", "p": "p0", "left": "left0"}).drop("last")
+        x = level.withColumn("up", F.col("context").bitwiseAND((1 << (8 * (d - 1))) - 1)).join(up, ["up", "path"])
+        mixed.append(written(x.select("context", "path", (F.col("p0") + F.col("left0") * F.col("own") * one).alias("p"), (F.col("left0") * (1 - F.col("own"))).alias("left"), one.alias("last")), "ctw-mix"))
+    todo = grams.select("key", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).select("key", F.expr("shiftleft(1, k) | shiftright(cast(key & 255 as int), 8 - k)").alias("path"), F.expr("shiftright(cast(key & 255 as int), 7 - k) & 1").alias("bit"))
+    done = None
+    # each bit at its deepest node: the deepest level first, what it lacks at the next
+    for d in range(depth, -1, -1):
+        node = mixed[d].select("context", "path", (F.col("p") + F.col("left") * F.col("last")).alias("one"))
+        x = written(todo.withColumn("context", F.shiftright("key", 8).bitwiseAND((1 << (8 * d)) - 1)).join(node, ["context", "path"], "left").drop("context"), "ctw-bits")
+        found = x.filter("one is not null")
+        done = found if done is None else done.unionByName(found)
+        todo = x.filter("one is null").drop("one")
+    done = done.unionByName(todo.withColumn("one", F.lit(0.5)))
+    return done.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("one")).otherwise(1 - F.col("one")))).alias("score"))
+
+
+def score_texts(docs: DataFrame, depth: int = 5, hot_words: int = 1 << 19) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Trained on the rows whose crc32(doc_id) mod 7 is not 2 (a null id trains). Null text: empty, one end token.
@@ -205,21 +169,42 @@ def score_texts(docs: DataFrame, depth: int = 5, hot_words: int = 1 << 19, max_n
     counted = written(counted, "ctw-counts")
     words = counted.filter("word").select("key", "n")
     n_all, n_kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = _nodes(tree(counted.filter("not word").select("key", "n"), depth), depth, max_nodes)
+    levels = tree(counted.filter("not word").select("key", "n"), depth)
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    n_blocks = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] / BLOCK_BYTES) + 1
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n_blocks)))
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = vec.buffers(batch.column("text"))
+            block = batch.column("block").to_numpy()
+            for i, j in vec.slices(offs):
+                g, cut = byte_grams(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], depth)
+                of = np.repeat(block[i:j], np.diff(cut))
+                for x in np.unique(of):
+                    u = np.unique(g[of == x]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), x)), pa.array(u)], names=["block", "key"])
+
+    met = written(docs.repartition("block").select("block", "text").mapInArrow(grams_of, "block long, key long").distinct(), "ctw-grams")
+    scored = met.join(gram_scores(met.select("key").distinct(), levels, depth), "key").select("block", "key", "score")
     top = words.orderBy(F.desc("n"), "key").limit(hot_words)
     hot = top.toArrow()
     order = np.argsort(hot["key"].to_numpy().astype(np.int64).view(U64))
     hot_keys, hot_log = hot["key"].to_numpy().astype(np.int64).view(U64)[order], np.log10(hot["n"].to_numpy()[order] + 1.0)
-    shared = spark.sparkContext.broadcast((model, hot_keys, hot_log))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, logs = shared.value
-        for batch in batches:
+    shared = spark.sparkContext.broadcast((hot_keys, hot_log))
+
+    def run(texts: pa.Table, grams: pa.Table) -> pa.Table:
+        keys, logs = shared.value
+        gram = grams.column("key").to_numpy().view(U64)
+        order = np.argsort(gram)
+        gram, value = gram[order], grams.column("score").to_numpy()[order]
+        out = []
+        for batch in texts.to_batches():
             raw, offs = vec.buffers(batch.column("text"))
             for i, j in vec.slices(offs):
                 b, o, n = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], j - i
                 g, cut = byte_grams(b, o, depth)
-                c = np.concatenate(([0], np.cumsum(model.score(g))))
+                c = np.concatenate(([0], np.cumsum(value[np.searchsorted(gram, g)])))
                 score = c[cut[1:]] - c[cut[:-1]]
                 s, e, rows = vec.word_spans(b, o)
                 w = np.concatenate((vec.span_hash(vec.LOWER[b], s, e), np.full(n, END_WORD)))
@@ -237,7 +222,7 @@ def score_texts(docs: DataFrame, depth: int = 5, hot_words: int = 1 << 19, max_n
                 take = pa.array(np.concatenate((np.arange(n), cr[first])))
                 none = pa.nulls(len(first), pa.int64())
                 nonef = pa.nulls(len(first), pa.float64())
-                yield pa.RecordBatch.from_arrays(
+                out.append(pa.RecordBatch.from_arrays(
                     [
                         ids.take(take), mark.take(take), pa.array(np.concatenate((vec.mix(np.arange(n).astype(U64)), cw[first])).view(np.int64)),
                         pa.array(np.concatenate((np.zeros(n, np.int64), tf))),
@@ -247,9 +232,11 @@ def score_texts(docs: DataFrame, depth: int = 5, hot_words: int = 1 << 19, max_n
                         pa.concat_arrays([pa.array(total.astype(float)), nonef]), pa.concat_arrays([pa.array(score), nonef]),
                     ],
                     names=["doc_id", "mark", "key", "tf", "n_tokens", "n_known", "n_bytes", "logs", "score"],
-                )
+                ))
+        return pa.Table.from_batches(out, PARTS)
 
-    parts = docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, key long, tf long, n_tokens long, n_known long, n_bytes long, logs double, score double")
+    kinds = "doc_id long, mark long, key long, tf long, n_tokens long, n_known long, n_bytes long, logs double, score double"
+    parts = docs.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(run, kinds)
     joined = parts.join(words.withColumnRenamed("n", "c"), "key", "left").withColumn("c", F.when(F.col("tf") > 0, F.col("c")))
     copies = F.count("n_tokens")
     out = joined.groupBy("doc_id", "mark").agg(

@@ -2,6 +2,7 @@
 
 import difflib
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter
@@ -392,3 +393,11 @@ def test_minhash_growing_chains(spark):
             w += [f"{r.choice(WORDS)}{seed}y{k}{i}" for i in range(10)]
     got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 3 for i, _ in rows}
+
+
+def test_context_tree_has_no_cap(spark):
+    r = random.Random(3)
+    rows = spark.createDataFrame([(i, " ".join(r.choice(WORDS) for _ in range(30))) for i in range(40)], "doc_id long, text string")
+    capped = {"max_nodes": 50} if "max_nodes" in inspect.signature(ctw.score_texts).parameters else {}
+    whole, got = ({x.doc_id: x.score for x in ctw.score_texts(rows, depth=2, **k).collect()} for k in ({}, capped))
+    assert all(abs(whole[i] - got[i]) < 1e-6 for i in whole)
