@@ -383,8 +383,8 @@ def q34_projection(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") * 10 + F.ascii("c_mktsegment") % 10).cast("long").alias("player_id"), F.concat(F.lit("g"), (F.col("c_nationkey") % 3).cast("string")).alias("position_group"))
     s = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("player_id", "position_group", F.year("o_orderdate").alias("age")).agg((F.avg("o_totalprice") / 1000).alias("rating"), F.count("*").cast("double").alias("weight"))
     lo = int(s.agg(F.min("age")).first()[0])
-    off = aging.fit_hierarchy(s, "rating", "weight", anchor=lo + 2, warmup=30, samples=30)
-    de = aging.fit_hierarchy(s, "rating", "weight", anchor=lo + 2, warmup=30, samples=30, seed=1)
+    off = aging.fit_hierarchy(s, "rating", "weight", anchor=lo + 2)
+    de = aging.fit_hierarchy(s, "rating", "weight", anchor=lo + 2, seed=1)
     return aging.project_players(off, de, s.groupBy("player_id").agg(F.lit(lo + 1).alias("age")))
 
 

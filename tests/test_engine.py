@@ -173,3 +173,11 @@ def test_crosswalk_fuzzy_path(spark):
     other = spark.createDataFrame([("Jonathan Williamson", "a"), ("Jonathan Willis", "b"), ("Peter Pan", "c")], "full_name string, slug string")
     got = {r.nba_player_id: (r.bbref_slug, r.match_method) for r in identity.build_crosswalk(players, other, None, None).collect()}
     assert got == {1: ("a", "fuzzy"), 2: ("c", "exact"), 3: (None, "fuzzy")}
+
+
+def test_projection_query_draws_in_full(spark, monkeypatch):
+    asked = []
+    whole = aging.fit_hierarchy
+    monkeypatch.setattr(aging, "fit_hierarchy", lambda *a, **k: asked.append(k) or whole(*a, **(k | {"warmup": 5, "samples": 5})))
+    assert QUERIES["q34_projection"](spark, SF).count() > 0
+    assert len(asked) == 2 and not any({"warmup", "samples"} & set(k) for k in asked)
