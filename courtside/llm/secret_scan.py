@@ -8,16 +8,20 @@ too common to report, are found beside them:
 * ``endpoint``: a URL, an ``host:port`` or a dotted IPv4 address.
 
 A credential has three roles: identifier (``access``, ``ident``), secret (``assign``, ``hex``, ``key``) and
-endpoint. Parts are joined as intervals: each part covers itself widened by ``reach`` code points within its
-scope (a paragraph: text between blank lines); overlapping intervals form a chain, found in one sweep over the
-parts by position. A weak part is reported only if its chain holds an identifier and a secret. Reporting never
-removes a strong finding.
+endpoint. Parts are joined as intervals, two by two: two parts meet if they stand in one scope (a paragraph: text
+between blank lines), do not overlap, and leave at most ``reach`` code points between them. An identifier and a
+secret that meet complete each other; an endpoint completes a part that has been completed. A weak part is reported
+only if another part completes it, so nothing chains on from part to part. Of overlapping weak parts the first stands;
+one that overlaps a strong finding is dropped, as it is no evidence of its own. Strong findings are never removed.
+
+The join looks at the nearest part on either side only, found by bisection, so a text of n parts costs n log n.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,39 +49,51 @@ def strong_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], ORDER[x[2]]))
 
 
-def linked_spans(text: str, strong: list[tuple[int, int, str]], reach: int) -> list[tuple[int, int, str]]:
-    """Weak parts in a chain that holds an identifier and a secret; none overlaps a strong finding."""
+def weak_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Weak parts, leftmost first, that overlap neither a strong finding nor each other."""
     weak = [(m.start(), m.end(), k) for k, rx in (("ident", IDENT), ("endpoint", ENDPOINT)) for m in rx.finditer(text)]
     weak += [(m.start(), m.end(), "key") for m in KEY.finditer(text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+    taken, ends = sorted((s, e) for s, e, _ in strong), []
+    for _, e in taken:
+        ends.append(max(e, ends[-1] if ends else 0))
+    out, last = [], 0
+    for s, e, k in sorted(weak, key=lambda x: (x[0], ORDER[x[2]])):
+        before = bisect_left(taken, (e, 0))  # strong findings that start before its end
+        if s >= last and not (before and ends[before - 1] > s):
+            out.append((s, e, k))
+            last = e
+    return out
+
+
+class Nearest:
+    """Parts of one scope each, by which the nearest on either side of a part is found."""
+
+    def __init__(self, parts: list[tuple[int, int, str]], scope) -> None:
+        self.starts = sorted((scope(s), s) for s, _, _ in parts)
+        self.ends = sorted((scope(s), e) for s, e, _ in parts)
+
+    def meets(self, start: int, end: int, scope: int, reach: int) -> bool:
+        right, left = bisect_left(self.starts, (scope, end)), bisect_right(self.ends, (scope, start)) - 1
+        return (right < len(self.starts) and self.starts[right][0] == scope and self.starts[right][1] - end <= reach) or (left >= 0 and self.ends[left][0] == scope and start - self.ends[left][1] <= reach)
+
+
+def linked_spans(text: str, strong: list[tuple[int, int, str]], reach: int) -> list[tuple[int, int, str]]:
+    """Weak parts that another part completes."""
+    weak = weak_spans(text, strong)
     if not weak:
         return []
-    parts, last = [], -1
-    for s, e, k in sorted(strong + weak, key=lambda x: (x[0], ORDER[x[2]])):
-        if k in STRONG or s >= last:
-            parts.append((s, e, k))
-            last = max(last, e)
-    taken = sorted((s, e) for s, e, k in parts if k in STRONG)
     breaks = [m.start() for m in SCOPE.finditer(text)]
-    out, chain, roles, until, b = [], [], set(), -1, 0
-    for s, e, k in [*parts, (len(text) + 3 * reach + 1, 0, "")]:
-        crossed = False
-        while b < len(breaks) and breaks[b] < s:
-            crossed, b = True, b + 1
-        if chain and (crossed or s - reach > until):
-            if {"ident", "secret"} <= roles:
-                out += [p for p in chain if p[2] not in STRONG]
-            chain, roles, until = [], set(), -1
-        if k:
-            chain.append((s, e, k))
-            roles.add(ROLE[k])
-            until = max(until, e + reach)
-    i, kept = 0, []
-    for s, e, k in out:  # both sorted: drop weak parts that a strong one covers in part
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if not (i < len(taken) and taken[i][0] < e):
-            kept.append((s, e, k))
-    return kept
+    scope = lambda at: bisect_right(breaks, at)
+    role: dict[str, list] = {"ident": [], "secret": [], "endpoint": []}
+    for part in strong + weak:
+        role[ROLE[part[2]]].append(part)
+    whole: list[tuple[int, int, str]] = []
+    for own, other in (("ident", "secret"), ("secret", "ident")):
+        near = Nearest(role[other], scope)
+        whole += [p for p in role[own] if near.meets(p[0], p[1], scope(p[0]), reach)]
+    near = Nearest(whole, scope)
+    whole += [p for p in role["endpoint"] if near.meets(p[0], p[1], scope(p[0]), reach)]
+    return sorted((p for p in whole if p[2] not in STRONG), key=lambda x: x[0])
 
 
 def _joined(spans) -> str:
@@ -94,7 +110,7 @@ def _scan(reach: int):
                 for text in batch.column("text").to_pylist():
                     text = text or ""
                     strong = strong_spans(text)
-                    extra = linked_spans(text, strong, reach) if any(1 for x in strong) or KEY.search(text) else []
+                    extra = linked_spans(text, strong, reach) if strong or KEY.search(text) else []
                     for k in STRONG:
                         n[k].append(sum(x[2] == k for x in strong))
                     base.append(hashlib.sha256(_joined(strong).encode()).hexdigest())
@@ -113,7 +129,8 @@ def scan_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
 
     Offsets are code points, end exclusive, of the whole match. Null and empty texts give zero counts and no
     spans; null ids and repeated rows give a row each; other columns are ignored; an empty table gives no rows.
-    Work is linear in the text: one pass for each pattern, then one sweep over the parts found.
+    Very long texts are scanned whole: one pass for each pattern, then the join of the parts found. Spans that start
+    together stand in the order assign, access, hex, ident, key, endpoint.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _scan(reach), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long"
