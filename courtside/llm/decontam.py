@@ -125,7 +125,7 @@ def _scan(parts, mark: bytes, columns: tuple[str, ...]):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_mb: int = 16, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, max_mb: float = 16, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """``columns``, n_words, n_hit, items (sorted, as text), hit_spans (code points of the original).
 
     A word is hit if it lies in an occurrence of a window: ``width`` consecutive words of an item, or the whole
@@ -138,7 +138,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, m
     """
     pairs = item_windows(benchmark, width).groupBy("pattern").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     size = pairs.agg(F.sum(F.octet_length("pattern") + 16)).first()[0] or 0
-    n_parts = 1 + size // (max_mb * 1_000_000)
+    n_parts = 1 + int(size / (max_mb * 1_000_000))
     if n_parts > 64:
         raise ValueError("the benchmark is too large to be held by every executor")
     parts: list[list] = [[] for _ in range(n_parts)]
