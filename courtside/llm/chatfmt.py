@@ -1,9 +1,11 @@
 """Chat formatting in budgeted, turn-aligned windows.
 
 A conversation too long for the token budget becomes several windows. Running sums of turn tokens choose where
-each window ends; turns are never cut (a turn longer than the budget has a window of its own). Each window
-begins with the conversation's system turn and a limited number of earlier turns; both are context only. Each
-assistant text is a target once, in the window where its turn is new.
+each window ends; turns are never cut, and no window exceeds the budget but one of a single turn that alone does.
+Each window begins with the conversation's system turn (its first, wherever it stands, in the windows after it) and a
+limited number of earlier turns; both are context only. Where the system turn and the next new turn don't fit the
+budget together, that window goes without the system turn. Each assistant text is a target once, in the window where
+its turn is new.
 
 Template, for each turn: ``### <Role>: <text></turn>`` and a line feed. Control strings inside texts and roles
 are escaped reversibly: ``\\`` as ``\\\\``, ``###`` as ``\\h``, ``</turn>`` as ``\\t``, and ``:`` in roles as ``\\c``.
@@ -94,42 +96,42 @@ def _window(conv, number, system, history, fresh):
 
 def _windows(rows, budget: int, history_turns: int, history_tokens: int, count):
     """rows: (conv_id, role, text) sorted; yields windows in order."""
-    conv, number, system, past, history, fresh, used = object(), 0, [], deque(maxlen=history_turns or None), [], [], 0
-
-    def emit():
-        return _window(conv, number, system if number else [], history, fresh)
-
+    conv = object()
     for c, role, text in rows:
         if c != conv:
-            if fresh:
-                yield emit()
-            conv, number, system, past, history, fresh, used = c, 0, [], deque(maxlen=history_turns or None), [], [], 0
+            if conv.__class__ is not object and fresh:
+                yield _window(conv, number, lead, history, fresh)
+            conv, number, used = c, 0, 0
+            system, lead, history, fresh = [], [], [], []
+            past = deque(maxlen=history_turns or None)
         body = escape(text)
         turn = (role, body, count(body) + 4)
         if fresh and used + turn[2] > budget:
-            yield emit()
+            yield _window(conv, number, lead, history, fresh)
             number += 1
-            room = min(history_tokens, budget - turn[2] - sum(t[2] for t in system))
+            lead = system if sum(t[2] for t in system) + turn[2] <= budget else []
+            room = min(history_tokens, budget - turn[2] - sum(t[2] for t in lead))
             history = []
             for t in reversed(past if history_turns else ()):
                 room -= t[2]
-                if room < 0 or t in system:
+                if room < 0 or any(t is x for x in system):
                     break
                 history.insert(0, t)
-            fresh, used = [], sum(t[2] for t in (*system, *history))
-        if role == "system" and not system and not number:
+            fresh, used = [], sum(t[2] for t in (*lead, *history))
+        if role == "system" and not system:
             system = [turn]
         fresh.append(turn)
         past.append(turn)
         used += turn[2]
-    if fresh:
-        yield emit()
+    if conv.__class__ is not object and fresh:
+        yield _window(conv, number, lead, history, fresh)
 
 
 def format_windows(conversations: DataFrame, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256, count: Callable[[str], int] = approximate_tokens) -> DataFrame:
     """Windows (conv_id, window, text, n_context, loss, n_tokens) of conversations (conv_id, turn, role, text).
 
-    n_context: turns at the window's start that repeat earlier ones. loss: code point spans of the targets. The
+    n_context: turns at the window's start that repeat earlier ones. n_tokens is over ``budget`` only in a window of one
+    turn that alone is (a very long text stays whole). loss: code point spans of the targets. The
     windows of a conversation stand together and in order in one partition. Null text or role: empty. Rows are
     ordered by turn (null first), then role and text; repeated rows are turns of their own; null conv_id is one
     conversation. Other columns are ignored; an empty table gives no windows.
