@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import plain_unions
+from .ratings import predict, standardized_ridge
+
 
 def player_deltas(seasons: DataFrame, rating: str, weight: str) -> DataFrame:
     """Change of rating between consecutive ages of a player; weight is the lesser of both; gaps are skipped."""
@@ -30,7 +33,7 @@ def cumulative_curve(curve: DataFrame, anchor: int) -> DataFrame:
     after = curve.filter(F.col("age") >= anchor).withColumn("run", F.row_number().over(Window.orderBy("age"))).filter(F.col("age") - F.col("run") == anchor - 1).select((F.col("age") + 1).alias("age"), F.sum("delta").over(up).alias("value"))
     down = Window.orderBy(F.desc("age"))
     before = curve.filter(F.col("age") < anchor).withColumn("run", F.row_number().over(down)).filter(F.col("age") + F.col("run") == anchor).select("age", (-F.sum("delta").over(down.rowsBetween(Window.unboundedPreceding, 0))).alias("value"))
-    return before.unionByName(after).unionByName(curve.agg(F.lit(anchor).alias("age"), F.lit(0.0).alias("value")))
+    return plain_unions(before).unionByName(after).unionByName(curve.agg(F.lit(anchor).alias("age"), F.lit(0.0).alias("value")))
 
 
 SAMPLES = "chain int, draw int, site string, player_id long, position string, age int, value double"
@@ -163,3 +166,32 @@ def project_players(offense: DataFrame, defense: DataFrame, current: DataFrame,
     j = pick(offense, "off").join(pick(defense, "def"), ["player_id", "age", "chain", "draw"]).join(ahead, ["player_id", "age"])
     total = F.col("off") + F.col("def")
     return j.groupBy("player_id", "age").agg(F.avg("off").alias("proj_offense"), F.avg("def").alias("proj_defense"), F.avg(total).alias("proj_total"), F.percentile(total, 0.1).alias("lower_80"), F.percentile(total, 0.9).alias("upper_80"))
+
+
+def season_counts(seasons: DataFrame) -> DataFrame:
+    return seasons.groupBy("player_id").agg(F.count("*").alias("n_seasons"))
+
+
+def baseline_means(samples: DataFrame, anchor: int) -> DataFrame:
+    """(player_id, baseline): each player's mean level at the anchor age."""
+    return samples.filter((F.col("site") == "player") & (F.col("age") == anchor)).groupBy("player_id").agg(F.avg("value").alias("baseline"))
+
+
+#: fixed values: seasons that make a player's level a training label; deviations of the levels in either fit
+RELIABLE_SEASONS, PRELIMINARY_SD, INFORMED_SD = 4, 20.0, 6.0
+
+
+def fit_box_score_projection(seasons: DataFrame, box_rows: DataFrame, rating: str, weight: str, features: list[str], anchor: int = 27, reliable: int = RELIABLE_SEASONS, **draws) -> tuple[DataFrame, DataFrame, dict, int]:
+    """(draws of the informed fit, of the preliminary fit, the box-score model, players it was trained on).
+
+    The hierarchy is fitted with wide levels first; its levels of players with enough seasons train a ridge on their
+    box scores; that model's predictions (0 without a box score) are the levels that the second fit is held to.
+    Too few players to train on give a zero model, which its note says.
+    """
+    first = fit_hierarchy(seasons, rating, weight, anchor=anchor, base_sd=PRELIMINARY_SD, **draws)
+    sure = season_counts(seasons).filter(F.col("n_seasons") >= reliable)
+    train = baseline_means(first, anchor).join(sure, "player_id", "left_semi").join(box_rows.select("player_id", *features), "player_id")
+    model = standardized_ridge(train, features, "baseline")
+    level = box_rows.select("player_id", predict(model).alias("_level"))
+    informed = seasons.join(level, "player_id", "left").withColumn("_level", F.coalesce("_level", F.lit(0.0)))
+    return fit_hierarchy(informed, rating, weight, baseline="_level", anchor=anchor, base_sd=INFORMED_SD, **draws), first, model, train.count()

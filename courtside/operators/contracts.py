@@ -74,6 +74,20 @@ def quality_report(contracts: DataFrame, known_teams: DataFrame, seasons: tuple[
     ids = ["player", "team_abbrev", *names, "guaranteed", "bbref_slug"]
     unique = dedupe_first(contracts, ids, ["rk"])
     _, clean = guarantee_cliff([F.col(c) for c in names], F.col("guaranteed"))
-    unknown = unique.join(F.broadcast(known_teams.select("team_abbrev")), "team_abbrev", "left_anti").agg(F.array_sort(F.collect_set("team_abbrev")).alias("unknown_teams"))
     sums = unique.agg(F.count("*").alias("n_unique"), F.count_if(~clean).alias("n_partial"), F.count_if(F.col("guaranteed").isNull()).alias("n_blank"))
-    return contracts.agg(F.count("*").alias("n_rows")).join(sums).join(unknown).withColumn("n_duplicates", F.col("n_rows") - F.col("n_unique")).join(multi_group(unique, "bbref_slug", "team_abbrev").agg(F.array_sort(F.collect_list("bbref_slug")).alias("multi_team")))
+    unknown = unknown_teams(unique, known_teams).agg(F.count("*").alias("n_unknown_teams"))
+    several = multi_group(unique, "bbref_slug", "team_abbrev").agg(F.count("*").alias("n_multi_team"))
+    # four tables of one row each
+    return contracts.agg(F.count("*").alias("n_rows")).crossJoin(sums).crossJoin(unknown).crossJoin(several).withColumn("n_duplicates", F.col("n_rows") - F.col("n_unique"))
+
+
+def unknown_teams(contracts: DataFrame, known_teams: DataFrame) -> DataFrame:
+    """Team codes that no known team has."""
+    return contracts.select("team_abbrev").distinct().join(F.broadcast(known_teams.select("team_abbrev").distinct()), "team_abbrev", "left_anti")
+
+
+def blocking_issues(report: DataFrame) -> list[str]:
+    """What keeps a legal apron payroll from being computed, of one report row."""
+    r = report.first()
+    said = (("n_multi_team", "players count on more than one team (dead money)"), ("n_partial", "guarantees match no number of whole years"), ("n_unknown_teams", "team codes are unknown"))
+    return [f"{r[c]} {text}" for c, text in said if r[c]]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import last_name
 from ..functions.parsing import elapsed, is_substitution, period_seconds
+from ..session import plain_unions
 
 SLOTS = ("player1_id", "player2_id", "player3_id")
 TOLERANCE = 90.0
@@ -30,11 +31,11 @@ def apply_allowlist(events: DataFrame, players: DataFrame | None) -> DataFrame:
     """Events with unknown ids nulled in all slots; without players, as they are."""
     if players is None:
         return events
-    out = events
-    for c in SLOTS:
-        known = players.select(F.col("nba_player_id").alias("_id")).distinct()
-        out = out.join(known, out[c] == F.col("_id"), "left").withColumn(c, F.col("_id")).drop("_id")
-    return out
+    known = players.select(F.col("nba_player_id").alias("player_id")).filter("player_id is not null").distinct()
+    bad = _slots(events, "game_id", "event_num").join(known, "player_id", "left_anti").groupBy("game_id", "event_num").agg(F.collect_set("slot").alias("_bad"))
+    out = events.join(bad, ["game_id", "event_num"], "left")
+    keep = {c: F.when(~F.coalesce(F.array_contains("_bad", i + 1), F.lit(False)), F.col(c)) for i, c in enumerate(SLOTS)}
+    return out.withColumns(keep).select(events.columns)
 
 
 def ordered_events(events: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def reconstruct_stints(events: DataFrame, players: DataFrame | None = None) -> D
     Each player's openers, exits and entries in order give intervals of being on; a stint's lineup is who is on at
     its end. Stints of no length are left out. A period with events but nobody seen has one empty stint.
     """
-    ev = ordered_events(apply_allowlist(events, players))
+    ev = plain_unions(ordered_events(apply_allowlist(events, players)))
     subs = ev.filter(is_substitution("event_type"))
     toggles = (
         openers(ev).select("game_id", "period", "player_id", F.lit(0).cast("long").alias("k"), F.lit(1).alias("on"))
@@ -81,7 +82,7 @@ def reconstruct_stints(events: DataFrame, players: DataFrame | None = None) -> D
 
 def exits_while_off(events: DataFrame) -> DataFrame:
     """Substitutions that send off a player who isn't on the floor."""
-    ev = ordered_events(events)
+    ev = plain_unions(ordered_events(events))
     subs = ev.filter(is_substitution("event_type"))
     start = openers(ev).select("game_id", "period", "player_id", F.lit(0).alias("k"), F.lit(1).alias("on"), F.lit(None).cast("int").alias("event_num"))
     t = start.unionByName(subs.filter("player1_id is not null").select("game_id", "period", F.col("player1_id").alias("player_id"), (2 * F.col("pos")).alias("k"), F.lit(0).alias("on"), "event_num")).unionByName(
@@ -118,6 +119,12 @@ def gate_results(gate: DataFrame, box: DataFrame, names: DataFrame) -> DataFrame
     ).select("game_id", "passed", "max_error", "n_offenders", "worst_player", F.when(F.col("passed"), None).when(F.col("twin"), "surname-collision").when(F.col("unseen"), "data-gap").otherwise("isolated").alias("category"))
 
 
+def gate_offenders(gate: DataFrame) -> DataFrame:
+    """Players over the tolerance, the largest error of each game first."""
+    place = F.row_number().over(Window.partitionBy("game_id").orderBy(F.desc("error"), "player_id"))
+    return gate.filter("offends").withColumn("place", place).select("game_id", "place", "player_id", "recon_s", "box_s", "error")
+
+
 def gate_accounting(results: DataFrame, games: DataFrame) -> DataFrame:
     """Counts by season and pooled (null season): all, passed, failed by category, without data."""
     j = games.select("game_id", "season").join(results, "game_id", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CONTRACT_YEAR
+from ..session import plain_unions
 
 KINDS = ("sign", "waive", "trade", "amend")
 STEP = "seq long, leg int, kind string, bbref_slug string, player string, team string, cap_hit long, guaranteed long, dead_money boolean, field string, value string, note string, as_of string"
@@ -92,4 +93,4 @@ def apply_transactions(years: DataFrame, steps: DataFrame, season: str) -> tuple
     still = base.join(touched, "bbref_slug", "left_anti").select(_COLUMNS)
     moved = base.join(touched, "bbref_slug", "left_semi").select(*_COLUMNS, F.lit(0).alias("_order"))
     folded = moved.groupBy("bbref_slug").cogroup(steps.groupBy("bbref_slug")).applyInPandas(_fold(season), CONTRACT_YEAR + ", warn_seq long, warn_leg int, warning string")
-    return still.unionByName(folded.filter("warning is null").select(_COLUMNS)), folded.filter("warning is not null").select("warn_seq", "warn_leg", "warning").orderBy("warn_seq", "warn_leg")
+    return plain_unions(still).unionByName(folded.filter("warning is null").select(_COLUMNS)), folded.filter("warning is not null").select("warn_seq", "warn_leg", "warning").orderBy("warn_seq", "warn_leg")

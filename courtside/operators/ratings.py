@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: fixed values
@@ -33,15 +33,26 @@ def design_coo(design: DataFrame) -> DataFrame:
     return design.select("game_id", "y", "w", F.explode("terms").alias("t")).select("game_id", "y", "w", "t.*")
 
 
-def balanced_folds(design: DataFrame, k: int = FOLDS) -> dict[str, int]:
-    """Games to folds: largest first, each to the fold with fewest rows so far (ties: lower fold; games by id)."""
-    sizes = sorted(((r["count"], r["game_id"]) for r in design.groupBy("game_id").count().collect()), key=lambda x: (-x[0], x[1]))
-    k = min(k, len(sizes))
-    load, out = [0] * max(k, 1), {}
-    for n, g in sizes:
+#: hash buckets that games are dealt to folds by; up to so many games each is almost surely its own
+BUCKETS = 4096
+
+
+def game_bucket(game: str = "game_id"):
+    return F.pmod(F.xxhash64(F.col(game).cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def balanced_folds(design: DataFrame, k: int = FOLDS) -> list[int]:
+    """Buckets of games to folds: largest first, each to the fold with fewest rows so far (ties: lower fold, lower bucket).
+
+    A game's rows share a bucket, so they share a fold. The driver holds ``BUCKETS`` counts, however many games there
+    are; buckets without a game have fold -1.
+    """
+    sizes = sorted(((r["count"], r["bucket"]) for r in design.groupBy(game_bucket().alias("bucket")).count().collect()), key=lambda x: (-x[0], x[1]))
+    load, out = [0] * max(min(k, len(sizes)), 1), [-1] * BUCKETS
+    for n, bucket in sizes:
         f = min(range(len(load)), key=lambda i: (load[i], i))
         load[f] += n
-        out[g] = f
+        out[bucket] = f
     return out
 
 
@@ -64,9 +75,13 @@ def pair_sums(design: DataFrame) -> DataFrame:
     return pairs.groupBy("fold", "p.i", "p.j").agg(F.sum(F.col("w") * F.col("p.v")).alias("g"))
 
 
-def moments(spark: SparkSession, design: DataFrame, folds: dict[str, int]) -> Moments:
-    fold = spark.createDataFrame(list(folds.items()) or [("", 0)], "game_id string, fold int")
-    d = design.withColumn("game_id", F.col("game_id").cast("string")).join(F.broadcast(fold), "game_id")
+def with_folds(design: DataFrame, folds: list[int]) -> DataFrame:
+    table = design.sparkSession.createDataFrame(list(enumerate(folds)), "bucket int, fold int")
+    return design.withColumn("bucket", game_bucket()).join(F.broadcast(table), "bucket").drop("bucket")  # BUCKETS rows
+
+
+def moments(spark: SparkSession, design: DataFrame, folds: list[int]) -> Moments:
+    d = with_folds(design, folds)
     linear = d.select("fold", "y", "w", F.explode("terms").alias("t")).groupBy("fold", (F.col("t.player_id") * 2 + F.col("t.defense").cast("long")).alias("i")).agg(F.sum(F.col("w") * F.col("t.x") * F.col("y")).alias("b"), F.sum(F.col("w") * F.col("t.x")).alias("s")).collect()
     players = sorted({r.i // 2 for r in linear})
     if not players:
@@ -74,7 +89,7 @@ def moments(spark: SparkSession, design: DataFrame, folds: dict[str, int]) -> Mo
     if 2 * len(players) > MAX_COLUMNS:
         raise ValueError("too many players for a dense solve")
     at = {2 * p + d_: 2 * k + d_ for k, p in enumerate(players) for d_ in (0, 1)}
-    k, n = max(folds.values()) + 1, 2 * len(players)
+    k, n = max(folds) + 1, 2 * len(players)
     m = Moments(players, np.zeros((k, n, n)), np.zeros((k, n)), np.zeros((k, n)), np.zeros(k), np.zeros(k), np.zeros(k))
     for r in linear:
         m.b[r.fold, at[r.i]], m.s[r.fold, at[r.i]] = r.b, r.s
@@ -142,16 +157,36 @@ def fit_ratings(spark: SparkSession, blocks: DataFrame, grid: tuple[float, ...]
     return with_value(r, replacement), {"lambda": lam, "scores": scores, "intercept": c, "n_folds": len(m.w)}
 
 
+def ranked(df: DataFrame, value: str, *ties: str, buckets: int = 64) -> DataFrame:
+    """Adds ``rank``, 1 for the largest value, then by ``ties``, without sorting all rows in one task.
+
+    Values are dealt to ranges by approximate quantiles, ranks are counted inside each range, and the rows of the
+    ranges above are added. The bounds are fixed numbers in the plan, so every evaluation deals alike. Nulls are last.
+    """
+    bounds = sorted({x for x in df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.005) if x is not None})
+    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col(value))) if bounds else F.lit(0)
+    dealt = df.withColumn("_range", F.when(F.col(value).isNull(), len(bounds) + 1).otherwise(above))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc_nulls_last(value), *ties))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("rank", F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
 FEATURES = ("pts_100", "ast_100", "tov_100", "ts_pct", "stl_100", "blk_100", "dreb_rate", "position_big")
 
 
+def feature_stats(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    """One row: rows (n), mean target (y), mean and population deviation of each feature (m_, s_)."""
+    return rows.agg(F.count("*").alias("n"), F.avg(target).alias("y"), *(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features))
+
+
 def standardized_ridge(rows: DataFrame, features: list[str], target: str, ridge: float = 1.0) -> dict:
     """Ridge on features standardised with population deviations (0 counts as 1), intercept = mean target.
 
     All sums are one aggregate; too few rows (fewer than features + 2) give a zero model.
     """
     p = len(features)
-    stat = rows.agg(F.count("*").alias("n"), F.avg(target).alias("y"), *(F.avg(f).alias(f"m_{f}") for f in features), *(F.stddev_pop(f).alias(f"s_{f}") for f in features)).first()
+    stat = feature_stats(rows, features, target).first()
     if stat.n < p + 2:
         return {"features": features, "mean": [0.0] * p, "sd": [1.0] * p, "beta": [0.0] * p, "intercept": 0.0, "note": f"only {stat.n} rows"}
     mean, sd = [stat[f"m_{f}"] for f in features], [stat[f"s_{f}"] or 1.0 for f in features]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(name: str = "courtside", **conf: str) -> SparkSession:
@@ -12,5 +12,16 @@ def get_session(name: str = "courtside", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def plain_unions(df: DataFrame) -> DataFrame:
+    """``df``, in whose session a union no longer claims its inputs' partitioning.
+
+    Spark 4.1 zips the partitions of a union's inputs where they are shuffled by the same keys; once adaptive
+    execution has coalesced one of them differently, rows are lost or the job fails. Every operator that unites
+    shuffled tables goes through here.
+    """
+    df.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
+from datetime import UTC, datetime
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import strip_dollars
 from ..functions.parsing import clock_seconds, has_reliable_player, minutes_to_seconds, safe_int, snake_case
-from ..schemas import CONTRACT_YEAR
+from ..schemas import CONTRACT_YEAR, TABLES
+from ..session import plain_unions
 
 #: fixed values: three codes that the contract export spells its own way
 TEAM_CODES = {"BRK": "BKN", "CHO": "CHA", "PHO": "PHX"}
@@ -87,15 +91,44 @@ def players_from_rows(rows: DataFrame) -> DataFrame:
     ).dropDuplicates(["nba_player_id"])
 
 
+def teams_from_list(spark: SparkSession, teams: list[dict]) -> DataFrame:
+    """A static team list (id, abbreviation, nickname, city, full_name) as ``stg.team`` rows."""
+    rows = [(int(t["id"]), *(t.get(c) for c in ("abbreviation", "nickname", "city", "full_name"))) for t in teams]
+    return spark.createDataFrame(rows, TABLES["stg.team"][1]).dropDuplicates(["nba_team_id"])
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """A YAML map of player id to slugs as (nba_player_id, bbref_slug, spotrac_slug, note); no file, no rows."""
+    doc = {}
+    if os.path.exists(path):
+        with open(path) as f:
+            doc = yaml.safe_load(f) or {}
+    rows = [(int(k), *((v or {}).get(c) for c in ("bbref_slug", "spotrac_slug", "note"))) for k, v in doc.items()]
+    return spark.createDataFrame(rows, "nba_player_id long, bbref_slug string, spotrac_slug string, note string")
+
+
 def read_json_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Cached responses below ``folder`` as (path, payload); a file that isn't JSON is left out."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
     return files.filter(F.try_parse_json("payload").isNotNull())
 
 
+def rows_where(rows: DataFrame, order_by: list | None = None, limit: int = 0, **equals) -> DataFrame:
+    """Rows whose columns have the given values, in order; ``limit`` 0 is all of them."""
+    for column, value in equals.items():
+        rows = rows.filter(F.col(column) == value)
+    rows = rows.orderBy(*order_by) if order_by else rows
+    return rows.limit(limit) if limit else rows
+
+
+def rows_of(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is in the table ``wanted``: one semi-join for any number of keys."""
+    return rows.join(wanted.select(key), key, "left_semi")
+
+
 def upsert(target: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """``target`` with the rows of equal keys replaced by ``rows``."""
-    return target.join(rows.select(*keys).distinct(), list(keys), "left_anti").select(target.columns).unionByName(rows.select(target.columns))
+    return plain_unions(target).join(rows.select(*keys).distinct(), list(keys), "left_anti").select(target.columns).unionByName(rows.select(target.columns))
 
 
 def write_one_csv(df: DataFrame, path: str, order_by: list | None = None) -> None:
@@ -109,9 +142,19 @@ def leaderboard_rows(ratings: DataFrame, players: DataFrame) -> DataFrame:
     return ratings.join(named, "player_id").orderBy(F.desc("total"), "player_id")
 
 
-def write_meta(path: str, **values) -> None:
+def build_meta(seasons: list[str], n_games: int, n_stints: int, penalty: float, replacement: float, points_per_win: float, fit_type: str) -> dict:
+    """What an export was made from. Keys are fixed values; ``fit_type`` comes from whoever ran the fit."""
+    return {
+        "seasons_used": seasons, "n_games": n_games, "n_stints": n_stints, "lambda": penalty, "replacement_level": replacement, "points_per_win": points_per_win,
+        "generated_at": datetime.now(UTC).isoformat(), "fit_type": fit_type, "projections_status": "not_built",
+    }
+
+
+def write_meta(path: str, meta: dict) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w") as f:
-        json.dump(values, f, indent=2, sort_keys=True, default=str)
+        json.dump(meta, f, indent=2)
+        f.write("\n")
 
 
 def empty_contract_years(spark: SparkSession) -> DataFrame:
