@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import cents, parse_dollars, pct_of, strip_dollars
@@ -11,21 +11,9 @@ from ..functions.parsing import clock_seconds, minutes_to_seconds, safe_int, sho
 from ..operators import aging, contracts, identity, lineups, overlay, possessions, ratings, trade
 from ..session import table
 from ..sources import files
+from .registry import QUERIES, SQL, query  # noqa: F401
 
 YEAR = trade.LEAGUE_YEARS["2026-27"]
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 @query("""SELECT n.n_name AS team, sum(cast(round(o_totalprice * 100) AS BIGINT)) AS payroll, count(*) AS n_players, count(*) FILTER (o_orderstatus = 'P') AS n_review,
  coalesce(sum(cast(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderstatus = 'P'), 0) AS review_amount
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n ON c_nationkey = n_nationkey GROUP BY 1""")
@@ -316,8 +304,7 @@ def q26_ridge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q27_cv_scores(spark: SparkSession, d: str) -> DataFrame:
-    b = _blocks(spark, d).withColumn("game_id", (F.col("game_id").cast("long") % 97).cast("string"))
-    design = ratings.design_rows(b)
+    design = ratings.design_rows(_blocks(spark, d))
     lam, scores = ratings.choose_lambda(ratings.moments(spark, design, ratings.balanced_folds(design)))
     return spark.createDataFrame([(x, s, x == lam) for x, s in zip(ratings.LAMBDAS, scores, strict=True)], "lambda double, score double, chosen boolean")
 
@@ -341,8 +328,8 @@ def _value(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_VALUE + " SELECT player_id, round(total, 4) AS total, round(value, 2) AS value, round(value / 30, 4) AS wins_added, row_number() OVER (ORDER BY round(value, 6) DESC, player_id) AS rank FROM v")
 def q29_value_rank(spark: SparkSession, d: str) -> DataFrame:
-    v = _value(spark, d)
-    return v.select("player_id", F.round("total", 4).alias("total"), F.round("value", 2).alias("value"), F.round("wins_added", 4).alias("wins_added"), F.row_number().over(Window.orderBy(F.desc(F.round("value", 6)), "player_id")).alias("rank"))
+    v = ratings.ranked(_value(spark, d).withColumn("by", F.round("value", 6)), "by", "player_id")
+    return v.select("player_id", F.round("total", 4).alias("total"), F.round("value", 2).alias("value"), F.round("wins_added", 4).alias("wins_added"), "rank")
 
 
 @query("""WITH b AS (SELECT l_suppkey + 1000 AS o, cast(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS df, l_extendedprice / 100 AS pts, l_quantity AS w FROM lineitem JOIN part ON l_partkey = p_partkey), tot AS (SELECT sum(pts) AS p, sum(w) AS w FROM b),
@@ -374,7 +361,8 @@ def q32_cumulative_curve(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT round(avg(c_acctbal), 4) AS mean, round(stddev_pop(c_acctbal), 4) AS sd, count(*) AS n FROM customer")
 def q33_standardize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").agg(F.round(F.avg("c_acctbal"), 4).alias("mean"), F.round(F.stddev_pop("c_acctbal"), 4).alias("sd"), F.count("*").alias("n"))
+    s = ratings.feature_stats(table(spark, d, "customer"), ["c_acctbal"], "c_acctbal")
+    return s.select(F.round("m_c_acctbal", 4).alias("mean"), F.round("s_c_acctbal", 4).alias("sd"), "n")
 
 
 @query()
@@ -390,7 +378,7 @@ def q34_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def q35_top_orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+    return files.rows_where(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 20)
 
 
 @query(_VALUE + " SELECT player_id, s_name AS name, round(total, 4) AS total, round(value, 2) AS value FROM v JOIN supplier ON player_id = s_suppkey WHERE trim(s_name) <> ''")
