@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import plain_unions
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: written and not dropped yet: path -> session
 _left: dict[str, SparkSession] = {}
@@ -46,7 +48,7 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage durably."""
-    spark = df.sparkSession
+    spark = plain_unions(df).sparkSession
     path = new_path(spark, tag)
     with shuffles_end(spark):
         df.write.parquet(path)
