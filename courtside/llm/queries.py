@@ -67,4 +67,43 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_tensored, op2_fuzzy_lines, op3_secret_links, op4_quality_rules, op5_context_tree, op6_language_bitmask, op7_pfair_mix, op8_byte_conv, op9_decontamination, op10_chat_windows)}
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Trained models, scheduling, fuzzy lines and linked spans are beyond SQL.
+SQL: dict[str, str] = {
+    "op1_minhash_tensored": rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reached.doc_id, both_ways.v FROM reached JOIN both_ways ON reached.r = both_ways.u
+), least AS (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op9_decontamination": rf"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: array_to_string(w[i:i + 9], ' '))) AS s
+  FROM items WHERE len(w) > 0
+), places AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (SELECT DISTINCT n FROM windows))
+), found AS (SELECT rid, i, n, item FROM places JOIN windows USING (n, s)),
+hit AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM found) GROUP BY rid),
+own AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN hit USING (rid) LEFT JOIN own USING (rid)""",
+}
