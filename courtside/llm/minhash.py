@@ -7,7 +7,7 @@ Two small collections of ``half_keys`` half keys are computed, each half key fro
 
 How it stays near linear without losing links:
 
-1. Documents with equal shingle sets form one class; only its least document goes on.
+1. Documents with equal shingle sets form one class, found by a hash of the set's digest; one row of it goes on.
 2. Each bucket pairs its members with its least member (a star, not all pairs). Pairs are confirmed on full
    shingle sets, read from the texts, and joined to components.
 3. Members of different components around one pivot are paired only if they share one of the rarest shingles by
@@ -25,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
 from .components import components
-from .shared import written
+from .shared import drop_written, written
 
 U64 = np.uint64
 #: of ``half_keys * 2 * rows`` 4-bit remainders, a linked pair (15 % unequal sets) has 14 % unequal on average;
@@ -49,7 +49,7 @@ def _signatures(width: int, rows: int, half_keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = vec.buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids, mark = batch.column("doc_id"), batch.column("mark")
             for i, j in vec.slices(offs):
                 own = vec.distinct_shingles(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], width)
                 n = np.array([len(x) for x in own], np.int64)
@@ -68,21 +68,25 @@ def _signatures(width: int, rows: int, half_keys: int):
                         for k in range(4):
                             bits[k, full] |= ((low >> U64(k)) & U64(1)) << U64(h % 64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))]
+                    [ids.slice(i, j - i), mark.slice(i, j - i), pa.array(n), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64))]
                     + [pa.array(b.view(np.int64)) for b in bits]
                     + [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(half[:, c : c + half_keys]).ravel().view(np.int64)), half_keys).cast(pa.list_(pa.int64())) for c in (0, half_keys)],
-                    names=["doc_id", "n_shingles", "sig_lo", "sig_hi", "b0", "b1", "b2", "b3", "left_keys", "right_keys"],
+                    names=["doc_id", "mark", "n_shingles", "sig_lo", "sig_hi", "b0", "b1", "b2", "b3", "left_keys", "right_keys"],
                 )
 
     return run
 
 
+def _mark() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def signatures(docs: DataFrame, width: int = 5, rows: int = 2, half_keys: int = 7) -> DataFrame:
-    """doc_id, set size, 128-bit digest of the set, 4 planes of MinHash bits and both half-key collections."""
+    """doc_id, hash of id and text, set size, 128-bit digest of the set, 4 planes of MinHash bits and both half-key collections."""
     if 2 * rows * half_keys > 64:
         raise ValueError("at most 64 MinHash values fit the bit planes")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signatures(width, rows, half_keys), "doc_id long, n_shingles long, sig_lo long, sig_hi long, b0 long, b1 long, b2 long, b3 long, left_keys array<long>, right_keys array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), F.col("text").cast("string").alias("text")).mapInArrow(
+        _signatures(width, rows, half_keys), "doc_id long, mark long, n_shingles long, sig_lo long, sig_hi long, b0 long, b1 long, b2 long, b3 long, left_keys array<long>, right_keys array<long>"
     )
 
 
@@ -127,11 +131,12 @@ def _compare(width: int, percent: int):
     return run
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) compared on their full shingle sets."""
-    a = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    b = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "text_u", "text_v").mapInArrow(_compare(width, percent), "u long, v long, linked boolean, differs array<long>")
+def _compared(pairs: DataFrame, named: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes compared on their full shingle sets. ``named``: (doc_id, mark) of classes."""
+    name = lambda c: named.select(F.col("doc_id").alias(c), F.col("mark").alias(f"mark_{c}"))
+    a, b = (texts.select(F.col("mark").alias(f"mark_{c}"), F.col("text").alias(f"text_{c}")) for c in "uv")
+    marked = pairs.join(name("u"), "u").join(name("v"), "v")
+    return marked.join(a, "mark_u").join(b, "mark_v").select("u", "v", "text_u", "text_v").mapInArrow(_compare(width, percent), "u long, v long, linked boolean, differs array<long>")
 
 
 def _plausible(a: str, b: str, percent: int, unequal: int):
@@ -153,15 +158,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
     components of all its texts. A null doc_id is returned as its own, kept. Columns besides doc_id and text
     are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sig = written(signatures(docs, width, rows, half_keys), "minhash-signatures")
+    sig = written(signatures(docs, width, rows, half_keys), "minhash-signatures").withColumn("cid", F.xxhash64("sig_lo", "sig_hi", "n_shingles"))
     some = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("sig_lo", "sig_hi", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = some.join(classes, ["sig_lo", "sig_hi", "n_shingles"]).select("doc_id", "rep")
-    reps = written(
-        some.join(classes, (some.sig_lo == classes.sig_lo) & (some.sig_hi == classes.sig_hi) & (some.n_shingles == classes.n_shingles) & (some.doc_id == classes.rep), "left_semi").dropDuplicates(["doc_id"]),
-        "minhash-classes",
-    )
+    # a class goes by its least doc_id, so that an original is met before its copies; of classes that share one (an id
+    # with several texts) all but one go by a hash. The row of least hash stands for its class
+    classes = some.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"))
+    one = classes.groupBy("least").agg(F.min("cid").alias("first_cid"))
+    classes = written(classes.join(one, "least").select("cid", "least", "mark", F.when(F.col("cid") == F.col("first_cid"), F.col("least")).otherwise(F.col("mark")).alias("rep")), "minhash-named")
+    reps = some.drop("doc_id", "sig_lo", "sig_hi", "cid").join(classes.select("mark", F.col("rep").alias("doc_id")), "mark").dropDuplicates(["mark"])
+    reps = written(reps, "minhash-classes")
     meta = reps.select("doc_id", "n_shingles", "b0", "b1", "b2", "b3")
     table_keys = F.expr(f"flatten(transform(left_keys, (a, i) -> transform(right_keys, (b, j) -> xxhash64(a, b, i * {half_keys} + j))))")
     rows_ = reps.select(F.col("doc_id").alias("rep"), F.explode(table_keys).alias("key"))
@@ -169,7 +174,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
     buckets = written(rows_.join(shared, "key"), "minhash-buckets")
 
     unequal = int(2 * rows * half_keys * UNEQUAL_SHARE)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = reps.select("doc_id", "mark")
+    texts = docs.select(_mark().alias("mark"), F.col("text").cast("string").alias("text")).join(reps.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
 
     def plausible(pairs: DataFrame) -> DataFrame:
         return (
@@ -177,7 +183,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
         )
 
     stars = written(plausible(buckets.filter("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()), "minhash-stars")
-    stars = written(_compared(stars, texts, width, percent), "minhash-compared")
+    stars = written(_compared(stars, named, texts, width, percent), "minhash-compared")
     links = stars.filter("linked").select("u", "v")
     comp = components(links)
 
@@ -226,8 +232,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
     met_with = stars.groupBy(F.col("v").alias("rep")).agg(F.collect_set("u").alias("pivots"))
     strange = strange.join(met_with, "rep", "left").withColumn("pivots", F.array_append(F.coalesce("pivots", F.array().cast("array<long>")), F.col("rep")))
     strange = written(strange.withColumn("p", F.array_min("pivots")), "minhash-far")
-    own = strange.join(texts, F.col("rep") == F.col("doc_id")).select("rep", "text").mapInArrow(_shingles(width), "rep long, shingle long").join(strange.drop("pivots"), "rep")
-    own = written(own, "minhash-far-shingles")
+    own = strange.select("rep").join(named, F.col("rep") == F.col("doc_id")).join(texts, "mark").select("rep", "text").mapInArrow(_shingles(width), "rep long, shingle long").join(strange.drop("pivots"), "rep")
+    own = own_sh = written(own, "minhash-far-shingles")
     often = own.groupBy("shingle").agg(F.count("*").alias("often"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("p").alias("p0"), F.max("p").alias("p1"), F.bool_or("far").alias("met")).filter("c0 <> c1 and p0 <> p1 and met").select("shingle", "often")
     first = own.join(often, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy("often", "shingle")))
     first = first.withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("rep")))
@@ -239,13 +245,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
         .distinct()
     )
     rest = written(plausible(close.unionByName(distant).distinct()).join(stars.select("u", "v"), ["u", "v"], "left_anti"), "minhash-rest")
-    links = links.unionByName(written(_compared(rest, texts, width, percent).filter("linked").select("u", "v"), "minhash-links"))
+    links = links.unionByName(written(_compared(rest, named, texts, width, percent).filter("linked").select("u", "v"), "minhash-links"))
     # an id that repeats with different texts ties their classes together
-    tied = members.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    several = some.groupBy("doc_id").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("doc_id")
+    tied = some.join(several, "doc_id").select("doc_id", "cid").distinct().join(classes, "cid").select("doc_id", "rep")
+    tied = tied.join(tied.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v").filter("u <> v")
     comp = components(links.unionByName(tied))
+    # each class with the least id of its component; written, so that a large class's join can be split
+    own = classes.join(comp, F.col("rep") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "rep").alias("c"))
+    least = own.groupBy("c").agg(F.min("least").alias("component_id"))
+    least = written(own.join(least, "c").select("cid", "component_id"), "minhash-components")
+    drop_written(classes, reps, buckets, stars, ranked, strange, own_sh, first, rest)
     return (
-        sig.select("doc_id", "n_shingles")
-        .join(comp, F.col("doc_id") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        sig.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("cid")).alias("cid"))
+        .join(least, "cid", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
