@@ -2,21 +2,23 @@
 
 1. Lines are normalised (A-Z lower-cased; words of digits, letters and non-ASCII bytes, single spaces). Lines of at
    least ``min_words`` words take part. Equal normalised lines form one class, found by a 64-bit hash.
-2. Classes of at least ``fuzzy_words`` words meet by a prefix filter that loses no pair: one word edit changes at
-   most ``GRAM`` of a line's runs of ``GRAM`` words, so lines within the allowed edits share a known number of runs,
-   and under one order of runs (by hash) the first few of both (``prefixes``) have one in common. Blocks of one run
-   are joined as a star around the least class, then what the star left unlinked is joined with all of its block.
-   Both are filtered by what any link must meet: the numbers of words, and the parities of the words in 256 bins,
-   of which an edit changes two at most.
-3. Candidates are verified by edit similarity over their normalised words: ``1 - levenshtein / more words``.
+2. Classes meet by a prefix filter that loses no pair: one word edit changes at most ``GRAM`` of a line's runs of
+   ``GRAM`` words, so lines within the allowed edits share a known number of runs, and under one order of runs the
+   first few of both (``prefixes``) have one in common. Any order is right; rare runs go first, so that what many
+   lines share joins nothing. How frequent runs are is counted over all texts into ``2 ** LEVEL_BITS`` counters, a
+   megabyte whatever the input. Blocks of one run are joined as stars around a few of their lines, then what the
+   stars left unlinked is joined with all of its block. All are filtered by what any link must meet: the numbers of
+   words, the places of the run in both lines, which edits shift, and the parities of the words in 256 bins.
+3. Candidates are verified by edit similarity over their normalised words: ``1 - edits / more words``. What the stars
+   left is verified family by family, and no link is sought between lines that are joined already.
 4. Verified links and classes form connected groups; the first occurrence by (doc_id, line) of each group stays.
 
-Line texts are read again only for candidates; hashes travel otherwise.
+SimHash blocks were built first and given up: at the similarities that edit distance allows, few edited lines share a
+block (README). Texts are read four times: for the classes and counts, the runs, the words of candidates, the result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +28,26 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .components import components
-from .decontam import normalise
-from .shared import drop_written, written
+from .shared import drop_written, shuffles_end, written
 
 U64 = np.uint64
 GRAM = 3
-#: a run's hash, below its line's number in one sort key
-KEY_BITS, KEY_BYTES = 40, 5
+#: a run's hash, below its counter's level and its line's number in one sort key
+KEY_BITS, LEVEL = 40, 6
+KEY_MASK = U64((1 << KEY_BITS) - 1)
+#: counters of runs, and those that travel in one row
+LEVEL_BITS, CHUNK = 18, 1 << 14
+#: bits of the filter that finds the lines to be verified
+FILTER_BITS = 25
+#: the place of a run that stands more than once, or that far in a line; longest line that is told apart
+ANYWHERE = 0xFFFF
+#: stars of a block; lines of a block that are looked at two by two
+STARS, WIDE = 4, 64
 #: words of lines for each part of the keys, which one task sorts
-PART_WORDS = 8_000_000
+PART_WORDS = 4_000_000
+#: lines of one sort; of one tile of a block; of the tiles that one task compares
+LINES, TILE, PART_LINES = 1 << 17, 1 << 11, 100_000
+PARITIES = ("p0", "p1", "p2", "p3")
 
 
 def edits(n, similarity: float):
@@ -62,14 +75,13 @@ def prefixes(n: np.ndarray, similarity: float, q: int) -> np.ndarray:
     return n - q + 2 - np.array([need[k : int(k / similarity) + 2].min() for k in own])[which]
 
 
-def lines_of(b: np.ndarray, offs: np.ndarray, fuzzy_words: int, similarity: float = 0.85):
-    """Of every line with a word: row, number in its row, hash, words, four words of parities, and the keys by which it
-    meets others with their offsets (zeros and no keys if too short)."""
+def lines_of(b: np.ndarray, offs: np.ndarray):
+    """Of every line with a word: row, number in its row, hash, words; and the hashes of all words."""
     b = vec.LOWER[b]
     s, e, rows = vec.word_spans(b, offs, vec.ALNUM)
     if not len(s):
         z = np.zeros(0, np.int64)
-        return z, z, z.view(U64), z, [z.view(U64)] * 4, z.view(U64), np.zeros(1, np.int64)
+        return z, z, z.view(U64), z, z.view(U64)
     breaks = np.concatenate(([0], np.cumsum(b == 10)))
     line = breaks[s]  # lines before it in the slice
     number = line - breaks[offs[rows]]
@@ -78,124 +90,407 @@ def lines_of(b: np.ndarray, offs: np.ndarray, fuzzy_words: int, similarity: floa
     w = vec.span_hash(b, s, e)
     up, down = vec._powers(len(w))
     c = np.concatenate((np.zeros(1, U64), np.cumsum(w * up[: len(w)], dtype=U64)))
-    h = vec.mix((c[first + n] - c[first]) * down[first] + n.astype(U64))
-    parity = [np.zeros(len(first), U64) for _ in range(4)]
-    keys, n_keys = np.zeros(0, U64), np.zeros(len(first), np.int64)
-    far = np.flatnonzero(n >= fuzzy_words)
-    if len(far):
-        x, m = w[np.repeat(n >= fuzzy_words, n)], n[far]
-        cut = np.concatenate(([0], np.cumsum(m)[:-1]))
-        bit = U64(1) << ((x >> U64(56)) & U64(63))
-        for k, out in enumerate(parity):
-            out[far] = np.bitwise_xor.reduceat(np.where(x >> U64(62) == U64(k), bit, U64(0)), cut)
-        q = gram_width(similarity, fuzzy_words)
-        own = np.repeat(np.arange(len(far)).astype(U64), m)
-        g = np.zeros(len(x) - q + 1, U64)
-        for k in range(q):
-            g += x[k : len(x) - q + 1 + k] * vec.SEQ[k]
-        inside = own[: len(g)] == own[q - 1 :]
-        g, own, mask = vec.mix(g[inside] + U64(q)), own[: len(g)][inside] << U64(KEY_BITS), U64((1 << KEY_BITS) - 1)
-        packed = np.sort(own | (g & mask))
+    return rows[first], number[first], vec.mix((c[first + n] - c[first]) * down[first] + n.astype(U64)), n, w
+
+
+def runs_of(w: np.ndarray, n: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of ``q`` words in lines of ``n`` words each, and their lines."""
+    own = np.repeat(np.arange(len(n)), n)
+    if len(w) < q:
+        return np.zeros(0, U64), own[:0]
+    g = np.zeros(len(w) - q + 1, U64)
+    for k in range(q):
+        g += w[k : len(w) - q + 1 + k] * vec.SEQ[k]
+    inside = own[: len(g)] == own[q - 1 :]
+    return vec.mix(g[inside] + U64(q)) & KEY_MASK, own[: len(g)][inside]
+
+
+def shown_runs(w: np.ndarray, n: np.ndarray, similarity: float, q: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys that each line of ``n`` words (``q`` at least) shows, rare ones first, their places (ANYWHERE if the line
+    has the run more than once), and how many."""
+    key, own = runs_of(w, n, q)
+    runs = n - q + 1
+    begin = np.concatenate(([0], np.cumsum(runs)[:-1]))
+    level = lambda k: levels[(k >> U64(KEY_BITS - LEVEL_BITS)).astype(np.int64)].astype(U64)
+    packed = (own.astype(U64) << U64(KEY_BITS + LEVEL)) | (level(key) << U64(KEY_BITS)) | key
+    order = np.argsort(packed)
+    x = packed[order]
+    place = order - begin[own[order]]
+    same = x[1:] == x[:-1]
+    if same.any():
         # a run's repeats in its line are runs of their own: its first, its second ...
-        start = np.concatenate(([True], packed[1:] != packed[:-1]))
-        at = np.arange(len(packed))
-        nth = at - np.maximum.accumulate(np.where(start, at, 0))
-        if nth.any():
-            packed = np.sort(np.where(nth > 0, (packed & ~mask) | (vec.mix((packed & mask) + nth.astype(U64) * vec.STEP) & mask), packed))
-        runs, shown = m - q + 1, prefixes(m, similarity, q)
-        begin = np.concatenate(([0], np.cumsum(runs)[:-1]))
-        keys = packed[at - np.repeat(begin, runs) < np.repeat(shown, runs)] & mask
-        n_keys[far] = np.minimum(runs, shown)
-    return rows[first], number[first], h, n, parity, keys, np.concatenate(([0], np.cumsum(n_keys)))
-
-
-def _all_lines(min_words: int, fuzzy_words: int, similarity: float):
+        place[np.concatenate((same, [False])) | np.concatenate(([False], same))] = ANYWHERE
+        at = np.arange(len(x))
+        nth = at - np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), at, 0))
+        key = np.where(nth > 0, vec.mix((x & KEY_MASK) + nth.astype(U64) * vec.STEP), x) & KEY_MASK
+        x = (x >> U64(KEY_BITS + LEVEL) << U64(KEY_BITS + LEVEL)) | (level(key) << U64(KEY_BITS)) | key
+        order = np.argsort(x)
+        x, place = x[order], place[order]
+    shown = np.minimum(runs, prefixes(n, similarity, q))
+    keep = np.arange(len(x)) - np.repeat(begin, runs) < np.repeat(shown, runs)
+    return x[keep] & KEY_MASK, np.minimum(place[keep], ANYWHERE).astype(np.uint16), shown
+
+
+def near_places(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether lines of ``n`` and ``m`` words that hold a run at ``i`` and ``j`` can be linked with the run in place:
+    the edits before it are as many as its shift at least, those after it as the shift of the lines' ends from it."""
+    shift, ends = np.abs(i - j), np.abs((n - i) - (m - j))
+    most = edits(np.maximum(n, m), similarity)
+    return (np.abs(n - m) <= most) & ((i == ANYWHERE) | (j == ANYWHERE) | (n >= ANYWHERE) | (m >= ANYWHERE) | (shift + ends <= most))
+
+
+def pieces(raw: np.ndarray, offs: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int]]:
+    """Bytes, offsets, row range and first line of slices of rows; a longer row is cut between its lines."""
+    for i, j in vec.slices(offs, limit):
+        if j > i + 1 or offs[j] - offs[i] <= limit:
+            yield raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i, j, 0
+            continue
+        b = raw[offs[i] : offs[j]]
+        ends = np.concatenate((np.flatnonzero(b == 10) + 1, [len(b)]))
+        at = line = 0
+        while at < len(b):
+            k = max(int(np.searchsorted(ends, at + limit, "right")) - 1, line)
+            yield b[at : ends[k]], np.array([0, ends[k] - at]), i, j, line
+            at, line = int(ends[k]), k + 1
+
+
+def _all_lines(min_words: int, fuzzy_words: int, q: int):
+    """Every line that takes part; then the counters of the task's runs, in rows of ``CHUNK``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << LEVEL_BITS, np.int64)
         for batch in batches:
             raw, offs = vec.buffers(batch.column("text"))
-            for i, j in vec.slices(offs, 1 << 19):
-                row, number, h, n, parity, keys, cut = lines_of(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], fuzzy_words, similarity)
+            for b, o, i, j, line in pieces(raw, offs):
+                row, number, h, n, w = lines_of(b, o)
+                parity = [np.zeros(len(n), U64) for _ in PARITIES]
+                fuzzy = n >= fuzzy_words
+                if fuzzy.any():
+                    x, m = w[np.repeat(fuzzy, n)], n[fuzzy]
+                    cut = np.concatenate(([0], np.cumsum(m)[:-1]))
+                    bit = U64(1) << ((x >> U64(56)) & U64(63))
+                    for k, out in enumerate(parity):
+                        out[fuzzy] = np.bitwise_xor.reduceat(np.where(x >> U64(62) == U64(k), bit, U64(0)), cut)
+                    counts += np.bincount((runs_of(x, m, q)[0] >> U64(KEY_BITS - LEVEL_BITS)).astype(np.int64), minlength=len(counts))
                 ok = n >= min_words
                 take = pa.array(row[ok])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i).take(take), batch.column("mark").slice(i, j - i).take(take), pa.array(number[ok].astype(np.int64)), pa.array(h[ok].view(np.int64)), pa.array((n[ok] >= fuzzy_words)), pa.array(n[ok].astype(np.int64))]
-                    + [pa.array(p[ok].view(np.int64)) for p in parity]
-                    + [pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer((cut * KEY_BYTES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]))]).filter(pa.array(ok))],
-                    names=["doc_id", "mark", "line", "h", "fuzzy", "n", "p0", "p1", "p2", "p3", "keys"],
+                    [batch.column("doc_id").slice(i, j - i).take(take), batch.column("mark").slice(i, j - i).take(take), pa.array(number[ok].astype(np.int64) + line), pa.array(h[ok].view(np.int64)), pa.array(fuzzy[ok]), pa.array(n[ok].astype(np.int64))]
+                    + [pa.array(p[ok].view(np.int64)) for p in parity] + [pa.nulls(int(ok.sum()), pa.int64()), pa.nulls(int(ok.sum()), pa.binary())],
+                    names=["doc_id", "mark", "line", "h", "fuzzy", "n", *PARITIES, "chunk", "counts"],
                 )
+        if counts.any():
+            none = pa.nulls(len(counts) // CHUNK, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [none] * 4 + [none.cast(pa.bool_())] + [none] * 5 + [pa.array(np.arange(len(none))), pa.array([x.tobytes() for x in counts.reshape(-1, CHUNK)], pa.binary())],
+                names=["doc_id", "mark", "line", "h", "fuzzy", "n", *PARITIES, "chunk", "counts"],
+            )
 
     return run
 
 
-def _dealt(part_bits: int):
-    """(h, keys) -> parts of the keys, many keys in a row: the low 32 bits of each key, then each h."""
+def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(x, np.int64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
+
+
+def _levels(every: DataFrame) -> np.ndarray:
+    """For each counter the bits of its sum over all tasks: 2 ** LEVEL_BITS bytes."""
+    part = every.filter("chunk is not null").select("chunk", "counts").mapInArrow(_add_chunks, "chunk long, counts binary")
+    both = part.groupBy("chunk").applyInArrow(lambda table: pa.Table.from_batches(_add_chunks(iter(table.to_batches())), pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])), "chunk long, counts binary")
+    counts = np.zeros((1 << LEVEL_BITS) // CHUNK * CHUNK, np.int64)
+    for r in both.toArrow().to_pylist():
+        counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
+    return np.ceil(np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def _dealt(fuzzy_words: int, similarity: float, q: int, part_bits: int, levels):
+    """Texts -> parts of the keys that their lines show, many keys in a row: the low 32 bits of each key, then each h."""
     shift = U64(KEY_BITS - part_bits)
 
     def flush(held):
-        k, h = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+        h, words, n, k, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        # a line that is repeated shows its keys once
+        own = np.zeros(len(h), bool)
+        own[np.unique(h, return_index=True)[1]] = True
+        every, n = np.repeat(own, n), n[own]
+        k, place = k[every], place[every]
         order = np.argsort(k)
-        k, h = k[order], h[order]
+        k, columns = k[order], [k[order].astype(np.uint32), np.repeat(h[own], n)[order], np.repeat(np.minimum(words[own], 0xFFFF).astype(np.uint16), n)[order], place[order]]
         cut = np.searchsorted(k >> shift, np.arange((1 << part_bits) + 1).astype(U64))
-        low = k.astype(np.uint32)
         some = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([low[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), pa.array([h[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "low", "hs"])
+        yield pa.RecordBatch.from_arrays([pa.array(some)] + [pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()) for c in columns], names=["part", "low", "hs", "ns", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            raw = b"".join(batch.column("keys").to_pylist())
-            k = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
-            k[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
-            n = np.diff(np.frombuffer(batch.column("keys").buffers()[1], np.int32)[batch.column("keys").offset :][: batch.num_rows + 1]) // KEY_BYTES
-            held.append((k.view(U64)[:, 0], np.repeat(batch.column("h").to_numpy(), n)))
-            size += len(k)
-            if size > 1_000_000:
-                yield from flush(held)
-                held, size = [], 0
+            raw, offs = vec.buffers(batch.column("text"))
+            for b, o, *_ in pieces(raw, offs):
+                _, _, h, n, w = lines_of(b, o)
+                fuzzy = n >= fuzzy_words
+                w, h, n = w[np.repeat(fuzzy, n)], h[fuzzy], n[fuzzy]
+                cut = np.concatenate(([0], np.cumsum(n)))
+                for i in range(0, len(n), LINES):
+                    m = n[i : i + LINES]
+                    keys, places, shown = shown_runs(w[cut[i] : cut[i + len(m)]], m, similarity, q, levels.value)
+                    held.append((h[i : i + LINES], m, shown, keys, places))
+                    size += len(keys)
+                if size > 1_000_000:
+                    yield from flush(held)
+                    held, size = [], 0
         if size:
             yield from flush(held)
 
     return run
 
 
-def _met(part_bits: int):
-    """Of one part: (key, h, pivot) of each key that several lines show, pivot being the least of them."""
+MET = "key long, place int, u long, v long"
+
+
+def _met(part_bits: int, similarity: float):
+    """Of one part's keys that several lines show: pairs (u, v) of ``STARS`` stars of each block, of lines that can be
+    linked; and (key, place, v) of the lines that can be linked with others yet."""
     top = KEY_BITS - part_bits
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        k = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint32)
-        h = np.frombuffer(b"".join(table.column("hs").to_pylist()), np.int64)
+        k, h, n, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("hs", np.int64), ("ns", np.uint16), ("places", np.uint16)))
         order = np.argsort(k)
         x = k[order]
         same = x[1:] == x[:-1]
         order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        order = order[np.lexsort((h[order], k[order]))]
         k, h = k[order], h[order]
-        order = np.lexsort((h, k))
-        k, h = k[order], h[order]
-        # a line that is repeated shows its keys each time
+        # a line that tasks repeat shows its keys to each
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))[: len(k)]
-        k, h = k[new], h[new]
+        k, h, n, place = k[new], h[new], n[order][new].astype(np.int64), place[order][new].astype(np.int64)
+        left, pairs, star = np.arange(len(k)), [], np.full(len(k), -1)
+        for _ in range(STARS):
+            first = np.flatnonzero(np.concatenate(([True], k[left][1:] != k[left][:-1]))[: len(left)])
+            size = np.diff(np.concatenate((first, [len(left)])))
+            pivot = np.repeat(left[first], size)
+            near = near_places(n[pivot], n[left], place[pivot], place[left], similarity) & (size.repeat(size) > 1)
+            star[left[near]] = pivot[near]
+            hit = near & (left != pivot)
+            pairs.append(np.stack([h[pivot[hit]], h[left[hit]]]))
+            left = left[~near & (left != pivot)]
+        u, v = np.concatenate(pairs, axis=1)
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        once = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))[: len(u)]
+        # who can be linked with another line of the block than its star's pivot; of wide blocks, all
+        open_ = np.zeros(len(k), bool)
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
-        n = np.diff(np.concatenate((first, [len(k)])))
-        pivot, n = np.repeat(h[first], n), np.repeat(n, n)
-        full = ((key[0].as_py() << top) & ~0xFFFFFFFF) | k.astype(np.int64)
-        return pa.table({"key": full[n > 1], "h": h[n > 1], "pivot": pivot[n > 1]})
+        size = np.diff(np.concatenate((first, [len(k)])))
+        open_[np.repeat(size, size) > WIDE] = True
+        for step in range(1, min(WIDE, int(size.max(initial=1)))):
+            i = np.flatnonzero(k[step:] == k[:-step])
+            j = i + step
+            near = near_places(n[i], n[j], place[i], place[j], similarity) & (star[i] != j) & (star[j] != i)
+            open_[i[near]] = open_[j[near]] = True
+        full = ((key[0].as_py() << top) & ~0xFFFFFFFF) | k[open_].astype(np.int64)
+        n_pairs, n_open = int(once.sum()), int(open_.sum())
+        none = pa.nulls(n_pairs, pa.int64())
+        return pa.table({"key": pa.concat_arrays([none, pa.array(full)]), "place": pa.concat_arrays([none.cast(pa.int32()), pa.array(place[open_].astype(np.int32))]), "u": pa.concat_arrays([pa.array(u[once]), pa.nulls(n_open, pa.int64())]), "v": np.concatenate((v[once], h[open_]))})
+
+    return run
+
+
+def _near(x: dict[str, np.ndarray], block: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of lines of one block, in different components, that pass the filters. Lines stand by number of
+    words in each block, so a line meets only those whose number allows a link. Tiles of one line meet others only."""
+    parity = np.stack([x[p].view(U64) for p in PARITIES], axis=1)
+    i, step = np.arange(len(block)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(block)]
+        j = i + step
+        gap = x["n"][j] - x["n"][i]
+        near = (block[i] == block[j]) & (gap <= edits(x["n"][j], similarity))
+        i, j, gap = i[near], j[near], gap[near]
+        ok = (x["c"][i] != x["c"][j]) & ((x["a"][i] == x["b"][i]) | (x["own"][i] != x["own"][j]))
+        if "place" in x:
+            ok &= near_places(x["n"][i], x["n"][j], x["place"][i], x["place"][j], similarity)
+        u, v = i[ok], j[ok]
+        ok = np.bitwise_count(parity[u] ^ parity[v]).sum(axis=1) + gap[ok] <= 2 * edits(x["n"][v], similarity)
+        yield u[ok], v[ok]
+
+
+def _ordered(table: pa.Table, group: str, more: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Columns, the order of the rows in them, and the tile of each: by group, tile and number of words."""
+    x = {c: table.column(c).to_numpy() for c in (group, "a", "b", "n", "h", "c", "own", *PARITIES, *more)}
+    order = np.lexsort((x["n"], x["b"], x["a"], x[group]))
+    x = {k: v[order] for k, v in x.items()}
+    start = np.zeros(len(order), bool)
+    start[:1] = True
+    for c in (group, "a", "b"):
+        start[1:] |= x[c][1:] != x[c][:-1]
+    return x, order, np.cumsum(start)
+
+
+def _families(similarity: float):
+    """Of tiles of blocks, pairs (u, v) that join the lines that may be linked: no more than there are lines."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x, _, block = _ordered(table, "key", ("place",))
+        x["place"] = x["place"].astype(np.int64)
+        u, v = (np.concatenate(z) for z in zip(*_near(x, block, similarity), strict=True))
+        name, at = np.unique(x["h"], return_inverse=True)
+        pairs = np.unique(at[u].astype(np.int64) << 32 | at[v])
+        u, v = pairs >> 32, pairs & 0xFFFFFFFF
+        some = np.fromiter(_joined(len(name), zip(u.tolist(), v.tolist(), strict=True)), np.int64)
+        return pa.table({"u": name[u[some]], "v": name[v[some]]})
+
+    return run
+
+
+def _family_links(similarity: float):
+    """Of tiles of families, links (u, v) that join all that is linked: those between lines joined already are not sought."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x, order, block = _ordered(table, "family", ())
+        raw = table.column("words").to_pylist()
+        words = [np.frombuffer(raw[k], np.uint32) for k in order]
+        root = np.unique(x["c"], return_inverse=True)[1]
+        name = np.arange(int(root.max(initial=-1)) + 1)
+        found = []
+        for u, v in _near(x, block, similarity):
+            open_ = name[root[u]] != name[root[v]]
+            u, v = u[open_], v[open_]
+            if not len(u):
+                continue
+            ok = near_lines(words, u, v, similarity)
+            u, v = u[ok], v[ok]
+            for k in range(len(u)):
+                a, b = name[root[u[k]]], name[root[v[k]]]
+                if a != b:
+                    name[name == b] = a
+                    found.append((x["h"][u[k]], x["h"][v[k]]))
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def _filter_of(hashes: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of ``2 ** FILTER_BITS`` bits, in words of 64, with those of all hashes set."""
+    found = hashes.select(F.shiftrightunsigned(col, 64 - FILTER_BITS).alias("b")).selectExpr("b >> 6 as k", "shiftleft(1L, cast(b & 63 as int)) as b").groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[found["k"].to_numpy()] = found["b"].to_numpy()
+    return out
+
+
+def _in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    x = hashes.view(U64) >> U64(64 - FILTER_BITS)
+    return (bits[(x >> U64(6)).astype(np.int64)].view(U64) >> (x & U64(63))) & U64(1) == 1
+
+
+def _words_of(marks, lines):
+    """(mark, text) -> (h, words) of the lines that may be wanted, four bytes of hash for each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            batch = whole.filter(pa.array(_in_filter(marks.value, whole.column("mark").to_numpy())))
+            raw, offs = vec.buffers(batch.column("text"))
+            for b, o, *_ in pieces(raw, offs):
+                _, _, h, n, w = lines_of(b, o)
+                ok = _in_filter(lines.value, h)
+                code = (w[np.repeat(ok, n)] >> U64(32)).astype(np.uint32)
+                cut = np.concatenate(([0], np.cumsum(n[ok]))).astype(np.int32) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(code)])], names=["h", "words"])
 
     return run
 
 
-def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Normalised lines as strings of one character for each word, so that an edit is an edit of a word."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
-            hs, out = [], []
-            for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                lines = text.split("\n")
-                for x in wanted:
-                    hs.append(x["h"])
-                    out.append("".join(chr(0x100 + zlib.crc32(w) % 50_000) for w in normalise(lines[x["line"]]).split()))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(out, pa.string())], names=["h", "norm"])
+def near_lines(words: list[np.ndarray], u: np.ndarray, v: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether each pair of lines is within its edits, by a band of the edit table for many pairs at a time."""
+    n, m = (np.array([len(words[k]) for k in z], np.int64) for z in (u, v))
+    u, v = np.where(n >= m, u, v), np.where(n >= m, v, u)  # the longer first
+    n, m = np.maximum(n, m), np.minimum(n, m)
+    most = edits(n, similarity)
+    out = np.zeros(len(u), bool)
+    order = np.argsort(n, kind="stable")
+    i, sizes = 0, n[order]
+    while i < len(order):
+        wide = int(most[order[i]])
+        # lines of about the same length, cells of the band that fit a cache
+        j = i + max(1, min(int(np.searchsorted(sizes[i:], sizes[i] * 1.15 + 2, "right")), 60_000 // (2 * wide + 1)))
+        own = order[i:j]
+        out[own] = _in_band([words[k] for k in u[own]], [words[k] for k in v[own]], n[own], m[own], most[own])
+        i = j
+    return out
+
+
+def _in_band(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    band, rows = int(most.max()), int(n.max())
+    width = 2 * band + 1
+    kind = np.int16 if rows + width < 1 << 14 else np.int32
+    far = kind(rows + width)
+    x = np.zeros((len(a), rows), np.uint32)
+    y = np.zeros((len(a), rows + width), np.uint32)  # shifted by the band; columns past a line's end don't reach back
+    for k in range(len(a)):
+        x[k, : n[k]] = a[k]
+        y[k, band : band + m[k]] = b[k]
+    col = np.arange(width, dtype=kind)
+    # cell c of row i is column i + c - band of the table
+    now = np.where(col < band, far, col - kind(band)).astype(kind)[None].repeat(len(a), 0)
+    out, live, last = np.zeros(len(a), bool), np.arange(len(a)), n.min()
+    for i in range(1, rows + 1):
+        change = now + (y[:, i - 1 : i - 1 + width] != x[:, i - 1, None])
+        np.minimum(change[:, :-1], now[:, 1:] + kind(1), out=change[:, :-1])
+        if i <= band:
+            change[:, : band - i] = far
+            change[:, band - i] = i  # column 0
+        change -= col
+        np.minimum.accumulate(change, axis=1, out=change)
+        now = change + col
+        ended = np.zeros(len(live), bool)
+        if i >= last:
+            ended = n[live] == i
+            k = live[ended]
+            cell = m[k] - i + band  # within the band, as the gap is within the edits
+            inside = (cell >= 0) & (cell < width)
+            out[k] = inside & (now[ended, np.clip(cell, 0, width - 1)] <= most[k])
+        if i % 8 == 0 or ended.any():
+            keep = ~ended & (now.min(axis=1) <= most[live])
+            if not keep.any():
+                break
+            if ended.any() or 4 * keep.sum() < 3 * len(keep):
+                live, now, x, y = live[keep], now[keep], x[keep], y[keep]
+    return out
+
+
+def _linked(similarity: float):
+    """(u, v, a, b) -> the pairs whose words are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                words = [np.frombuffer(x, np.uint32) for c in ("a", "b") for x in batch.column(c).to_pylist()]
+                k = np.arange(batch.num_rows)
+                yield batch.select(["u", "v"]).filter(pa.array(near_lines(words, k, k + batch.num_rows, similarity)))
+
+    return run
+
+
+def _joined(n: int, pairs: Iterator[tuple[int, int]]) -> Iterator[int]:
+    """Numbers of the pairs that join what none before them joined."""
+    root = list(range(n))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for number, (a, b) in enumerate(pairs):
+        a, b = find(a), find(b)
+        if a != b:
+            root[b] = a
+            yield number
 
 
 def _remove(columns):
@@ -204,65 +499,84 @@ def _remove(columns):
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 out, n, gone = [], [], []
-                for text, drop in zip(b.column("text").to_pylist(), b.column("dropped").to_pylist(), strict=True):
-                    lines = [] if text is None else text.split("\n")
-                    n.append(len(lines))
+                for text, drop in zip(b.column("text").to_pylist(), b.column("_dropped_lines").to_pylist(), strict=True):
+                    n.append(0 if text is None else text.count("\n") + 1)
                     gone.append(len(drop or ()))
                     if drop:
                         drop = set(drop)
-                        text = "\n".join(x for k, x in enumerate(lines) if k not in drop)
+                        text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
                     out.append(text)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in columns] + [pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
 
     return run
 
 
-def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 8, similarity: float = 0.85) -> tuple[DataFrame, DataFrame]:
+def _mark() -> F.Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 6, similarity: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """Lines (doc_id, mark, line, h) and, for lines tied by verified links, (node: h, component: group)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("mark"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    kinds = "doc_id long, mark long, line long, h long, fuzzy boolean, n long, p0 long, p1 long, p2 long, p3 long, keys binary"
-    every = written(texts.mapInArrow(_all_lines(min_words, fuzzy_words, similarity), kinds), "line-keys")
-    parities = ["p0", "p1", "p2", "p3"]
-    one = every.filter("fuzzy").groupBy("h").agg(F.min(F.struct("doc_id", "mark", "line")).alias("at"), *(F.first(c).alias(c) for c in ("n", *parities)))
-    one = written(one, "line-classes")
-    far = every.filter("fuzzy")
-    part_bits = max(KEY_BITS - 32, int(far.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / PART_WORDS).bit_length())
-    dealt = far.select("h", "keys").mapInArrow(_dealt(part_bits), "part long, low binary, hs binary")
-    buckets = written(dealt.groupBy("part").applyInArrow(_met(part_bits), "key long, h long, pivot long"), "line-blocks")
-    lines = written(every.select("doc_id", "mark", "line", "h"), "line-hashes")
-    drop_written(every)
-    meta = one.select("h", "n", *parities)
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    q = gram_width(similarity, fuzzy_words)
+    kinds = "doc_id long, mark long, line long, h long, fuzzy boolean, n long, p0 long, p1 long, p2 long, p3 long, chunk long, counts binary"
+    every = written(texts.mapInArrow(_all_lines(min_words, fuzzy_words, q), kinds), "line-table")
+    lines = every.filter("chunk is null").select("doc_id", "mark", "line", "h")
+    # any occurrence stands for its class here
+    one = written(every.filter("fuzzy").select("h", "mark", "n", *PARITIES).dropDuplicates(["h"]), "line-classes")
+    part_bits = max(KEY_BITS - 32, int(every.filter("fuzzy").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / PART_WORDS).bit_length())
+    levels = spark.sparkContext.broadcast(_levels(every))
+    dealt = texts.select("text").mapInArrow(_dealt(fuzzy_words, similarity, q, part_bits, levels), "part long, low binary, hs binary, ns binary, places binary")
+    met = written(dealt.groupBy("part").applyInArrow(_met(part_bits, similarity), MET), "line-blocks")
+    meta = one.select("h", "n", *PARITIES)
 
     def close(a: str, b: str):
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-        bits = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in parities), F.lit(0))
+        bits = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITIES), F.lit(0))
         allowed = F.floor((1 - similarity) * F.greatest(x, y) + 1e-9)
-        return (F.greatest(x, y) - F.least(x, y) <= allowed) & (bits <= 2 * allowed)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-        wanted = one.join(need, "h").groupBy(F.col("at.mark").alias("mark")).agg(F.collect_list(F.struct("h", F.col("at.line").alias("line"))).alias("wanted"))
-        # a document is read for its first occurrences of lines only, once
-        norm = written(texts.dropDuplicates(["mark"]).join(wanted, "mark").select("text", "wanted").mapInArrow(_texts_of, "h long, norm string"), "line-texts")
-        j = pairs.join(norm.select(F.col("h").alias("u"), F.col("norm").alias("a")), "u").join(norm.select(F.col("h").alias("v"), F.col("norm").alias("b")), "v")
-        longest = F.greatest(F.length("a"), F.length("b"))
-        return written(j.withColumn("far", F.expr(f"levenshtein(a, b, cast(floor({1 - similarity:.6f} * greatest(length(a), length(b))) as int))")).filter((F.col("far") >= 0) & (F.col("far") <= (1 - similarity) * longest)).select("u", "v"), "line-links")
-
-    star = buckets.filter("h <> pivot").select(F.col("pivot").alias("u"), F.col("h").alias("v")).distinct()
+        gap = F.abs(x - y)
+        # a word changed for another flips two bits, a word added or lost one: edits are half of bits and gap at least
+        return (gap <= allowed) & (bits + gap <= 2 * allowed)
+
+    def words_of(need: DataFrame) -> DataFrame:
+        """(h, words) of the lines named in ``need`` (h), read where they stand."""
+        need = written(one.select("h", "mark").join(need, "h"), "line-needed")
+        with shuffles_end(spark):
+            marks, hashes = (spark.sparkContext.broadcast(_filter_of(need, c)) for c in ("mark", "h"))
+        out = written(texts.select("mark", "text").mapInArrow(_words_of(marks, hashes), "h long, words binary").groupBy("h").agg(F.first("words").alias("words")), "line-words")
+        drop_written(need)
+        return out
+
+    star = met.filter("key is null").select("u", "v").distinct()
     star = written(star.join(meta.alias("x"), F.col("u") == F.col("x.h")).join(meta.alias("y"), F.col("v") == F.col("y.h")).filter(close("x", "y")).select("u", "v"), "line-stars")
-    links = verified(star)
+    words = words_of(star.select(F.explode(F.array("u", "v")).alias("h")).distinct())
+    side = lambda pair, own: words.select(F.col("h").alias(pair), F.col("words").alias(own))
+    links = written(star.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_linked(similarity), "u long, v long"), "line-links")
     comp = components(links)
-    # a block whose members, the pivot aside, span components
-    label = buckets.filter("h <> pivot").join(comp, F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("c"))
-    mixed = label.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    label = label.join(mixed, "key").join(meta, "h")
-    rest = (
-        label.alias("x").join(label.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & close("x", "y"))
-        .select(F.col("x.h").alias("u"), F.col("y.h").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    )
-    rest = written(rest, "line-rest")
-    if not rest.isEmpty():
-        comp = components(links.unionByName(verified(rest)))
+
+    def tiled(rows: DataFrame, group: str) -> DataFrame:
+        """Rows with ``tiles`` dealt to pairs of tiles (a, b) of their group, and those to parts."""
+        n_parts = int(rows.agg(F.coalesce(F.sum("tiles"), F.lit(0))).first()[0] / PART_LINES) + 8
+        out = rows.withColumn("own", F.expr("pmod(xxhash64(h), tiles)")).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+        out = out.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "tiles")
+        return out.withColumn("part", F.pmod(F.xxhash64(group, "a", "b"), F.lit(n_parts))).groupBy("part")
+
+    # blocks whose members, but for the stars, span components: lines that may be linked are joined to families
+    label = met.filter("key is not null").select("key", "place", F.col("v").alias("h")).join(comp, F.col("h") == F.col("node"), "left").select("key", "place", "h", F.coalesce("component", "h").alias("c"))
+    label = written(label, "line-labels")
+    tiles = F.ceil(F.count("*") / TILE).alias("tiles")
+    mixed = label.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), tiles).filter("c0 <> c1").select("key", "tiles")
+    blocks = written(label.join(mixed, "key").join(meta, "h"), "line-mixed")
+    near = written(tiled(blocks, "key").applyInArrow(_families(similarity), "u long, v long").distinct(), "line-families")
+    if not near.isEmpty():
+        family = components(near).select(F.col("node").alias("h"), F.col("component").alias("family"))
+        rows = family.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "family", F.coalesce("component", "h").alias("c"))
+        rows = rows.join(meta, "h").join(words_of(family.select("h")), "h").join(family.groupBy("family").agg(tiles), "family")
+        rows = written(rows, "line-members")
+        links = links.unionByName(written(tiled(rows, "family").applyInArrow(_family_links(similarity), "u long, v long"), "line-links"))
+        comp = components(links)
+    drop_written(one, met, star, words, label, blocks, near)
     return lines, comp
 
 
@@ -270,16 +584,17 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     """``columns`` with ``text`` less its repeated lines, n_lines, n_dropped.
 
     The first occurrence of each group by (doc_id, line) stays, within a document and across documents. Lines of
-    fewer than ``min_words`` words are never dropped, nor are documents, which may become empty. Null text: null,
-    no lines. Rows that repeat doc_id and text are one document: both keep the same lines. Null ids come first. An
-    empty table gives no rows; other columns pass if named.
+    fewer than ``min_words`` words are never dropped, nor are documents, which may become empty; lines of fewer than
+    ``fuzzy_words`` words (of which 0.85 allows no edit) are dropped where equal. Null text: null, no lines. Very long
+    texts are cut between lines for the search, never shortened. Rows that repeat doc_id and text are one document:
+    both keep the same lines. Null ids come first. An empty table gives no rows; other columns pass if named.
     """
     lines, comp = line_groups(docs, **params)
+    at = F.struct("doc_id", "mark", "line")
     group = lines.join(comp, F.col("h") == F.col("node"), "left").select("doc_id", "mark", "line", F.coalesce("component", "h").alias("g"))
-    first = group.groupBy("g").agg(F.min(F.struct("doc_id", "mark", "line")).alias("first"), F.max(F.struct("doc_id", "mark", "line")).alias("last")).filter("first <> last").select("g", "first")
-    dropped = (
-        group.join(first, "g").filter(~F.struct("doc_id", "mark", "line").eqNullSafe(F.col("first"))).groupBy("mark").agg(F.collect_set("line").alias("dropped"))
-    )
-    own = docs.select(*columns, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("mark"))
+    # written, so that a hot group's join can be split
+    first = written(group.groupBy("g").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("g", "first"), "line-first")
+    dropped = group.join(first, "g").filter(~at.eqNullSafe(F.col("first"))).groupBy(F.col("mark").alias("_line_mark")).agg(F.collect_set("line").alias("_dropped_lines"))
+    own = docs.select(*columns, _mark().alias("_line_mark"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    return own.join(dropped, "mark", "left").select(*columns, "dropped").mapInArrow(_remove(columns), f"{kinds}, n_lines long, n_dropped long")
+    return own.join(dropped, "_line_mark", "left").select(*columns, "_dropped_lines").mapInArrow(_remove(columns), f"{kinds}, n_lines long, n_dropped long")
