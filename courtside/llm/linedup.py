@@ -46,7 +46,9 @@ STARS, WIDE = 4, 64
 #: words of lines for each part of the keys, which one task sorts
 PART_WORDS = 4_000_000
 #: lines of one sort; of one tile of a block; of the tiles that one task compares
-LINES, TILE, PART_LINES = 1 << 17, 1 << 11, 100_000
+LINES, TILE, PART_LINES = 1 << 17, 1 << 11, 20_000
+#: pairs that are verified at a time
+BATCH = 20_000
 PARITIES = ("p0", "p1", "p2", "p3")
 
 
@@ -355,20 +357,38 @@ def _family_links(similarity: float):
         raw = table.column("words").to_pylist()
         words = [np.frombuffer(raw[k], np.uint32) for k in order]
         root = np.unique(x["c"], return_inverse=True)[1]
-        name = np.arange(int(root.max(initial=-1)) + 1)
-        found = []
-        for u, v in _near(x, block, similarity):
-            open_ = name[root[u]] != name[root[v]]
+        name = np.arange(int(root.max(initial=-1)) + 1)  # of each component, the least number it is joined to
+        found: list[tuple[int, int]] = []
+
+        def find(k: int) -> int:
+            while name[k] != k:
+                name[k] = name[name[k]]
+                k = name[k]
+            return k
+
+        def verify(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            u, v = (np.concatenate(z) for z in zip(*held, strict=True))
+            top = np.array([find(k) for k in range(len(name))])
+            name[:] = top
+            open_ = top[root[u]] != top[root[v]]
             u, v = u[open_], v[open_]
-            if not len(u):
-                continue
-            ok = near_lines(words, u, v, similarity)
-            u, v = u[ok], v[ok]
-            for k in range(len(u)):
-                a, b = name[root[u[k]]], name[root[v[k]]]
-                if a != b:
-                    name[name == b] = a
-                    found.append((x["h"][u[k]], x["h"][v[k]]))
+            if len(u):
+                ok = near_lines(words, u, v, similarity)
+                for a, b in zip(u[ok].tolist(), v[ok].tolist(), strict=True):
+                    p, q = find(root[a]), find(root[b])
+                    if p != q:
+                        name[max(p, q)] = min(p, q)
+                        found.append((x["h"][a], x["h"][b]))
+
+        held, size = [], 0
+        for u, v in _near(x, block, similarity):
+            held.append((u, v))
+            size += len(u)
+            if size > BATCH:
+                verify(held)
+                held, size = [], 0
+        if size:
+            verify(held)
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
     return run
