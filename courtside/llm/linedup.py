@@ -594,9 +594,10 @@ def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 6, simil
         rows = family.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "family", F.coalesce("component", "h").alias("c"))
         rows = rows.join(meta, "h").join(words_of(family.select("h")), "h").join(family.groupBy("family").agg(tiles), "family")
         rows = written(rows, "line-members")
-        links = links.unionByName(written(tiled(rows, "family").applyInArrow(_family_links(similarity), "u long, v long"), "line-links"))
-        comp = components(links)
-    drop_written(one, met, star, words, label, blocks, near)
+        more = written(tiled(rows, "family").applyInArrow(_family_links(similarity), "u long, v long"), "line-links")
+        comp = components(links.unionByName(more))
+        drop_written(rows, more)
+    drop_written(one, met, star, words, links, label, blocks, near)
     return lines, comp
 
 
