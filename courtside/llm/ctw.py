@@ -119,7 +119,7 @@ def _count(depth: int, n_parts: int):
             cut = np.searchsorted(part[order], np.arange(n_parts + 1))
             some = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), kind)), pa.array(some)] + [pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()) for x in (k, n, m)], names=["kind", "part", "keys", "n", "m"]
+                [pa.array(np.full(len(some), kind)), pa.array(some)] + [pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()) for x in (k, n.astype(np.uint32), m.astype(np.uint32))], names=["kind", "part", "keys", "n", "m"]
             )
 
         for batch in batches:
