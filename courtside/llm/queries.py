@@ -5,10 +5,16 @@ Each takes (spark, sf_dir) and applies its operator with production parameters t
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byteconv, chatfmt, ctw, decontam, langid, linedup, minhash, pfair, quality_rules, secret_scan
+from . import byteconv, chatfmt, convrepair, ctw, decontam, htmltext, langid, linedup, minhash, pfair, quality_rules, secret_scan, vectorcode
+from .shared import written
+
+#: SHA-256 of the empty string
+NOTHING_SHA256 = hashlib.sha256(b"").hexdigest()
 
 #: target weights of the mix; a source that isn't named weighs 1
 MIX_WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2}
@@ -65,10 +71,120 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatfmt.read_back(chatfmt.format_windows(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_tensored, op2_fuzzy_lines, op3_secret_links, op4_quality_rules, op5_context_tree, op6_language_bitmask, op7_pfair_mix, op8_byte_conv, op9_decontamination, op10_chat_windows)}
+def op11_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_text(_read(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    books = vectorcode.train(rows)
+    coded = written(vectorcode.encode(rows, books, columns=("vec_id", "label")), "codes")  # read twice below
+    out = vectorcode.with_group_error(coded, "label", "label_error")
+    return out.select("vec_id", vectorcode.hex_code().alias("code"), "error", "label_error", F.lit(books.sha256() if books else NOTHING_SHA256).alias("codebooks_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    report = convrepair.repair_report(convrepair.damage(rows)).withColumnRenamed("conv_id", "_id")
+    ids = rows.select("conv_id").distinct()  # all rows of a conversation may be gone
+    none = {"audit": "", "repaired_sha256": NOTHING_SHA256}
+    out = ids.join(report, ids.conv_id.eqNullSafe(report["_id"]), "left").drop("_id")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(none.get(c, 0))).alias(c) for c in out.columns[1:]))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_tensored, op2_fuzzy_lines, op3_secret_links, op4_quality_rules, op5_context_tree, op6_language_bitmask, op7_pfair_mix, op8_byte_conv, op9_decontamination, op10_chat_windows,
+        op11_html_blocks, op12_vector_codes, op13_conversation_repair,
+    )
+}
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _codebook_sql(dims: int = 64, parts: int = 16, entries: int = 64) -> str:
+    """Two rounds over codebooks of the smallest ids; d * entries + e orders by distance, then index."""
+    width = dims // parts
+    cols = range(1, width + 1)
+    key = " + ".join(f"(x.c{j} - b.c{j}) * (x.c{j} - b.c{j})" for j in cols)
+    near = f"SELECT x.vec_id, x.p, min(({key}) * {entries} + e) AS m, any_value(x.label) AS label, {', '.join(f'any_value(x.c{j}) AS c{j}' for j in cols)} FROM x JOIN {{0}} b ON x.p = b.p GROUP BY x.vec_id, x.p"
+    floor = lambda s: f"(({s}) - (({s}) % n + n) % n) // n"
+    mean = f"""SELECT b.p, b.e, {', '.join(f'CASE WHEN n IS NULL THEN b.c{j} ELSE {floor(f"s{j}")} END AS c{j}' for j in cols)} FROM {{1}} b LEFT JOIN (
+  SELECT p, m % {entries} AS e, count(*)::HUGEINT AS n, {', '.join(f'sum(c{j}) AS s{j}' for j in cols)} FROM {{0}} GROUP BY 1, 2) USING (p, e)"""
+    return f"""
+WITH kept AS (SELECT vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT vec_id, label, p, {', '.join(f'floor(256 * v[{width} * p + {j}]::DOUBLE)::HUGEINT AS c{j}' for j in cols)} FROM kept, (SELECT unnest(range({parts})) AS p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, {', '.join(f'c{j}' for j in cols)} FROM x WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+a1 AS MATERIALIZED ({near.format('b0')}), b1 AS MATERIALIZED ({mean.format('a1', 'b0')}),
+a2 AS MATERIALIZED ({near.format('b1')}), b2 AS MATERIALIZED ({mean.format('a2', 'b1')}),
+a3 AS MATERIALIZED ({near.format('b2')}),
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(lpad(to_hex((m % {entries})::BIGINT), 2, '0'), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a3 GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(concat_ws(',', {', '.join(f'c{j}' for j in cols)}), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, books"""
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by a forward recursion over rows. A state is a string, cost in nine digits and then the
+    edits, so the least string is the cheapest and ASCII-least."""
+    add = lambda t, c, edit: f"lpad((left({t}, 9)::BIGINT + {c})::VARCHAR, 9, '0') || substr({t}, 10) || '{edit}'"
+    inserted = lambda t: f"least({t}2, {add(f'{t}0', 2, 'I')}, {add(f'{t}1', 2, 'I')}, {add(f'{t}3', 2, 'I')})"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, k: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda z: ord(z)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+    to_user = f"least({add('v0', 'stays', 'K')}, {add('v1', 'stays', 'K')}, {add('v3', 'stays', 'K')})"
+    again = f"least({add('v0', '2 + stays', 'R')}, {add('v1', '2 + stays', 'R')}, {add('v3', '2 + stays', 'R')})"
+    far = "'900000000'"
+    return rf"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), kinds AS (SELECT *, {crc} % 20 AS kind FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds WHERE kind <> 0
+), ordered AS (
+  SELECT *, row_number() OVER o AS i, lag(left(role, 1)) OVER o AS before, lag(1) OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) IS NOT NULL AS again
+  FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy)
+), faults AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' END AS fault FROM ordered
+), rows AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' ELSE left(role, 1) END AS code, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS stays FROM faults),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM rows GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS t0, {far} AS t1, {far} AS t2, {far} AS t3 FROM counts
+  UNION ALL
+  SELECT conv_id, i,
+    {add('v0', 3, 'D')},
+    least({add('v1', 3, 'D')}, CASE WHEN code = 's' THEN {add('v0', 'stays', 'K')} ELSE {far} END),
+    least({add('v2', 3, 'D')}, CASE WHEN code = 'd' THEN {far} ELSE {again} END, CASE WHEN code = 'u' THEN {to_user} ELSE {far} END),
+    least({add('v3', 3, 'D')}, CASE WHEN code = 'd' THEN {far} ELSE {add('v2', '2 + stays', 'R')} END, CASE WHEN code = 'a' THEN {add('v2', 'stays', 'K')} ELSE {far} END)
+  FROM (
+    SELECT conv_id, r.i, code, stays, t0 AS v0, t1 AS v1, u2 AS v2, least(u3, {add('u2', 2, 'I')}) AS v3
+    FROM (SELECT *, {inserted('t')} AS u2, least(t3, {add('t2', 2, 'I')}) AS u3 FROM steps) s JOIN rows r USING (conv_id) WHERE r.i = s.i + 1
+  )
+), ends AS (
+  SELECT conv_id, least(t0, u3, {add('u2', 2, 'I')}) AS best
+  FROM (SELECT *, {inserted('t')} AS u2, least(t3, {add('t2', 2, 'I')}) AS u3 FROM steps) s JOIN counts USING (conv_id) WHERE i = n
+), edits AS (
+  SELECT conv_id, k, edit, sum(CASE WHEN edit = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY k) AS i
+  FROM (SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS edit, generate_subscripts(string_split(substr(best, 10), ''), 1) AS k FROM ends WHERE length(best) > 9)
+), placed AS (
+  SELECT e.conv_id, k, edit, role, text, row_number() OVER w AS p, first_value(edit = 'K' AND left(role, 1) = 's') OVER w AS system
+  FROM edits e LEFT JOIN rows r ON r.conv_id = e.conv_id AND r.i = e.i AND edit <> 'I' WHERE edit <> 'D' WINDOW w AS (PARTITION BY e.conv_id ORDER BY k)
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (p - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
+  FROM placed GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 9)::BIGINT, 0) AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts USING (conv_id) LEFT JOIN ends USING (conv_id) LEFT JOIN repaired USING (conv_id)"""
+
+
 #: Trained models, scheduling, fuzzy lines and linked spans are beyond SQL.
 SQL: dict[str, str] = {
     "op1_minhash_tensored": rf"""
@@ -106,4 +222,6 @@ own AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN hit USING (rid) LEFT JOIN own USING (rid)""",
+    "op12_vector_codes": _codebook_sql(),
+    "op13_conversation_repair": _repair_sql(),
 }
