@@ -297,25 +297,77 @@ def q25_gram(spark: SparkSession, d: str) -> DataFrame:
     return ratings.pair_sums(ratings.design_rows(_blocks(spark, d)).withColumn("fold", F.lit(0))).select("i", "j", F.round("g", 3).alias("g"))
 
 
-@query()
+# Two players a supplier take turns on offence, so the normal equations fall into pairs that meet only in the intercept:
+# with w, t the possessions and points of a pair's side, its rating is (t - c w) / (2 w + penalty).
+_GREEDY = """WITH RECURSIVE b AS (SELECT l_orderkey, ('0x' || substr(md5(l_orderkey::VARCHAR), 1, 3))::INTEGER AS bucket, 2 * l_suppkey + l_linenumber % 2 AS o, 2 * l_suppkey + 1 - l_linenumber % 2 AS df,
+  l_extendedprice / l_quantity AS y, l_quantity AS w FROM lineitem WHERE l_quantity >= 1),
+ sizes AS (SELECT bucket, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, bucket) AS k FROM b GROUP BY 1),
+ deal AS (SELECT 0::BIGINT AS k, -1 AS bucket, -1 AS fold, list_transform(range(least(5, (SELECT count(*) FROM sizes))), lambda z: 0::BIGINT) AS load
+  UNION ALL SELECT k, bucket, spot - 1, list_transform(load, lambda x, p: CASE WHEN p = spot THEN x + n ELSE x END)
+  FROM (SELECT s.k, s.bucket, s.n, load, list_position(load, list_min(load)) AS spot FROM deal JOIN sizes s ON s.k = deal.k + 1)),
+ rows AS MATERIALIZED (SELECT b.*, fold FROM b JOIN deal USING (bucket) WHERE fold >= 0),
+ own AS (SELECT o, df, fold, sum(w) AS w, sum(w * y) AS t FROM rows GROUP BY ALL),
+ allp AS (SELECT o, df, sum(w) AS w, sum(t) AS t FROM own GROUP BY ALL), nf AS (SELECT unnest(range((SELECT count(DISTINCT fold) FROM own))) AS fold),
+ grid AS (SELECT unnest([100.0, 300, 1000, 2000, 3000, 5000, 8000, 15000, 30000]::DOUBLE[]) AS lam),
+ tr AS (SELECT a.o, a.df, nf.fold, a.w - coalesce(own.w, 0) AS w, a.t - coalesce(own.t, 0) AS t FROM allp a CROSS JOIN nf LEFT JOIN own ON own.o = a.o AND own.fold = nf.fold),
+ cut AS (SELECT fold, lam, (sum(t) - sum(2 * w * t / (2 * w + lam))) / (sum(w) - sum(2 * w * w / (2 * w + lam))) AS c FROM tr, grid GROUP BY ALL),
+ errors AS (SELECT lam, fold, sum(r.w * (y - c - 2 * (tr.t - c * tr.w) / (2 * tr.w + lam)) ** 2) / sum(r.w) AS e FROM rows r JOIN tr USING (o, fold) JOIN cut USING (fold) GROUP BY ALL),
+ scores AS (SELECT lam, avg(e) AS score FROM errors GROUP BY 1),
+ best AS (SELECT lam FROM scores ORDER BY score, lam LIMIT 1),
+ mid AS (SELECT lam, (sum(t) - sum(2 * w * t / (2 * w + lam))) / (sum(w) - sum(2 * w * w / (2 * w + lam))) AS c FROM allp, best GROUP BY lam),
+ half AS (SELECT o, df, w, t, lam, (t - c * w) / (2 * w + lam) AS r FROM allp, mid),
+ plain AS (SELECT player_id, sum(off) AS offense, sum(def) AS defense, sum(w) AS possessions FROM (SELECT o AS player_id, r AS off, 0 AS def, w FROM half UNION ALL SELECT df, 0, -r, w FROM half) GROUP BY 1)"""
+_VALUED = "round(offense, 5) AS offense, round(defense, 5) AS defense, round(offense + defense, 5) AS total, round(possessions, 2) AS possessions, round((offense + defense + 2.5) * possessions / 100, 3) AS value, round((offense + defense + 2.5) * possessions / 3000, 4) AS wins_added"
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    side = lambda k: F.array((2 * F.col("l_suppkey") + k).cast("long"))
+    odd, li = F.col("l_linenumber") % 2, table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    return li.select(F.col("l_orderkey").cast("string").alias("game_id"), side(odd).alias("offense"), side(1 - odd).alias("defense"), (F.col("l_extendedprice") / 100).alias("points"), F.col("l_quantity").cast("double").alias("possessions"))
+
+
+def _rounded(r: DataFrame) -> DataFrame:
+    return r.select("player_id", *(F.round(c, n).alias(c) for c, n in (("offense", 5), ("defense", 5), ("total", 5), ("possessions", 2), ("value", 3), ("wins_added", 4))))
+
+
+@query(_GREEDY + f" SELECT player_id::BIGINT AS player_id, {_VALUED} FROM plain")
 def q26_ridge(spark: SparkSession, d: str) -> DataFrame:
-    return ratings.fit_ratings(spark, _blocks(spark, d))[0]
+    return _rounded(ratings.fit_ratings(spark, _turns(spark, d))[0])
 
 
-@query()
+@query(_GREEDY + " SELECT lam AS lambda, round(score / 1000, 6) AS score, lam = (SELECT lam FROM best) AS chosen FROM scores")
 def q27_cv_scores(spark: SparkSession, d: str) -> DataFrame:
-    design = ratings.design_rows(_blocks(spark, d))
-    lam, scores = ratings.choose_lambda(ratings.moments(spark, design, ratings.balanced_folds(design)))
-    return spark.createDataFrame([(x, s, x == lam) for x, s in zip(ratings.LAMBDAS, scores, strict=True)], "lambda double, score double, chosen boolean")
-
-
-@query()
+    design = ratings.design_rows(_turns(spark, d))
+    lam, scores = ratings.choose_lambda(spark, ratings.moments(design, ratings.balanced_folds(design)))
+    return spark.createDataFrame([(x, round(s / 1000, 6), x == lam) for x, s in zip(ratings.LAMBDAS, scores, strict=True)], "lambda double, score double, chosen boolean")
+
+
+# the prior's models: two standardised features for offence, one for defence, on the reliable players' plain ratings
+_PRIOR = """,
+ box AS (SELECT 2 * s_suppkey + k AS player_id, s_acctbal + 500 * k AS f1, (s_nationkey + k * (s_suppkey % 7))::DOUBLE AS f2, s_acctbal + 2000 AS poss FROM supplier, (SELECT unnest([0, 1]) AS k)),
+ fitrows AS (SELECT f1, f2, offense AS yo, defense AS yd FROM box JOIN plain USING (player_id) WHERE poss >= 1000),
+ st AS (SELECT count(*) AS n, avg(f1) AS m1, avg(f2) AS m2, stddev_pop(f1) AS d1, stddev_pop(f2) AS d2, avg(yo) AS mo, avg(yd) AS md FROM fitrows),
+ zs AS (SELECT (f1 - m1) / d1 AS z1, (f2 - m2) / d2 AS z2, yo - mo AS yo, yd - md AS yd FROM fitrows, st),
+ g AS (SELECT sum(z1 * z1) + 1 AS a, sum(z1 * z2) AS b, sum(z2 * z2) + 1 AS c, sum(z1 * yo) AS p, sum(z2 * yo) AS q, sum(z1 * yd) AS r FROM zs),
+ mu AS (SELECT player_id, mo + ((c * p - b * q) * (f1 - m1) / d1 + (a * q - b * p) * (f2 - m2) / d2) / (a * c - b * b) AS mo, md + r / a * (f1 - m1) / d1 AS md FROM box, st, g),
+ sh AS (SELECT o, df, w, lam, coalesce(mo.mo, 0) AS mo, coalesce(md.md, 0) AS md, t - w * (coalesce(mo.mo, 0) - coalesce(md.md, 0)) AS t FROM half LEFT JOIN mu mo ON mo.player_id = o LEFT JOIN mu md ON md.player_id = df),
+ mid2 AS (SELECT (sum(t) - sum(2 * w * t / (2 * w + lam))) / (sum(w) - sum(2 * w * w / (2 * w + lam))) AS c FROM sh),
+ half2 AS (SELECT o, df, w, mo + (t - c * w) / (2 * w + lam) AS off, md - (t - c * w) / (2 * w + lam) AS def FROM sh, mid2),
+ bayes AS (SELECT player_id, sum(off) AS offense, sum(def) AS defense, sum(w) AS possessions FROM (SELECT o AS player_id, off, 0 AS def, w FROM half2 UNION ALL SELECT df, 0, def, w FROM half2) GROUP BY 1)"""
+
+
+@query(_GREEDY + _PRIOR + f" SELECT player_id::BIGINT AS player_id, {_VALUED} FROM bayes")
 def q28_prior_ridge(spark: SparkSession, d: str) -> DataFrame:
-    b = _blocks(spark, d)
-    plain, facts = ratings.fit_ratings(spark, b)
-    rows = table(spark, d, "supplier").select((F.col("s_suppkey") + 1000).alias("player_id"), F.col("s_acctbal").alias("pts_100"), F.col("s_nationkey").cast("double").alias("ast_100"), F.lit(5000.0).alias("off_possessions"), F.lit(5000.0).alias("def_possessions"))
-    mu = ratings.box_score_prior(plain, rows, ["pts_100", "ast_100"], ["pts_100"])
-    return ratings.fit_ratings(spark, b, fixed=facts["lambda"], prior={r.player_id: (r.mu_off, r.mu_def) for r in mu.collect()})[0]
+    design = ratings.design_rows(_turns(spark, d))
+    m = ratings.moments(design, ratings.balanced_folds(design))
+    plain, facts = ratings.fit_moments(spark, design, m)
+    k = F.explode(F.array(F.lit(0), F.lit(1)))
+    box = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey", k.alias("k")).select(
+        (2 * F.col("s_suppkey") + F.col("k")).cast("long").alias("player_id"), (F.col("s_acctbal") + 500 * F.col("k")).alias("pts_100"),
+        (F.col("s_nationkey") + F.col("k") * (F.col("s_suppkey") % 7)).cast("double").alias("ast_100"), *((F.col("s_acctbal") + 2000).alias(c) for c in ("off_possessions", "def_possessions")),
+    )
+    mu = ratings.box_score_prior(plain, box, ["pts_100", "ast_100"], ["pts_100"])
+    return _rounded(ratings.fit_moments(spark, design, m, fixed=facts["lambda"], prior=mu)[0])
 
 
 _VALUE = """WITH e AS (SELECT l_suppkey AS player_id, sum(l_extendedprice) / sum(l_quantity) / 100 AS total, sum(l_quantity) AS possessions FROM lineitem GROUP BY 1), v AS (SELECT *, (total + 2.5) * possessions / 100 AS value FROM e)"""
