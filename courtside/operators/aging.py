@@ -142,11 +142,11 @@ def fit_hierarchy(seasons: DataFrame, rating: str, weight: str, baseline: str |
 
 
 def split_r_hat(samples: DataFrame, *keys: str) -> DataFrame:
-    """Split R-hat per site: halves of each chain as chains of their own."""
+    """Split R-hat per site: halves of each chain as chains of their own; null where no draw differs from another."""
     half = samples.groupBy("chain").agg(((F.max("draw") + 1) / 2).alias("mid"))
     s = samples.join(F.broadcast(half), "chain").withColumn("part", (F.col("draw") >= F.col("mid")).cast("int"))
     per = s.groupBy(*keys, "chain", "part").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
-    return per.groupBy(*keys).agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.avg("n").alias("n")).select(*keys, F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w")).alias("r_hat"))
+    return per.groupBy(*keys).agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.avg("n").alias("n")).select(*keys, F.sqrt(F.try_divide((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b"), "w")).alias("r_hat"))
 
 
 def posterior_summary(samples: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import cents
 from ..functions.names import names_consistent
 from ..functions.parsing import looks_empty
-from ..operators import aging, contracts, identity, lineups, possessions, ratings, trade
+from ..operators import aging, contracts, identity, lineups, possessions, posterior, ratings, trade
 from ..session import table
 from ..sources import app, files
 from .catalog import _GATE, _K, _LINE, _PBP, _REST, _STINT, YEAR, _box, _gate, _pbp, _value
@@ -313,3 +313,59 @@ def q68_box_score_projection(spark: SparkSession, d: str) -> DataFrame:
     anchor = int(s.agg(F.min("age")).first()[0]) + 2
     final, *_ = aging.fit_box_score_projection(s, box, "rating", "weight", ["balance"], anchor=anchor)
     return aging.posterior_summary(final.filter("site = 'player'"), "player_id", "age")
+
+
+# Events as draws: a user is a player, an event one draw of the rating; odd and even events are the chains. The noise is
+# the same MD5 stream on both sides.
+_UNIT = "(('0x' || substr(md5(concat_ws('|', '11', k, chain, draw)), {0}, 13))::BIGINT + 0.5) / 4503599627370496.0"
+
+
+@query(f"""WITH r AS (SELECT user_id AS player_id, cast(event_id % 2 AS BIGINT) AS chain, event_id // 2 AS draw, value AS mean FROM events),
+ s AS (SELECT DISTINCT chain, draw, 1 + draw % 3 AS sigma FROM r), o AS (SELECT event_id AS k, user_id AS player_id, value AS y, 200.0 + event_id % 900 AS w FROM events WHERE event_type = 'click'),
+ d AS (SELECT k, y, mean + sigma / sqrt(w / 1000) * sqrt(-2 * ln({_UNIT.format(1)})) * cos(2 * pi() * {_UNIT.format(14)}) AS value FROM o JOIN r USING (player_id) JOIN s USING (chain, draw))
+ SELECT k AS observation, round(any_value(y), 4) AS y, round(quantile_cont(value, 0.05), 4) AS lower, round(quantile_cont(value, 0.95), 4) AS upper, any_value(y) BETWEEN quantile_cont(value, 0.05) AND quantile_cont(value, 0.95) AS inside FROM d GROUP BY k""")
+def q69_predictive_intervals(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value").withColumn("chain", F.col("event_id") % 2).withColumn("draw", F.floor(F.col("event_id") / 2))
+    none = {"player_id": F.col("user_id"), "age": F.lit(0)}
+    draws = e.select("chain", "draw", F.lit("player").alias("site"), none["player_id"].alias("player_id"), none["age"].alias("age"), "value")
+    sigma = e.select("chain", "draw", F.lit("sigma_obs").alias("site"), F.lit(None).cast("long").alias("player_id"), F.lit(None).cast("int").alias("age"), (1 + F.col("draw") % 3).cast("double").alias("value"))
+    seen = e.filter("event_type = 'click'").select(F.col("event_id").alias("observation"), none["player_id"].alias("player_id"), none["age"].alias("age"), F.col("value").alias("y"), (200.0 + F.col("event_id") % 900).alias("w"))
+    i = posterior.predictive_intervals(posterior.predictive_draws(draws.unionByName(sigma), seen, seed=11))
+    return i.select("observation", *(F.round(c, 4).alias(c) for c in ("y", "lower", "upper")), "inside")
+
+
+# Customers as draws, their yearly mean price as deltas between ages: many have years without an order, where curves end.
+_YEARS = """WITH y AS (SELECT c_mktsegment AS position, c_custkey AS draw, cast(year(o_orderdate) AS INTEGER) AS age, (avg(o_totalprice) - 150000) / 1000 AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+ lo AS (SELECT min(age) + 2 AS anchor FROM y), n AS (SELECT *, age - row_number() OVER (PARTITION BY position, draw ORDER BY age) AS run FROM y),
+ h AS (SELECT n.*, anchor, max(CASE WHEN age IN (anchor - 1, anchor) THEN run END) OVER (PARTITION BY position, draw) AS home FROM n, lo), k AS (SELECT * FROM h WHERE run = home),
+ c AS (SELECT a.position, a.draw, a.age, (SELECT CASE WHEN a.age >= a.anchor THEN coalesce(sum(value) FILTER (b.age >= b.anchor AND b.age < a.age), 0) ELSE -sum(value) FILTER (b.age >= a.age AND b.age < b.anchor) END FROM k b WHERE b.position = a.position AND b.draw = a.draw) AS value
+  FROM (SELECT DISTINCT position, draw, anchor, unnest([age, age + 1]) AS age FROM k) a)"""
+
+
+@query(_YEARS + " SELECT position, cast(age AS INTEGER) AS age, count(*) AS n, round(avg(value), 4) AS mean, round(stddev(value), 4) AS sd, round(quantile_cont(value, 0.1), 4) AS lower, round(quantile_cont(value, 0.9), 4) AS upper FROM c GROUP BY ALL")
+def q70_position_curves(spark: SparkSession, d: str) -> DataFrame:
+    deltas, anchor = _yearly(spark, d)
+    s = posterior.curve_summary(posterior.position_curves(deltas, anchor), "position")
+    return s.select("position", "age", "n", *(F.round(c, 4).alias(c) for c in ("mean", "sd", "lower", "upper")))
+
+
+def _yearly(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_totalprice").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("position")), "o_custkey")
+    y = o.groupBy("position", F.col("o_custkey").alias("draw"), F.year("o_orderdate").alias("age")).agg(((F.avg("o_totalprice") - 150000) / 1000).alias("value"))
+    return y.withColumns({"chain": F.lit(0), "site": F.lit("position")}), int(table(spark, d, "orders").agg(F.min(F.year("o_orderdate"))).first()[0]) + 2
+
+
+@query("""WITH y AS (SELECT o_custkey AS player_id, cast(year(o_orderdate) AS INTEGER) AS age, avg(o_totalprice) / 1000 AS value FROM orders GROUP BY ALL), a AS (SELECT player_id, value AS base FROM y WHERE age = (SELECT min(age) + 2 FROM y))
+ SELECT player_id, age, round(value - base, 7) AS value FROM y JOIN a USING (player_id)""")
+def q71_relative_curves(spark: SparkSession, d: str) -> DataFrame:
+    deltas, anchor = _yearly(spark, d)
+    draws = deltas.select("chain", F.lit(0).alias("draw"), F.lit("player").alias("site"), F.col("draw").alias("player_id"), "age", (F.col("value") + 150).alias("value"))
+    return posterior.player_curves(draws, anchor, level=False).select("player_id", "age", F.round("value", 7).alias("value"))
+
+
+@query("""WITH s AS (SELECT event_type AS site, user_id % 7 AS player_id, event_id % 2 AS chain, event_id // 2 AS draw, value FROM events), h AS (SELECT chain, (max(draw) + 1) / 2 AS mid FROM s GROUP BY 1),
+ p AS (SELECT site, player_id, chain, draw >= mid AS part, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM s JOIN h USING (chain) GROUP BY ALL),
+ z AS (SELECT site, player_id, sqrt(((avg(n) - 1) / avg(n) * avg(v) + var_samp(m)) / avg(v)) AS r_hat FROM p GROUP BY ALL) SELECT site, round(max(r_hat), 6) AS r_hat, count(*) AS n FROM z GROUP BY 1""")
+def q72_max_r_hat(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "events").select(F.col("event_type").alias("site"), (F.col("user_id") % 7).alias("player_id"), (F.col("event_id") % 2).alias("chain"), F.floor(F.col("event_id") / 2).alias("draw"), "value")
+    return posterior.max_r_hat(s, "player_id").withColumn("r_hat", F.round("r_hat", 6))
