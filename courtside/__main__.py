@@ -83,7 +83,7 @@ class App:
         games = [r.game_id for r in files.rows_where(self.warehouse.read("stg.game"), ["game_date", "game_id"], self.args.limit, season=self.args.season).select("game_id").collect()]
         shaped = lambda payloads: self.warehouse.shaped(table, parse(payloads))
         keys = {"stg.pbp_event": ("game_id",), "stg.box_player": ("game_id",)}[table]
-        n, failed = client.backfill(self.spark, self.client, self.endpoint(endpoint), games, shaped, self.warehouse.path(table), keys, progress=lambda done, bad: print(f"{done:,} of {len(games):,} games, {bad:,} failed", file=sys.stderr))
+        n, failed = client.backfill(self.spark, self.client, self.endpoint(endpoint), games, shaped, self.warehouse.table(table), keys, progress=lambda done, bad: print(f"{done:,} of {len(games):,} games, {bad:,} failed", file=sys.stderr))
         print(f"{table}: {n:,} games stored, {len(failed):,} left out")
         for game, error in failed:
             print(f"  {game}: {error}")

@@ -107,12 +107,6 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "nba_player_id long, bbref_slug string, spotrac_slug string, note string")
 
 
-def read_json_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Cached responses below ``folder`` as (path, payload); a file that isn't JSON is left out."""
-    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
-    return files.filter(F.try_parse_json("payload").isNotNull())
-
-
 def rows_where(rows: DataFrame, order_by: list | None = None, limit: int = 0, **equals) -> DataFrame:
     """Rows whose columns have the given values, in order; ``limit`` 0 is all of them."""
     for column, value in equals.items():
@@ -155,7 +149,3 @@ def write_meta(path: str, meta: dict) -> None:
     with open(path, "w") as f:
         json.dump(meta, f, indent=2)
         f.write("\n")
-
-
-def empty_contract_years(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], CONTRACT_YEAR)

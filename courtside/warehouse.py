@@ -1,4 +1,4 @@
-"""The warehouse as Parquet tables under one folder, which the cluster shares, and the chain from events to ratings."""
+"""The warehouse as snapshot tables under one folder, which the cluster shares, and the chain from events to ratings."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .operators import lineups, possessions, ratings
 from .schemas import TABLES
-from .sources.client import replace_table, upsert_table
+from .snapshots import SnapshotTable
 
 
 class Warehouse:
@@ -19,14 +19,17 @@ class Warehouse:
             raise KeyError(name)
         return f"{self.root}/{name}"
 
+    def table(self, name: str) -> SnapshotTable:
+        """Dealt to buckets by the first key column, so that a game's rows are one bucket's."""
+        return SnapshotTable(self.spark, self.path(name), TABLES[name][0][:1])
+
     def exists(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return self.table(name).exists()
 
     def read(self, name: str) -> DataFrame:
         """A table that was never written has no rows."""
-        ddl = TABLES[name][1]
-        return self.spark.read.schema(ddl).parquet(self.path(name)) if self.exists(name) else self.spark.createDataFrame([], ddl)
+        t = self.table(name)
+        return t.read() if t.exists() else self.spark.createDataFrame([], TABLES[name][1])
 
     def shaped(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows with the table's columns and types; columns that they lack are null."""
@@ -34,10 +37,10 @@ class Warehouse:
         return rows.select(*((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns))
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        upsert_table(self.spark, self.path(name), self.shaped(name, rows), *TABLES[name][0])
+        self.table(name).upsert(self.shaped(name, rows), *TABLES[name][0])
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        replace_table(self.shaped(name, rows), self.path(name))
+        self.table(name).replace(self.shaped(name, rows))
 
     def counts(self) -> DataFrame:
         """(table_name, n_rows) of every table."""
