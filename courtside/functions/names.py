@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: fixed values: generation suffixes
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
-
-
-@F.pandas_udf(StringType())
-def strip_accents(s: pd.Series) -> pd.Series:
-    """NFKD without combining marks. Spark has no built-in for it; the only Python in this module."""
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+#: fixed values: Hangul syllables are code points in order of lead, vowel and tail
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, [0x1100 + i for i in range(19)], [0x1161 + i for i in range(21)], [0x11A8 + i for i in range(27)]
+
+
+@functools.cache
+def _decomposition() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition without combining marks makes of single characters.
+
+    (characters of one base letter and then those of none, the letters of the former, characters of several letters).
+    Decomposing is done a character at a time, since only marks, which go, are ever reordered. Hangul is a formula.
+    """
+    one, none, several = {}, [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not unicodedata.decomposition(c) and not unicodedata.combining(c) or HANGUL <= ord(c) < HANGUL + 11_172:
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if not base:
+            none.append(c)
+        elif len(base) > 1:
+            several[c] = base
+        elif base != c:
+            one[c] = base
+    return "".join(one) + "".join(none), "".join(one.values()), several
+
+
+def _hangul(c: Column) -> Column:
+    """The two or three parts of a Hangul syllable; null for any other character."""
+    s = F.ascii(c) - HANGUL
+    part = lambda codes, at: F.substr(F.lit("".join(map(chr, codes))), (at + 1).cast("int"), F.lit(1))
+    tail = F.when(s % 28 > 0, part(TAILS, s % 28 - 1)).otherwise("")
+    return F.when((s >= 0) & (s < 11_172), F.concat(part(LEADS, F.floor(s / 588)), part(VOWELS, F.floor(s % 588 / 28)), tail))
+
+
+def strip_accents(c: Column) -> Column:
+    """Compatibility decomposition (NFKD) without combining marks, in the JVM: one ``translate``, and a look-up of each
+    character only in texts that have one which becomes several letters."""
+    given, letters, several = _decomposition()
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))  # a constant
+    rare = c.rlike(f"[{''.join(several)}{chr(HANGUL)}-{chr(HANGUL + 11_171)}]")
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), _hangul(x), x)), "")
+    plain = F.translate(F.when(rare, apart).otherwise(c), given, letters)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
 
 def _tokens(c: Column) -> Column:
@@ -26,8 +62,7 @@ def _tokens(c: Column) -> Column:
 def normalize_name(c) -> Column:
     """Without accents, punctuation, case and suffix tokens; single blanks. Null stays null."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.when(c.rlike(r"[^\x00-\x7F]"), strip_accents(c)).otherwise(c)
-    return F.array_join(F.filter(_tokens(plain), lambda w: ~w.isin(*SUFFIXES)), " ")
+    return F.array_join(F.filter(_tokens(strip_accents(c)), lambda w: ~w.isin(*SUFFIXES)), " ")
 
 
 def normalize_ascii(c) -> Column:

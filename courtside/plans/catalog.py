@@ -452,9 +452,11 @@ def q38_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     return identity.build_crosswalk(players, other, None, None)
 
 
-@query("SELECT c_custkey, normalized AS name FROM (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS normalized FROM customer)")
+# accents on letters, a suffix that goes, a ligature of two letters
+@query("""SELECT c_custkey, trim(regexp_replace(lower(strip_accents(replace(translate(c_name, 'ouC', 'ôüÇ'), 'm', 'ḿ'))), '[^a-z0-9]+', ' ', 'g')) || CASE WHEN c_nationkey % 3 = 1 THEN ' finn' ELSE '' END AS name FROM customer""")
 def q39_normalize_names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", normalize_name("c_name").alias("name"))
+    raw = F.concat(F.regexp_replace(F.translate("c_name", "ouC", "ôüÇ"), "m", "m\u0301"), F.when(F.col("c_nationkey") % 3 == 0, " Jr.").when(F.col("c_nationkey") % 3 == 1, " \ufb01nn").otherwise(""))
+    return table(spark, d, "customer").select("c_custkey", normalize_name(raw).alias("name"))
 
 
 @query("SELECT event_id, CASE WHEN value >= 1 THEN cast(round(cast(round(value, 2) AS DECIMAL(18,2)) * 1000000) AS BIGINT) ELSE cast(floor(value) AS BIGINT) END AS amount FROM events")
