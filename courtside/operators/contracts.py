@@ -83,7 +83,7 @@ def quality_report(contracts: DataFrame, known_teams: DataFrame, seasons: tuple[
 
 def unknown_teams(contracts: DataFrame, known_teams: DataFrame) -> DataFrame:
     """Team codes that no known team has."""
-    return contracts.select("team_abbrev").distinct().join(F.broadcast(known_teams.select("team_abbrev").distinct()), "team_abbrev", "left_anti")
+    return contracts.select("team_abbrev").distinct().join(known_teams.select("team_abbrev").distinct(), "team_abbrev", "left_anti")
 
 
 def blocking_issues(report: DataFrame) -> list[str]:

@@ -139,7 +139,7 @@ def build_crosswalk(players: DataFrame, bbref: DataFrame, spotrac: DataFrame | N
     if overrides is None:
         j = j.withColumns({"ob": F.lit(None).cast("string"), "os": F.lit(None).cast("string"), "forced": F.lit(False)})
     else:
-        j = j.join(F.broadcast(overrides.select(F.col("nba_player_id").alias("id"), F.col("bbref_slug").alias("ob"), F.col("spotrac_slug").alias("os"), F.lit(True).alias("forced"))), "id", "left")
+        j = j.join(overrides.select(F.col("nba_player_id").alias("id"), F.col("bbref_slug").alias("ob"), F.col("spotrac_slug").alias("os"), F.lit(True).alias("forced")), "id", "left")
     bs, ss, forced = F.coalesce("bs", F.lit(0.0)), F.coalesce("ss", F.lit(0.0)), F.coalesce("forced", F.lit(False))
     return j.select(
         F.col("id").alias("nba_player_id"), F.when(forced, F.col("ob")).when(bs >= ACCEPT, F.col("b")).alias("bbref_slug"), F.when(forced, F.col("os")).when(ss >= ACCEPT, F.col("s")).alias("spotrac_slug"),

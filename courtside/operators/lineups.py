@@ -32,9 +32,11 @@ def apply_allowlist(events: DataFrame, players: DataFrame | None) -> DataFrame:
     if players is None:
         return events
     known = players.select(F.col("nba_player_id").alias("player_id")).filter("player_id is not null").distinct()
-    bad = _slots(events, "game_id", "event_num").join(known, "player_id", "left_anti").groupBy("game_id", "event_num").agg(F.collect_set("slot").alias("_bad"))
-    out = events.join(bad, ["game_id", "event_num"], "left")
-    keep = {c: F.when(~F.coalesce(F.array_contains("_bad", i + 1), F.lit(False)), F.col(c)) for i, c in enumerate(SLOTS)}
+    bad = _slots(events, "game_id", "event_num").join(known, "player_id", "left_anti").groupBy("game_id", "event_num").agg(F.collect_set("player_id").alias("_bad"))
+    bad = bad.select(F.col("game_id").alias("_game"), F.col("event_num").alias("_num"), "_bad")
+    # null-safe: an event without a number has its ids looked up as well
+    out = events.join(bad, events.game_id.eqNullSafe(bad["_game"]) & events.event_num.eqNullSafe(bad["_num"]), "left")
+    keep = {c: F.when(~F.coalesce(F.array_contains("_bad", F.col(c)), F.lit(False)), F.col(c)) for c in SLOTS}
     return out.withColumns(keep).select(events.columns)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsing import elapsed
+from ..session import plain_unions
 
 
 def _has(c: str, word: str) -> Column:
@@ -38,14 +39,24 @@ def possessions(fga, oreb, tov, fta) -> Column:
     return fga - oreb + tov + F.lit(0.44) * fta
 
 
-def tally_by_stint(events: DataFrame, stints: DataFrame) -> DataFrame:
-    """Counts per stint and team. An event belongs to the stint with ``start <= t < end`` in its period.
+def in_stint(events: DataFrame, stints: DataFrame) -> DataFrame:
+    """``events`` (game_id, period, t, ...) with the stint_no that has ``start <= t < end`` in their period; others are left out.
 
-    The join's equality on game and period makes it a hash or merge join; the range is a residual condition.
+    Stints of a period don't overlap, so no join is needed: events and starts are united, sorted once by period and
+    time, starts before events of the same time, and the last start is carried forward. Rows in are rows out.
     """
+    rest = [c for c in events.columns if c not in ("game_id", "period", "t")]
+    starts = plain_unions(stints).select("game_id", "period", F.col("start_s").alias("t"), F.struct("stint_no", "end_s").alias("_stint"))
+    both = events.select("game_id", "period", "t", F.struct(*rest).alias("_event")).unionByName(starts, allowMissingColumns=True)
+    so_far = Window.partitionBy("game_id", "period").orderBy("t", F.col("_event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("_stint", F.last("_stint", ignorenulls=True).over(so_far))
+    return met.filter("_event is not null and t < _stint.end_s").select("game_id", "period", "t", "_stint.stint_no", "_event.*")
+
+
+def tally_by_stint(events: DataFrame, stints: DataFrame) -> DataFrame:
+    """Counts per stint and team of the events with a team that fall into a stint."""
     e = events.filter("team_id is not null").select("game_id", "period", "team_id", elapsed("period", "clock_seconds_left").alias("t"), is_attempt().alias("fga"), is_offensive_rebound().alias("oreb"), is_turnover().alias("tov"), is_free_throw().alias("fta"), points().alias("pts"))
-    s = stints.select("game_id", "period", "stint_no", "start_s", "end_s")
-    j = e.join(s, ["game_id", "period"]).filter("t >= start_s and t < end_s")
+    j = in_stint(e.filter("t is not null"), stints)
     return j.groupBy("game_id", "period", "stint_no", "team_id").agg(*(F.count_if(c).alias(c) for c in ("fga", "oreb", "tov", "fta")), F.sum("pts").alias("pts"))
 
 

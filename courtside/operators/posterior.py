@@ -110,3 +110,36 @@ def predictive_coverage(samples: DataFrame, observations: DataFrame, prob: float
     """
     i = predictive_intervals(predictive_draws(samples, observations.filter("y is not null"), seed, key), prob, key)
     return i.agg(F.avg(F.col("inside").cast("double")).alias("coverage"), F.count("*").alias("n"))
+
+
+#: numbers a sketch keeps on its lowest level
+SKETCH_K = 800
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """Bound on the rank error of a quantile, as a share of all values, that holds with 99 % certainty."""
+    return 2.296 / k**0.9723
+
+
+def sketches(samples: DataFrame, *keys: str, k: int = SKETCH_K) -> DataFrame:
+    """(keys, n, mean, sketch): a KLL sketch of each group's values, a few kilobytes however many draws there are.
+
+    Sketches of chains, batches or seasons can be stored and merged later; up to ``k`` values they are exact.
+    """
+    return samples.filter("value is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.kll_sketch_agg_double("value", k).alias("sketch"))
+
+
+def merged_sketches(parts: DataFrame, *keys: str, k: int = SKETCH_K) -> DataFrame:
+    """Sketches of coarser groups from those of finer ones; the values are not read again."""
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"), F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def sketch_summary(parts: DataFrame, *keys: str, prob: float = 0.8) -> DataFrame:
+    """(keys, n, mean, lower, upper): the central interval, its ends off by ``rank_error`` in rank at most."""
+    q = lambda p: F.kll_sketch_get_quantile_double("sketch", F.lit(p))
+    return parts.select(*keys, "n", "mean", q((1 - prob) / 2).alias("lower"), q((1 + prob) / 2).alias("upper"))
+
+
+def sketch_rank(sketch: str, value):
+    """Share of the sketched values up to ``value``."""
+    return F.kll_sketch_get_rank_double(sketch, value)

@@ -142,6 +142,55 @@ def q10_overlay(spark: SparkSession, d: str) -> DataFrame:
     return frame.select(F.col("bbref_slug").alias("slug"), "cap_hit", F.col("team_abbrev").alias("team"))
 
 
+# Each slug has another name, r and the number, that events rename it to and from: a fold of both, step by step, over a
+# list of rows (contract, slug, cap, guaranteed, team, review).
+_FOLD = f"""WITH RECURSIVE ev AS (SELECT event_id AS seq, {_K} AS k, event_type AS t, cast(round(value * 100) AS BIGINT) AS v FROM events WHERE event_type <> 'purchase'),
+ st AS (SELECT seq, k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i, CASE WHEN seq % 3 = 0 THEN 'r' || k ELSE k::VARCHAR END AS slug, CASE t WHEN 'signup' THEN 'sign' WHEN 'error' THEN 'waive' WHEN 'click' THEN 'trade' ELSE 'amend' END AS kind,
+  CASE t WHEN 'click' THEN 'T' || seq % 30 WHEN 'error' THEN CASE WHEN seq % 5 = 0 THEN 'OLD' ELSE 'NEW' END ELSE 'NEW' END AS team, v AS cap, CASE WHEN seq % 4 = 0 THEN v // 2 ELSE v END AS gtd, seq % 2 = 0 AS even, CASE WHEN seq % 3 = 0 THEN k::VARCHAR ELSE 'r' || k END AS other FROM ev),
+ base AS (SELECT s_suppkey AS k, {{'cid': s_suppkey::VARCHAR, 'slug': s_suppkey::VARCHAR, 'cap': cast(round(s_acctbal * 100) AS BIGINT), 'gtd': cast(round(s_acctbal * 100) AS BIGINT), 'team': 'OLD', 'review': FALSE}} AS r FROM supplier),
+ keys AS (SELECT k FROM base UNION SELECT k FROM st),
+ fold AS (SELECT keys.k, 0::BIGINT AS i, NULL::BIGINT AS seq, CASE WHEN base.k IS NULL THEN [] ELSE [r] END AS rows, NULL::VARCHAR AS warning FROM keys LEFT JOIN base USING (k)
+  UNION ALL SELECT k, i, seq, list_sort(list_concat(rest, CASE WHEN kind = 'sign' THEN [{{'cid': 'override:' || slug, 'slug': slug, 'cap': cap, 'gtd': gtd, 'team': team, 'review': FALSE}}]
+    WHEN kind = 'waive' THEN CASE WHEN even AND own[1].gtd > 0 THEN [{{'cid': 'dead:' || slug, 'slug': slug, 'cap': own[1].gtd, 'gtd': own[1].gtd, 'team': own[1].team, 'review': TRUE}}] ELSE [] END
+    WHEN kind = 'trade' THEN list_transform(own, lambda r: {{'cid': r.cid, 'slug': r.slug, 'cap': r.cap, 'gtd': r.gtd, 'team': team, 'review': r.review}})
+    WHEN even THEN list_transform(own, lambda r: {{'cid': r.cid, 'slug': other, 'cap': r.cap, 'gtd': r.gtd, 'team': r.team, 'review': r.review}})
+    ELSE list_transform(own, lambda r: {{'cid': r.cid, 'slug': r.slug, 'cap': cap, 'gtd': r.gtd, 'team': r.team, 'review': r.review}}) END)),
+   CASE WHEN kind = 'sign' THEN CASE WHEN len(own) > 0 THEN slug || ' was under contract with ' || own[1].team || ': the ' || team || ' deal takes its place' END
+    WHEN len(own) = 0 THEN 'no row of ' || slug || ' to ' || kind
+    WHEN kind = 'waive' AND own[1].team <> team THEN slug || ' is waived by ' || team || ' but held by ' || own[1].team || ', whose row goes' END
+  FROM (SELECT s.*, list_filter(f.rows, lambda r: r.slug = s.slug) AS own, list_filter(f.rows, lambda r: r.slug <> s.slug) AS rest FROM fold f JOIN st s ON s.k = f.k AND s.i = f.i + 1)),
+ ends AS (SELECT k, arg_max(rows, i) AS rows FROM fold GROUP BY 1)"""
+
+
+def _renames(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    none = F.lit(None).cast("string")
+    base = table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("contract_id"), F.lit("s").alias("season"), F.col("s_suppkey").cast("string").alias("bbref_slug"), F.col("s_name").alias("player"), F.lit("OLD").alias("team_abbrev"), F.lit(1).cast("short").alias("season_index"),
+        cents("s_acctbal").alias("cap_hit"), cents("s_acctbal").alias("guaranteed"), F.lit(False).alias("is_guaranteed"), none.alias("option_type"), F.lit(False).alias("needs_review"), none.alias("review_reason"),
+    )
+    e, k, v, t = F.col("event_id"), F.get_json_object("props", "$.k"), cents("value"), F.col("event_type")
+    kind = F.when(t == "signup", "sign").when(t == "error", "waive").when(t == "click", "trade").otherwise("amend")
+    slug, other = F.when(e % 3 == 0, F.concat(F.lit("r"), k)).otherwise(k), F.when(e % 3 == 0, k).otherwise(F.concat(F.lit("r"), k))
+    team = F.when(t == "click", F.concat(F.lit("T"), (e % 30).cast("string"))).when((t == "error") & (e % 5 == 0), "OLD").otherwise("NEW")
+    steps = table(spark, d, "events").filter(t != "purchase").select(
+        e.alias("seq"), F.lit(0).alias("leg"), kind.alias("kind"), slug.alias("bbref_slug"), slug.alias("player"), team.alias("team"), v.alias("cap_hit"), F.when(e % 4 == 0, F.floor(v / 2)).otherwise(v).alias("guaranteed"), (e % 2 == 0).alias("dead_money"),
+        F.when(e % 2 == 0, "bbref_slug").otherwise("cap_hit").alias("field"), F.when(e % 2 == 0, other).otherwise(v.cast("string")).alias("value"), none.alias("note"), none.alias("as_of"),
+    )
+    return overlay.apply_transactions(base, steps, "s")
+
+
+@query(_FOLD + " SELECT r.slug AS slug, r.cid AS contract_id, r.cap AS cap_hit, r.gtd AS guaranteed, r.team AS team, r.review AS needs_review FROM (SELECT unnest(rows) AS r FROM ends)")
+def q73_overlay_renames(spark: SparkSession, d: str) -> DataFrame:
+    frame, _ = _renames(spark, d)
+    return frame.select(F.col("bbref_slug").alias("slug"), "contract_id", "cap_hit", "guaranteed", F.col("team_abbrev").alias("team"), "needs_review")
+
+
+@query(_FOLD + " SELECT seq, warning FROM fold WHERE warning IS NOT NULL")
+def q74_overlay_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return _renames(spark, d)[1].select(F.col("warn_seq").alias("seq"), "warning")
+
+
+
 _SIDES = "SELECT cast(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS game_id"
 
 

@@ -369,3 +369,16 @@ def q71_relative_curves(spark: SparkSession, d: str) -> DataFrame:
 def q72_max_r_hat(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "events").select(F.col("event_type").alias("site"), (F.col("user_id") % 7).alias("player_id"), (F.col("event_id") % 2).alias("chain"), F.floor(F.col("event_id") / 2).alias("draw"), "value")
     return posterior.max_r_hat(s, "player_id").withColumn("r_hat", F.round("r_hat", 6))
+
+
+# Sketches of an event type by day, merged over days: the exact ranks of the interval's ends lie within the stated error.
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, TRUE AS within FROM events GROUP BY 1")
+def q75_merged_sketches(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    s = posterior.sketch_summary(posterior.merged_sketches(posterior.sketches(e, "event_type", "day"), "event_type"), "event_type")
+    share = lambda end, strict: F.avg((F.col("value") < F.col(end) if strict else F.col("value") <= F.col(end)).cast("double"))
+    ranks = e.join(s, "event_type").groupBy("event_type", "n", "mean").agg(*(share(c, strict).alias(f"{c}{strict:d}") for c in ("lower", "upper") for strict in (True, False)))
+    error = posterior.rank_error() + 1e-9
+    # with ties a value has a range of ranks, so one of them has to be near
+    near = lambda c, p: (F.col(f"{c}1") <= p + error) & (F.col(f"{c}0") >= p - error)
+    return ranks.select("event_type", "n", F.round("mean", 6).alias("mean"), (near("lower", 0.1) & near("upper", 0.9)).alias("within"))

@@ -28,7 +28,7 @@ def test_overlay(spark, tmp_path):
     assert got["__new__new_guy"].cap_hit == 5 and not got["__new__new_guy"].is_guaranteed and got["__new__new_guy"].contract_id == "override:New Guy"
     assert got["ccc"].review_reason == "waived_dead_money" and got["ccc"].contract_id == "dead:ccc"
     assert got["aaa"].team_abbrev == "MEM" and got["bbb"].cap_hit == 7
-    assert [r.warning for r in warn.collect()] == ["waive: ccc is on MEM, not BOS; applying to the team they are actually on", "trade: zzz not found; leg skipped"]
+    assert [r.warning for r in warn.collect()] == ["ccc is waived by BOS but held by MEM, whose row goes", "no row of zzz to trade"]
     p.write_text("- nonsense: {}\n")
     with pytest.raises(ValueError):
         overlay.load_transactions(spark, str(p))
