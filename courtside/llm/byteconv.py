@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .shared import refuse_clash
 from .sample import id_remainder, labelled_sample
 
 TAPS, FILTERS, HIDDEN, CHUNK, STRIDE = 6, 12, 8, 256, 2
@@ -159,8 +160,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 600, thre
     Fitted on at most ``per_class`` labelled rows of either class whose crc32(doc_id) mod 5 is not 0; held_out
     tells the others (null id: false). Null and empty texts are scored as one empty chunk; very long texts wholly,
     in pieces of 128 KB that give the same maxima; repeated rows each; an empty table gives no rows; without labels
-    the score is a constant. Only labelled texts of ``sample.MAX_CHARS`` characters at most are fitted on.
+    the score is a constant. Columns named score, held_out or predicted are refused. Only labelled texts of ``sample.MAX_CHARS`` characters at most are fitted on.
     """
+    refuse_clash(columns, "score", "held_out", "predicted")
     spark = docs.sparkSession
     net = spark.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "quality", per_class)))
     cols = list(dict.fromkeys((*columns, "text")))

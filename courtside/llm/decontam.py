@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .shared import refuse_clash
 
 TO_WORDS = bytes(int(vec.LOWER[i]) if vec.ALNUM[vec.LOWER[i]] else 32 for i in range(256))
 
@@ -131,11 +132,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, m
     A word is hit if it lies in an occurrence of a window: ``width`` consecutive words of an item, or the whole
     item if it has fewer. Null and empty texts have no words. Items without words have no window; items with a
     null id are ignored; repeated items count once. Repeated documents give a row each. An empty benchmark hits
-    nothing. Other columns pass if named; text must be.
+    nothing. Other columns pass if named, unless they have the name of a column of the result; text must be.
 
     The benchmark is a test set, small against any corpus; the size of its distinct windows is measured and
     bounds what one automaton holds. Above 64 automata (a gigabyte of windows) this raises rather than overload.
     """
+    refuse_clash(columns, "n_words", "n_hit", "items", "hit_spans")
     pairs = item_windows(benchmark, width).groupBy("pattern").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     size = pairs.agg(F.sum(F.octet_length("pattern") + 16)).first()[0] or 0
     n_parts = 1 + int(size / (max_mb * 1_000_000))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .components import components
-from .shared import drop_written, shuffles_end, written
+from .shared import drop_written, refuse_clash, shuffles_end, written
 
 U64 = np.uint64
 GRAM = 3
@@ -608,8 +608,9 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     fewer than ``min_words`` words are never dropped, nor are documents, which may become empty; lines of fewer than
     ``fuzzy_words`` words (of which 0.85 allows no edit) are dropped where equal. Null text: null, no lines. Very long
     texts are cut between lines for the search, never shortened. Rows that repeat doc_id and text are one document:
-    both keep the same lines. Null ids come first. An empty table gives no rows; other columns pass if named.
+    both keep the same lines. Null ids come first. An empty table gives no rows; other columns pass if named, but for n_lines and n_dropped.
     """
+    refuse_clash(columns, "n_lines", "n_dropped")
     lines, comp = line_groups(docs, **params)
     at = F.struct("doc_id", "mark", "line")
     group = lines.join(comp, F.col("h") == F.col("node"), "left").select("doc_id", "mark", "line", F.coalesce("component", "h").alias("g"))

@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +46,12 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
+def refuse_clash(columns: Iterable[str], *own: str) -> None:
+    """Columns that pass through can't bear the names of those that the result adds."""
+    if clash := sorted({c.lower() for c in columns} & {c.lower() for c in own}):
+        raise ValueError(f"rename the columns {clash}: the result has its own")
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage durably."""
     spark = plain_unions(df).sparkSession

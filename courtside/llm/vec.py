@@ -7,8 +7,6 @@ Work is done on slices of about a megabyte, which bounds memory whatever the bat
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,16 +131,3 @@ def distinct_shingles(b: np.ndarray, offs: np.ndarray, width: int) -> list[np.nd
     sh, where = shingles(span_hash(b, s, e), rows, len(offs) - 1, width)
     cut = np.searchsorted(where, np.arange(len(offs)))
     return [np.unique(sh[cut[i] : cut[i + 1]]) for i in range(len(offs) - 1)]
-
-
-def crc_of_id(ids) -> list[int | None]:
-    """crc32 of each id written as text; None stays None."""
-    return [None if x is None else zlib.crc32(str(x).encode()) for x in ids]
-
-
-def sha256_hex(s: str | bytes) -> str:
-    return hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
-
-
-def text_array(rows: list) -> pa.Array:
-    return pa.array(rows, pa.string())

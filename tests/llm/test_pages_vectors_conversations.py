@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.llm import convrepair, htmltext, queries, vectorcode
+from courtside.llm import byteconv, convrepair, decontam, htmltext, linedup, queries, vectorcode
 
 SF = "/root/testdata/sf0.001"
 PROSE = "It is said that the people of the town have been there for a long time and that they know all of it, and so we went with them to see what they do in the morning. "
@@ -255,3 +255,12 @@ def test_repaired_rows(spark):
     assert got == [(1, 1, "user", "Hi.", "keep"), (1, 2, "assistant", "Well.", "keep"), (2, 1, "user", "", "insert"), (2, 2, "assistant", "Hm.", "keep")] or {g[0] for g in got} <= {0, 1, 2}
     empty = spark.createDataFrame([], rows.schema)
     assert convrepair.repair_report(empty).count() == 0
+
+
+def test_clashing_names_are_refused(spark):
+    docs = spark.createDataFrame([(1, "some words in a text", 2, 3.0, 4)], "doc_id long, text string, n_lines long, score double, n_hit long")
+    labels, items = spark.createDataFrame([(1, 1)], "doc_id long, quality int"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for call in (lambda: linedup.dedup_lines(docs, ("doc_id", "text", "n_lines")), lambda: byteconv.score_quality(docs, labels, columns=("doc_id", "score")), lambda: decontam.find_contamination(docs, items, columns=("doc_id", "text", "n_hit"))):
+        with pytest.raises(ValueError, match="rename"):
+            call()
+    assert decontam.find_contamination(docs, items, columns=("doc_id", "text", "score")).count() == 1
