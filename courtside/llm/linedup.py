@@ -44,11 +44,11 @@ ANYWHERE = 0xFFFF
 #: stars of a block; lines of a block that are looked at two by two
 STARS, WIDE = 4, 64
 #: words of lines for each part of the keys, which one task sorts
-PART_WORDS = 4_000_000
+PART_WORDS = 2_000_000
 #: lines of one sort; of one tile of a block; of the tiles that one task compares
 LINES, TILE, PART_LINES = 1 << 17, 1 << 11, 20_000
-#: pairs that are verified at a time
-BATCH = 20_000
+#: pairs that are verified at a time; bins of words as bags, and pairs that meet as bags at a time
+BATCH, BINS, CHECKED = 20_000, 128, 5_000
 PARITIES = ("p0", "p1", "p2", "p3")
 
 
@@ -241,7 +241,7 @@ def _dealt(fuzzy_words: int, similarity: float, q: int, part_bits: int, levels):
                     keys, places, shown = shown_runs(w[cut[i] : cut[i + len(m)]], m, similarity, q, levels.value)
                     held.append((h[i : i + LINES], m, shown, keys, places))
                     size += len(keys)
-                if size > 1_000_000:
+                if size > 500_000:
                     yield from flush(held)
                     held, size = [], 0
         if size:
@@ -424,6 +424,16 @@ def _words_of(marks, lines):
     return run
 
 
+def bag_distance(words: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How far the words of each pair of lines differ as bags, counted in ``BINS`` bins: a word changed for another
+    counts 2 at most, one added or lost 1. Unlike parities it also tells lines of repeated words apart."""
+    name, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    size = np.array([len(words[k]) for k in name])
+    flat = np.concatenate([words[k] for k in name])
+    bins = np.bincount(np.repeat(np.arange(len(name)) * BINS, size) + flat % np.uint32(BINS), minlength=len(name) * BINS).reshape(-1, BINS).astype(np.int32)
+    return np.abs(bins[at[: len(u)]] - bins[at[len(u) :]]).sum(1)
+
+
 def near_lines(words: list[np.ndarray], u: np.ndarray, v: np.ndarray, similarity: float) -> np.ndarray:
     """Whether each pair of lines is within its edits, by a band of the edit table for many pairs at a time."""
     n, m = (np.array([len(words[k]) for k in z], np.int64) for z in (u, v))
@@ -431,7 +441,9 @@ def near_lines(words: list[np.ndarray], u: np.ndarray, v: np.ndarray, similarity
     n, m = np.maximum(n, m), np.minimum(n, m)
     most = edits(n, similarity)
     out = np.zeros(len(u), bool)
-    order = np.argsort(n, kind="stable")
+    near = np.concatenate([bag_distance(words, u[i : i + CHECKED], v[i : i + CHECKED]) for i in range(0, len(u), CHECKED)] or [n]) + n - m <= 2 * most
+    order = np.flatnonzero(near)
+    order = order[np.argsort(n[order], kind="stable")]
     i, sizes = 0, n[order]
     while i < len(order):
         wide = int(most[order[i]])
