@@ -10,7 +10,9 @@ from ..functions.names import names_consistent
 from ..functions.parsing import looks_empty
 from ..operators import aging, contracts, identity, lineups, possessions, posterior, ratings, trade
 from ..session import table
+from ..snapshots import SnapshotTable
 from ..sources import app, files
+from ..tables import scratch
 from .catalog import _GATE, _K, _LINE, _PBP, _REST, _STINT, YEAR, _box, _gate, _pbp, _value
 from .registry import query
 
@@ -382,3 +384,15 @@ def q75_merged_sketches(spark: SparkSession, d: str) -> DataFrame:
     # with ties a value has a range of ranks, so one of them has to be near
     near = lambda c, p: (F.col(f"{c}1") <= p + error) & (F.col(f"{c}0") >= p - error)
     return ranks.select("event_type", "n", F.round("mean", 6).alias("mean"), (near("lower", 0.1) & near("upper", 0.9)).alias("within"))
+
+
+@query("SELECT o_orderkey, o_custkey, round(CASE WHEN o_orderpriority = '1-URGENT' THEN 2 * o_totalprice ELSE o_totalprice END, 2) AS o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+def q76_snapshot_table(spark: SparkSession, d: str) -> DataFrame:
+    """All orders stored, the urgent ones upserted at twice the price, finished ones deleted, and read back."""
+    o = table(spark, d, "orders")
+    own = o.select("o_orderkey", "o_custkey", "o_totalprice")
+    t = SnapshotTable(spark, scratch(spark, "orders"), ("o_orderkey",))
+    t.upsert(own, "o_orderkey")
+    t.upsert(o.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey", (2 * F.col("o_totalprice")).alias("o_totalprice")), "o_orderkey")
+    t.delete(o.filter("o_orderstatus = 'F'"), "o_orderkey")
+    return t.read().withColumn("o_totalprice", F.round("o_totalprice", 2))

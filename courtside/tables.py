@@ -44,6 +44,13 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted at the end of the program."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    _left[path] = spark
+    return path
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by ``durable`` that no plan needs any longer."""
     for df in tables:
