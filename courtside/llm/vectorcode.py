@@ -11,7 +11,7 @@ divides them. Vectors are read once a round and never shuffled.
 
 What is coded: rows whose vector isn't null and holds no null, NaN or infinity ("kept"). Of those, a vector whose length
 isn't that of the codebooks, or with a component of ``limit(dims)`` or more, has a null code and error and is left out of
-training; with one length and components under 2^19 there are none. Ids needn't be distinct: rows of one id are
+training; with one length of 64 and components under 2^18 there are none. Ids needn't be distinct: rows of one id are
 coded each, and the first entries go by id, then vector. A null id comes last in that order. Repeated rows count as
 often as they occur. Other columns are ignored unless named in ``columns``; the names ``codes`` and ``error`` are refused.
 An empty table gives no codebooks and no rows.
