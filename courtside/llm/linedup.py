@@ -333,18 +333,32 @@ def _ordered(table: pa.Table, group: str, more: tuple[str, ...]) -> tuple[dict[s
     return x, order, np.cumsum(start)
 
 
+def _root(root: np.ndarray, k: int) -> int:
+    while root[k] != k:
+        k = root[k]
+    return k
+
+
 def _families(similarity: float):
     """Of tiles of blocks, pairs (u, v) that join the lines that may be linked: no more than there are lines."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x, _, block = _ordered(table, "key", ("place",))
         x["place"] = x["place"].astype(np.int64)
-        u, v = (np.concatenate(z) for z in zip(*_near(x, block, similarity), strict=True))
         name, at = np.unique(x["h"], return_inverse=True)
-        pairs = np.unique(at[u].astype(np.int64) << 32 | at[v])
-        u, v = pairs >> 32, pairs & 0xFFFFFFFF
-        some = np.fromiter(_joined(len(name), zip(u.tolist(), v.tolist(), strict=True)), np.int64)
-        return pa.table({"u": name[u[some]], "v": name[v[some]]})
+        root, found = np.arange(len(name)), []
+        for u, v in _near(x, block, similarity):
+            u, v = at[u], at[v]
+            open_ = root[u] != root[v]  # all else is joined: of a dense family only the first steps are looked at singly
+            for a, b in zip(u[open_].tolist(), v[open_].tolist(), strict=True):
+                p, q = _root(root, a), _root(root, b)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    found.append((a, b))
+            while open_.any() and (root[root] != root).any():
+                root = root[root]
+        some = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"u": name[some[:, 0]], "v": name[some[:, 1]]})
 
     return run
 
@@ -508,23 +522,6 @@ def _linked(similarity: float):
     return run
 
 
-def _joined(n: int, pairs: Iterator[tuple[int, int]]) -> Iterator[int]:
-    """Numbers of the pairs that join what none before them joined."""
-    root = list(range(n))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
-    for number, (a, b) in enumerate(pairs):
-        a, b = find(a), find(b)
-        if a != b:
-            root[b] = a
-            yield number
-
-
 def _remove(columns):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
