@@ -4,8 +4,11 @@ import functools
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +321,75 @@ def test_language(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def plain_grams(text):
+    b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+    return [b[k : k + 4] for k in range(len(b) - 3) if b"  " not in b[k : k + 4]]
+
+
+def test_language_by_definition(spark):
+    # letters that languages share in unlike shares: a language contains all of its n-grams, however rare they are there
+    r = random.Random(8)
+    mix = {"aa": ["ba", "bo", "bu", "ki"], "bb": ["ki", "ke", "ko", "ba"], "cc": ["éa", "ñu", "ßo", "ba", "ki"]}
+    rows = [(i, " ".join("".join(r.choices(mix[x], [9, 9, 9, 4, 4][: len(mix[x])])[0] for _ in range(r.randint(2, 4))) for _ in range(r.randint(1, 30))), x) for i in range(150) for x in [list(mix)[i % 3]]]
+    rows += [(200, "ba" * 30, None), (201, "\u3042" * 9, None), (7, rows[7][1], "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"gram": F.lit(1), "n": F.lit(2), "total": F.lit(3), "score": F.lit(4)})
+    counts = {x: Counter() for x in mix}
+    for i, text, x in rows:
+        if x and zlib.crc32(str(i).encode()) % 5:
+            counts[x].update(plain_grams(text))
+    sets = {x: {g for g, n in c.items() if n >= 0.002 * c.total()} for x, c in counts.items()}
+    assert len(sets["aa"] & sets["bb"]) > 3
+    f = langid.train(df, min_share=0.002)
+    code = lambda g: int.from_bytes(g, "little")
+    every = sorted(set().union(*sets.values()))
+    for k, x in enumerate(sorted(mix)):  # a filter returns each n-gram of its language, and few others
+        at = langid._places(np.array([code(g) for g in every], np.uint32), f.size)
+        got = {g for g, ok in zip(every, (f.words[0][at[0]] & f.words[0][at[1]] & f.words[0][at[2]]) >> k & 1, strict=True) if ok}
+        assert sets[x] <= got and len(got - sets[x]) <= 0.2 * len(every)
+
+    def plain(text):
+        best = {x: 0.0 for x in sorted(mix)}
+        for g in plain_grams(text):
+            own = [x for x in sets if g in sets[x]]
+            for x in own:
+                best[x] += 1 / len(own)
+        return best
+
+    seen = 0
+    for got in langid.identify(df, min_share=0.002).collect():
+        text = next(t for i, t, _ in rows if i == got.doc_id)
+        best = plain(text)
+        top = sorted(best.values())
+        if top[-1] > 1.2 * top[-2] + 2:
+            seen += 1
+            assert got.lang_pred == max(best, key=best.get) and abs(got.score - top[-1] / len(plain_grams(text))) < 0.35
+    assert seen > 120
+
+
+def test_language_cuts_long_texts():
+    r = random.Random(2)
+    text = " ".join(r.choice(["über", "the", "été", "漢字", "a  1"]) for _ in range(3000))
+    sets = {x: np.unique(langid.grams(*langid.vec.buffers(pa.array([y])))[0]) for x, y in (("de", "über über ube"), ("en", "the the tha"))}
+    f = langid.Filters(["de", "en"], sets, {"de": 2, "en": 1})
+    raw, offs = langid.vec.buffers(pa.array(["", text, None, "the", text[:50]]))
+    whole = f.popcounts(raw, offs)
+    for limit in (7, 64, 1000):
+        total, counts, letter = np.zeros(5, np.int64), np.zeros((5, 2), np.int64), np.zeros(5, bool)
+        for b, o, i, j in langid.cut(raw, offs, limit):
+            t, c = f.popcounts(b, o)
+            total[i:j] += t
+            counts[i:j] += c
+            letter[i:j] |= langid.has_letter(b, o)
+        assert (total == whole[0]).all() and (counts == whole[1]).all() and letter.tolist() == [False, True, False, True, True]
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs).filter("held_out").join(docs.filter("lang is not null and length(text) > 20").select("doc_id", "lang"), "doc_id")
+    n, right = got.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 150 and right >= 0.99 * n
+
+
 def test_pfair(spark, docs, empty):
     w = {"a": 3, "b": 1, "c": 2}
     p = pfair.period(w)
