@@ -483,6 +483,32 @@ def test_pipeline(spark, tmp_path):
     assert len(got) == len(set(got))
 
 
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    text = [[r.choice(WORDS) for _ in range(60)] for _ in range(22)]
+    rows = [(i, " ".join(text[i]), "en", f"s{i % 2}", 0) for i in range(20)]
+    rows += [(20, " ".join(text[0]), "en", None, None)]  # its only line is document 0's
+    rows += [(21, "\n".join(" ".join(text[1][k : k + 15]) for k in range(0, 60, 15)), "en", "s0", 0)]  # other lines, the same words
+    rows += [(22, " ".join([*text[2][:30], "changed", *text[2][31:]]), None, "s1", 0)]  # a near line
+    rows += [(None, " ".join(text[20]), "en", "s0", 0), (None, " ".join(text[21]), "en", "s1", 0), (30, None, None, None, None), (31, "", "en", "s1", 0), (32, " \n ", "en", "s1", 0)]
+    more = {c: F.lit(k) for k, c in enumerate(("score", "predicted", "n_lines", "n_hit", "kept", "mark", "component_id", "key", "h", "slot", "block"))}
+    spark.createDataFrame(rows, SCHEMA).withColumns(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(text[4][10:25])), (2, None), (None, "x"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=lambda k: -1 if k is None else k)
+    assert got == [None, None, *(k for k in range(20) if k != 4), 30, 31, 32]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, kinds in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def word_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
