@@ -44,13 +44,34 @@ def _hangul(c: Column) -> Column:
     return F.when((s >= 0) & (s < 11_172), F.concat(part(LEADS, F.floor(s / 588)), part(VOWELS, F.floor(s % 588 / 28)), tail))
 
 
+@functools.cache
+def _pages() -> tuple[list[int], str]:
+    """The characters of several letters by code point, so that a look-up costs the same however many there are.
+
+    (for each 256 code points the number of their page, 0 if they have none; the letters of all pages' 256 code points,
+    empty for those that are not among them, page 0 being empty).
+    """
+    several = {ord(c): base for c, base in _decomposition()[2].items()}
+    used = sorted({p >> 8 for p in several})
+    number = {p: k + 1 for k, p in enumerate(used)}
+    pages = [number.get(p, 0) for p in range(used[-1] + 1)]
+    return pages, "\x01".join([""] * 256 + [several.get(p * 256 + k, "") for p in used for k in range(256)])
+
+
+def _letters(c: Column) -> Column:
+    """The letters of a character of several; null for any other one."""
+    pages, letters = _pages()
+    page = F.coalesce(F.get(F.array(*map(F.lit, pages)), F.shiftright(F.ascii(c), 8)), F.lit(0))
+    return F.nullif(F.get(F.split(F.lit(letters), "\x01"), page * 256 + F.ascii(c) % 256), F.lit(""))  # both arrays are constants
+
+
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition (NFKD) without combining marks, in the JVM: one ``translate``, and a look-up of each
     character only in texts that have one which becomes several letters."""
     given, letters, several = _decomposition()
-    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())), F.lit("\x01"), F.lit("\x02"))  # a constant
-    rare = c.rlike(f"[{''.join(several)}{chr(HANGUL)}-{chr(HANGUL + 11_171)}]")
-    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), _hangul(x), x)), "")
+    # found by translate, which hashes: a class of so many characters is tried one by one
+    rare = (F.translate(c, "".join(several), "") != c) | c.rlike(f"[{chr(HANGUL)}-{chr(HANGUL + 11_171)}]")
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(_letters(x), _hangul(x), x)), "")
     plain = F.translate(F.when(rare, apart).otherwise(c), given, letters)
     return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(c)
 
