@@ -1,7 +1,7 @@
 """Ridge ratings from offence blocks: design, sufficient statistics, grouped cross-validation, priors, value.
 
-The design never leaves Spark. A block touches 10 players; the weighted products of its columns, of its target and of a
-one for the intercept are summed for each two columns, with all folds as an array, in one partially aggregated pass.
+The design never leaves Spark. A block touches 10 players; blocks of the same ones are summed first, then the weighted
+products of their columns, of the target and of a one for the intercept for each two columns, with all folds as an array.
 What folds, penalties and prior means ask for follows from that sparse table of sums by conjugate gradients.
 """
 
@@ -65,21 +65,38 @@ def balanced_folds(design: DataFrame, k: int = FOLDS) -> list[int]:
 TARGET, ONE = -2, -1
 
 
-def _pairs(design: DataFrame, extended: bool) -> DataFrame:
-    """A row of the design as the products of its columns, (fold, w, i, j, v) with i <= j; i and j are 2 * player + defence."""
+def same_lineups(design: DataFrame, folds: list[int] | None) -> DataFrame:
+    """(fold, terms, w, wy, wyy): a row for each fold and set of terms, with what its rows add up to.
+
+    Equal terms have equal products, so these are formed once a lineup instead of once a block.
+    """
+    d = with_folds(design, folds) if folds else design.withColumn("fold", F.lit(0))
+    wy = F.col("w") * F.col("y")
+    return d.groupBy("fold", "terms").agg(F.sum("w").alias("w"), F.sum(wy).alias("wy"), F.sum(wy * F.col("y")).alias("wyy"))
+
+
+def _pairs(rows: DataFrame, extended: bool) -> DataFrame:
+    """A row of the design as the weighted products of its columns, (fold, i, j, v) with i <= j; i and j are 2 * player + defence.
+
+    ``extended``: rows of ``same_lineups``, whose target and one are columns too.
+    """
     code = lambda t: t["player_id"] * 2 + t["defense"].cast("long")
     terms = F.transform("terms", lambda t: F.struct(code(t).alias("i"), t["x"].alias("x")))
-    if extended:
-        more = F.array(*(F.struct(F.lit(c).cast("long").alias("i"), x.cast("double").alias("x")) for c, x in ((TARGET, F.col("y")), (ONE, F.lit(1.0)))))
-        terms = F.concat(more, terms)
-    product = lambda a: lambda b: F.struct(a["i"].alias("i"), b["i"].alias("j"), (a["x"] * b["x"]).alias("v"))
+    entry = lambda i, j, v: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), v.cast("double").alias("v"))
+    product = lambda a: lambda b: entry(a["i"], b["i"], F.col("w") * a["x"] * b["x"])
     partners = lambda a: F.transform(F.filter("c", lambda b: b["i"] >= a["i"]), product(a))
-    return design.withColumn("c", terms).select("fold", "w", F.explode(F.flatten(F.transform("c", partners))).alias("p")).select("fold", "w", "p.*")
+    every = F.flatten(F.transform("c", partners))
+    if extended:
+        one_with = lambda c, v: F.transform("c", lambda b: entry(F.lit(c), b["i"], F.col(v) * b["x"]))
+        alone = F.array(*(entry(F.lit(a), F.lit(b), F.col(v)) for a, b, v in ((TARGET, TARGET, "wyy"), (TARGET, ONE, "wy"), (ONE, ONE, "w"))))
+        every = F.concat(alone, one_with(TARGET, "wy"), one_with(ONE, "w"), every)
+    return rows.withColumn("c", terms).select("fold", F.explode(every).alias("p")).select("fold", "p.*")
 
 
 def pair_sums(design: DataFrame) -> DataFrame:
     """(fold, i, j, g): upper triangle of the Gram matrix, i and j being 2 * player + defence."""
-    return _pairs(design, False).groupBy("fold", "i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("g"))
+    lineups = design.groupBy("fold", "terms").agg(F.sum("w").alias("w"))
+    return _pairs(lineups, False).groupBy("fold", "i", "j").agg(F.sum("v").alias("g"))
 
 
 def with_folds(design: DataFrame, folds: list[int]) -> DataFrame:
@@ -93,9 +110,11 @@ class Moments:
 
     ``gram``: (i, j, g: array of a sum for each fold), i <= j, with the columns TARGET and ONE among them, so it holds
     the linear sums too. It is a written table of one row for each two columns that ever meet; only the sums of the
-    target and the one with each other, three numbers a fold, are here on the driver.
+    target and the one with each other, three numbers a fold, are here on the driver. ``lineups`` is the written table
+    of ``same_lineups`` that the sums are made from.
     """
 
+    lineups: DataFrame
     gram: DataFrame
     rows: int  # of gram
     w: np.ndarray
@@ -112,17 +131,16 @@ class Moments:
 
 
 def moments(design: DataFrame, folds: list[int] | None = None) -> Moments:
-    """All sums of a design in one partially aggregated pass. Without ``folds`` all rows are one fold."""
+    """All sums of a design in one partially aggregated pass of its rows and one of its lineups. Without ``folds`` all rows are one fold."""
     k = max(folds) + 1 if folds else 1
-    d = with_folds(design, folds) if folds else design.withColumn("fold", F.lit(0))
-    v = F.col("w") * F.col("v")
-    sums = [F.sum(F.when(F.col("fold") == f, v).otherwise(0.0)) for f in range(k)]
-    gram = durable(_pairs(d, True).groupBy("i", "j").agg(F.array(*sums).alias("g")), "gram")
+    lineups = durable(same_lineups(design, folds), "lineups")
+    sums = [F.sum(F.when(F.col("fold") == f, F.col("v")).otherwise(0.0)) for f in range(k)]
+    gram = durable(_pairs(lineups, True).groupBy("i", "j").agg(F.array(*sums).alias("g")), "gram")
     at = {(r.i, r.j): np.array(r.g) for r in gram.filter("j < 0").collect()}  # three rows
     if (ONE, ONE) not in at:
-        forget(gram)
+        forget(lineups, gram)
         raise ValueError("no block is left to fit")
-    return Moments(gram, gram.count(), at[ONE, ONE], at[TARGET, ONE], at[TARGET, TARGET])
+    return Moments(lineups, gram, gram.count(), at[ONE, ONE], at[TARGET, ONE], at[TARGET, TARGET])
 
 
 @dataclass
@@ -130,27 +148,28 @@ class Fit:
     """Solutions of several systems (excluded fold or -1, penalty): ``beta`` (i, beta: array of one for each) and intercepts."""
 
     systems: list[tuple[int, float]]
-    beta: DataFrame
+    beta: DataFrame | None  # None where only errors were asked for
     intercepts: np.ndarray
     errors: np.ndarray  # of the excluded fold; nan where none is
     steps: int
 
 
-def conjugate_gradients(spark: SparkSession, m: Moments, systems: list[tuple[int, float]], prior: DataFrame | None = None, local_rows: int = 2_000_000) -> Fit:
+def conjugate_gradients(spark: SparkSession, m: Moments, systems: list[tuple[int, float]], prior: DataFrame | None = None, local_rows: int = 2_000_000, errors_only: bool = False) -> Fit:
     """Weighted ridge with a free intercept for all ``systems`` at once; with ``prior`` (i, mu) shrinkage is towards it.
 
     Conjugate gradients with the diagonal as preconditioner. A step needs the Gram matrix only as what it is multiplied
     with, and one multiplication serves all systems. Up to ``local_rows`` rows of ``m.gram`` (60 bytes each at five
     folds) the rows are multiplied on the driver, where a step costs no job; beyond, vectors and matrix stay
-    tables and a step is a join and a sum. Both stop at the same relative residual.
+    tables and a step is a join and a sum. Both stop at the same relative residual. ``errors_only``: the solutions on
+    the driver are not made a table.
     """
-    return (_solve_local if m.rows <= local_rows else _solve_tables)(spark, m, systems, prior)
+    return _solve_local(spark, m, systems, prior, errors_only) if m.rows <= local_rows else _solve_tables(spark, m, systems, prior)
 
 
 TOLERANCE, MAX_STEPS = 1e-13, 5_000
 
 
-def _solve_local(spark: SparkSession, m: Moments, systems: list[tuple[int, float]], prior: DataFrame | None) -> Fit:
+def _solve_local(spark: SparkSession, m: Moments, systems: list[tuple[int, float]], prior: DataFrame | None, errors_only: bool = False) -> Fit:
     table = m.gram.toArrow()  # conjugate_gradients has checked its rows
     i, j = (table[c].to_numpy() for c in ("i", "j"))
     g = table["g"].combine_chunks().flatten().to_numpy().reshape(-1, m.folds)
@@ -184,7 +203,7 @@ def _solve_local(spark: SparkSession, m: Moments, systems: list[tuple[int, float
         given = prior.toArrow()  # a row for each column of the design
         known = {int(k): x for k, x in zip(given["i"].to_pylist(), given["mu"].to_pylist(), strict=True)}
         mu = np.array([known.get(int(k), 0.0) for k in own])
-    beta, intercepts, errors, steps = np.zeros((n, len(systems))), np.zeros(len(systems)), np.full(len(systems), np.nan), 0
+    beta, intercepts, errors, steps = None if errors_only else np.zeros((n, len(systems))), np.zeros(len(systems)), np.full(len(systems), np.nan), 0
     for f in train:
         ks = [k for k, x in enumerate(systems) if x[0] == f]
         w, wy = float(m.train(m.w, f)), float(m.train(m.wy, f))
@@ -212,11 +231,15 @@ def _solve_local(spark: SparkSession, m: Moments, systems: list[tuple[int, float
             live = live[new > stop[live]]
         steps = max(steps, count)
         intercepts[ks] = (wy - sf @ x) / w
-        beta[:, ks] = x + mu[:, None]
+        y = x + mu[:, None]
+        if beta is not None:
+            beta[:, ks] = y
         if f >= 0:
-            c, y = intercepts[ks], beta[:, ks]
+            c = intercepts[ks]
             sse = m.wyy[f] + (y * times(np.ascontiguousarray(val[:, f]), y)).sum(0) + c * c * m.w[f] - 2 * (b[:, f] @ y) - 2 * c * m.wy[f] + 2 * c * (s[:, f] @ y)
             errors[ks] = sse / m.w[f]
+    if beta is None:
+        return Fit(systems, None, intercepts, errors, steps)
     out = pa.table({"i": own, "beta": pa.FixedSizeListArray.from_arrays(pa.array(beta.ravel()), len(systems)).cast(pa.list_(pa.float64()))})
     return Fit(systems, spark.createDataFrame(out), intercepts, errors, steps)
 
@@ -302,7 +325,7 @@ def choose_lambda(spark: SparkSession, m: Moments, grid: tuple[float, ...] = LAM
     """Least mean error over folds, the first on ties. Fewer than two folds: the grid's middle, scores unknown."""
     if m.folds < 2:
         return grid[len(grid) // 2], [float("nan")] * len(grid)
-    fit = conjugate_gradients(spark, m, [(f, lam) for lam in grid for f in range(m.folds)])
+    fit = conjugate_gradients(spark, m, [(f, lam) for lam in grid for f in range(m.folds)], errors_only=True)
     scores = fit.errors.reshape(len(grid), m.folds).mean(1)
     return grid[int(np.argmin(scores))], scores.tolist()
 
@@ -324,7 +347,7 @@ def ratings_of(fit: Fit, system: int = 0) -> DataFrame:
     return r.withColumn("total", F.col("offense") + F.col("defense"))
 
 
-def fit_moments(spark: SparkSession, design: DataFrame, m: Moments, grid: tuple[float, ...] = LAMBDAS, fixed: float | None = None, prior: DataFrame | dict | None = None, replacement: float = REPLACEMENT) -> tuple[DataFrame, dict]:
+def fit_moments(spark: SparkSession, m: Moments, grid: tuple[float, ...] = LAMBDAS, fixed: float | None = None, prior: DataFrame | dict | None = None, replacement: float = REPLACEMENT) -> tuple[DataFrame, dict]:
     """As ``fit_ratings``, from sums that may serve several fits."""
     lam, scores = (fixed, []) if fixed is not None else choose_lambda(spark, m, grid)
     if isinstance(prior, dict):
@@ -334,7 +357,7 @@ def fit_moments(spark: SparkSession, design: DataFrame, m: Moments, grid: tuple[
         sides = F.array(*(F.struct((F.col("player_id") * 2 + d).alias("i"), F.coalesce(c, F.lit(0.0)).alias("mu")) for d, c in ((0, "mu_off"), (1, "mu_def"))))
         mu = prior.select(F.explode(sides).alias("t")).select("t.*")
     fit = conjugate_gradients(spark, m, [(-1, lam)], mu)
-    r = ratings_of(fit).join(player_possessions(design), "player_id")
+    r = ratings_of(fit).join(player_possessions(m.lineups), "player_id")
     return with_value(r, replacement), {"lambda": lam, "scores": scores, "intercept": float(fit.intercepts[0]), "n_folds": m.folds, "steps": fit.steps}
 
 
@@ -346,7 +369,7 @@ def fit_ratings(spark: SparkSession, blocks: DataFrame, grid: tuple[float, ...]
     """
     design = design_rows(blocks)
     m = moments(design, None if fixed is not None else balanced_folds(design))
-    return fit_moments(spark, design, m, grid, fixed, prior, replacement)
+    return fit_moments(spark, m, grid, fixed, prior, replacement)
 
 
 def ranked(df: DataFrame, value: str, *ties: str, buckets: int = 64) -> DataFrame:

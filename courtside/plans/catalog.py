@@ -409,14 +409,14 @@ _PRIOR = """,
 def q28_prior_ridge(spark: SparkSession, d: str) -> DataFrame:
     design = ratings.design_rows(_turns(spark, d))
     m = ratings.moments(design, ratings.balanced_folds(design))
-    plain, facts = ratings.fit_moments(spark, design, m)
+    plain, facts = ratings.fit_moments(spark, m)
     k = F.explode(F.array(F.lit(0), F.lit(1)))
     box = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey", k.alias("k")).select(
         (2 * F.col("s_suppkey") + F.col("k")).cast("long").alias("player_id"), (F.col("s_acctbal") + 500 * F.col("k")).alias("pts_100"),
         (F.col("s_nationkey") + F.col("k") * (F.col("s_suppkey") % 7)).cast("double").alias("ast_100"), *((F.col("s_acctbal") + 2000).alias(c) for c in ("off_possessions", "def_possessions")),
     )
     mu = ratings.box_score_prior(plain, box, ["pts_100", "ast_100"], ["pts_100"])
-    return _rounded(ratings.fit_moments(spark, design, m, fixed=facts["lambda"], prior=mu)[0])
+    return _rounded(ratings.fit_moments(spark, m, fixed=facts["lambda"], prior=mu)[0])
 
 
 _VALUE = """WITH e AS (SELECT l_suppkey AS player_id, sum(l_extendedprice) / sum(l_quantity) / 100 AS total, sum(l_quantity) AS possessions FROM lineitem GROUP BY 1), v AS (SELECT *, (total + 2.5) * possessions / 100 AS value FROM e)"""

@@ -78,3 +78,21 @@ def test_more_players_than_a_dense_matrix_holds(spark):
     low = r.agg(F.count("*").alias("n"), F.min("offense").alias("lo"), F.max("offense").alias("hi")).first()
     t = 10 * 20 / (2 * 10 + 100)  # w (y - mean) / (2 w + penalty)
     assert low.n == 60_000 and abs(low.hi - t) < 1e-9 and abs(low.lo + t) < 1e-9 and abs(facts["intercept"] - 100) < 1e-9
+
+
+def test_products_are_formed_once_a_lineup(spark):
+    """Blocks that repeat a lineup add to its row; only these rows are expanded to products of columns."""
+    rows, *_ = _league(n_players=14, games=12)
+    once = spark.createDataFrame(rows, BLOCK)
+    many = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("points", F.col("points") + F.col("k") - 4).drop("k")
+    m = ratings.moments(ratings.design_rows(many), [0] * 2048 + [1] * 2048)
+    lineups = {(r[1], tuple(o), tuple(d)) for r, (_, o, d, *_) in zip(ratings.with_folds(once, [0] * 2048 + [1] * 2048).select("game_id", "fold").collect(), rows, strict=True)}
+    assert m.lineups.count() == len(lineups)
+    x, y, w = np.zeros((7 * len(rows), 28)), np.zeros(7 * len(rows)), np.zeros(7 * len(rows))
+    for i, r in enumerate(many.collect()):
+        x[i, [2 * p for p in r.offense]], x[i, [2 * p + 1 for p in r.defense]], y[i], w[i] = 1, -1, 100 * r.points / r.possessions, r.possessions
+    full = np.column_stack((y, np.ones(len(y)), x))
+    want = full.T @ (w[:, None] * full)
+    for r in m.gram.collect():
+        assert abs(sum(r.g) - want[r.i + 2, r.j + 2]) <= 1e-9 * abs(want[r.i + 2, r.j + 2]) + 1e-6
+    assert m.gram.count() == np.count_nonzero(np.triu(full.T.astype(bool).astype(int) @ full.astype(bool).astype(int)))
