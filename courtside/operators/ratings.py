@@ -422,7 +422,8 @@ def predict(model: dict):
 
 def box_score_prior(plain: DataFrame, box_rows: DataFrame, off_features: list[str], def_features: list[str], reliable: float = 1000.0) -> DataFrame:
     """(player_id, mu_off, mu_def): predictions of models trained on players of enough possessions; 0 without a row."""
-    j = plain.select("player_id", "offense", "defense").join(box_rows, "player_id")
+    plain = durable(plain.select("player_id", "offense", "defense"), "plain")  # five jobs read it
+    j = plain.join(box_rows, "player_id")
     off = standardized_ridge(j.filter(F.col("off_possessions") >= reliable), off_features, "offense")
     de = standardized_ridge(j.filter(F.col("def_possessions") >= reliable), def_features, "defense")
     mu = box_rows.select("player_id", predict(off).alias("mu_off"), predict(de).alias("mu_def"))
