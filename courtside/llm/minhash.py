@@ -10,11 +10,12 @@ How it stays near linear without losing links:
 1. Documents with equal shingle sets form one class, found by a hash of the set's digest; one row of it goes on.
 2. Each bucket pairs its members with its least member (a star, not all pairs). Pairs are confirmed on full
    shingle sets, read from the texts, and joined to components.
-3. Members of different components around one pivot are paired only if they share one of the rarest shingles by
-   which they differ from it, which any link between them needs (a prefix filter, see
-   ``near_duplicates``). Members too unlike the pivot to be compared with it are paired with all
-   others by a prefix filter on their own sets. Pairs pass two cuts: the ratio of the set sizes (exact), and the number
-   of unequal 4-bit MinHash remainders (over four standard deviations). All are confirmed on full sets.
+3. Members of different components around one pivot meet in one task (of many, in tiles) if they share one of the
+   rarest shingles by which they differ from it, which any link between them needs (a prefix filter, see ``_around``).
+   What two differ by follows exactly from what each differs from the pivot by, so no pair is emitted but links that
+   join. Members too unlike the pivot to be compared with it are paired with all others by a prefix filter on their own
+   sets. Those pairs pass two cuts: the ratio of the set sizes (exact), and the number of unequal 4-bit MinHash
+   remainders (over four standard deviations). They are confirmed on full sets.
 
 Buckets are met by partially aggregated ``groupBy`` and sort-merge joins, never collected.
 """
@@ -36,6 +37,8 @@ U64 = np.uint64
 #: of ``half_keys * 2 * rows`` 4-bit remainders, a linked pair (15 % unequal sets) has 14 % unequal on average;
 #: more than this share is over four standard deviations away
 UNEQUAL_SHARE = 0.5
+#: members of a pivot's group in one tile; shingles of the tiles that one task compares
+TILE, PART_SHINGLES = 1 << 11, 1_000_000
 
 
 def _family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +134,83 @@ def _compare(width: int, percent: int):
     return run
 
 
+def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after another."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+def _joining(x: dict[str, np.ndarray], differs: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Of members of one pivot's group, links that join different components: as many as join all that is linked."""
+    d, n, m = np.array([len(s) for s in differs]), x["n"], len(differs)
+    own = np.repeat(np.arange(m), d)
+    code, often = np.unique(np.concatenate(differs), return_inverse=True, return_counts=True)[1:]
+    met = np.zeros(len(often), bool)
+    met[code[x["away"][own]]] = True
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(np.where(met, often, 0), kind="stable")] = np.arange(len(often))
+    # shingles that no other member has go first, or none in another component than the pivot: they only shorten the prefix
+    keep = (often[code] > 1) & met[code]
+    own, code = own[keep], rank[code[keep]]
+    order = np.lexsort((code, own))
+    own, code = own[order], code[order]
+    size = np.bincount(own, minlength=m)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    few = np.maximum(1, d - n * (100 - percent) // percent)
+    half = (d - (100 - percent) * np.maximum(n - x["nu"], 0) / (100 + percent)) // 2 + 1
+    as_w = np.clip(size - few + 1, 0, size)
+    as_v = np.clip(size - np.maximum(few, half.astype(np.int64)) + 1, 0, size)
+    shown = _gather(start, as_v)
+    shown = shown[np.argsort(code[shown], kind="stable")]
+    first = np.searchsorted(code[shown], np.arange(len(often) + 1))
+    root = np.unique(x["c"], return_inverse=True)[1]
+    has = np.zeros(len(often), bool)
+    for w in np.flatnonzero(x["away"] & (as_w > 0)):
+        k = code[start[w] : start[w] + as_w[w]]
+        v = np.unique(own[shown[_gather(first[k], first[k + 1] - first[k])]])
+        v = v[(root[v] != root[w]) & ((x["a"][w] == x["b"][w]) | (x["own"][v] != x["own"][w]))]
+        v = v[(100 + percent) * np.abs(d[v] - d[w]) <= (100 - percent) * (n[v] + n[w])]
+        if not len(v):
+            continue
+        mine = code[start[w] : start[w] + size[w]]
+        has[mine] = True
+        every = np.concatenate(([0], np.cumsum(has[code[_gather(start[v], size[v])]])))
+        ends = np.cumsum(size[v])
+        shared = every[ends] - every[ends - size[v]]
+        has[mine] = False
+        both = (n[v] + n[w] - (d[v] + d[w] - 2 * shared)) // 2
+        for k in v[(both > 0) & (100 * both >= percent * (n[v] + n[w] - both))]:
+            if root[k] != root[w]:
+                yield x["v"][w], x["v"][k]
+                root[root == root[k]] = root[w]
+
+
+def _around(percent: int):
+    """Of tiles of pivots' members, links (u, v) between components.
+
+    D(v) are the shingles by which v differs from its pivot u; v and w differ by D(v) ^ D(w). At a link they differ by
+    at most c * (n(v) + n(w)), c being (100 - percent) / (100 + percent), and by at most n * (100 - percent) / percent
+    of either; w, not linked with u, differs from u by more than c * (n(u) + n(w)). So D(v) and D(w) share at least
+    ``few`` shingles, and ``half`` of D(v), and under any one order of shingles the first size - that + 1 of both meet
+    (prefix filter). The order is rarest first among the tile's members.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x = {c: table.column(c).to_numpy() for c in ("u", "a", "b", "own", "v", "c", "away", "nu", "n")}
+        order = np.lexsort((x["v"], x["b"], x["a"], x["u"]))
+        x = {k: v[order] for k, v in x.items()}
+        lists = table.column("differs").combine_chunks()
+        flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[c][1:] != x[c][:-1] for c in ("u", "a", "b")], axis=0)
+        cut = np.append(np.flatnonzero(new), len(order))
+        found = []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            found += _joining({k: v[i:j] for k, v in x.items()}, [flat[offs[k] : offs[k + 1]] for k in order[i:j]], percent)
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
 def _compared(pairs: DataFrame, named: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) of classes compared on their full shingle sets. ``named``: (doc_id, mark) of classes."""
     name = lambda c: named.select(F.col("doc_id").alias(c), F.col("mark").alias(f"mark_{c}"))
@@ -187,38 +267,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
     links = stars.filter("linked").select("u", "v")
     comp = components(links)
 
-    # Pairs around one pivot u that are in different components. D(v) are the shingles by which v differs from u;
-    # v and w differ by D(v) ^ D(w). At a link they differ by at most c * (n(v) + n(w)), c being
-    # (100 - percent) / (100 + percent), and by at most n * (100 - percent) / percent of either; w, not linked with u,
-    # differs from u by more than c * (n(u) + n(w)). So D(v) and D(w) share at least ``need`` shingles, and under any
-    # one order of shingles the first size - need + 1 of both meet (prefix filter). The order is rarest first around u.
+    # pairs around one pivot that are in different components, where any member is in another than the pivot's
     label = comp.select("node", F.col("component").alias("c"))
     sizes = reps.select("doc_id", "n_shingles")
     around = (
         stars.join(label.withColumnsRenamed({"node": "u", "c": "cu"}), "u", "left")
         .join(label.withColumnsRenamed({"node": "v", "c": "cv"}), "v", "left")
-        .join(sizes.withColumnsRenamed({"doc_id": "u", "n_shingles": "nu"}), "u")
-        .join(sizes.withColumnsRenamed({"doc_id": "v", "n_shingles": "n"}), "v")
-        .select("u", "v", F.coalesce("cv", "v").alias("cv"), (F.coalesce("cu", "u") != F.coalesce("cv", "v")).alias("away"), "nu", "n", F.size("differs").cast("long").alias("d"), "differs")
-    )
-    open_ = around.filter("away").select("u").distinct()
-    each = around.join(open_, "u", "left_semi").withColumn("shingle", F.explode("differs")).drop("differs")
-    often = each.groupBy("u", "shingle").agg(F.count("*").alias("often"), F.bool_or("away").alias("met")).filter("often > 1 and met")
-    few = f"d - floor(n * {100 - percent} / {percent})"
-    half = f"floor((d - {100 - percent} * greatest(n - nu, 0) / {100 + percent}) / 2) + 1"
-    # shingles that no other member has go first: they only shorten the prefix
-    ranked = each.join(often, ["u", "shingle"]).withColumn("rank", F.row_number().over(Window.partitionBy("u", "v").orderBy("often", "shingle")))
-    ranked = ranked.withColumn("alone", F.col("d") - F.count("*").over(Window.partitionBy("u", "v")))
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("alone")).select(
-        "u", "v", "cv", "away", "n", "d", "shingle", F.expr(f"rank <= d - greatest(1, {few}, {half}) + 1").alias("as_v"), F.expr(f"away and rank <= d - greatest(1, {few}) + 1").alias("as_w")
-    )
-    ranked = written(ranked.filter("as_v or as_w"), "minhash-around")
-    full = ranked.filter("as_w").select("u", F.col("v").alias("w"), F.col("cv").alias("cw"), F.col("n").alias("nw"), F.col("d").alias("dw"), "shingle")
-    close = (
-        ranked.filter("as_v").join(full, ["u", "shingle"])
-        .filter((F.col("cv") != F.col("cw")) & ((100 + percent) * F.abs(F.col("d") - F.col("dw")) <= (100 - percent) * (F.col("n") + F.col("nw"))))
-        .select(F.least("v", "w").alias("u"), F.greatest("v", "w").alias("v")).distinct()
+        .select("u", "v", F.coalesce("cv", "v").alias("c"), (F.coalesce("cu", "u") != F.coalesce("cv", "v")).alias("away"), "differs")
     )
+    open_ = around.groupBy("u").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.bool_or("away").alias("open")).filter("open").select("u", "tiles")
+    around = around.join(open_, "u").join(sizes.withColumnsRenamed({"doc_id": "u", "n_shingles": "nu"}), "u").join(sizes.withColumnsRenamed({"doc_id": "v", "n_shingles": "n"}), "v")
+    around = written(around, "minhash-around")
+    n_parts = int((around.agg(F.sum(F.col("tiles") * F.size("differs"))).first()[0] or 0) / PART_SHINGLES) + 8
+    tiles = around.withColumn("own", F.expr("pmod(xxhash64(v), tiles)")).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    tiles = tiles.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).withColumn("part", F.pmod(F.xxhash64("u", "a", "b"), F.lit(n_parts)))
+    links = links.unionByName(written(tiles.select("part", "u", "a", "b", "own", "v", "c", "away", "nu", "n", "differs").groupBy("part").applyInArrow(_around(percent), "u long, v long"), "minhash-links"))
 
     # Members of a bucket too unlike its pivot to be compared with it, against all others (what is linked with the
     # pivot can be linked with them as well: a text that grows). A link needs percent % of the larger set in common,
@@ -244,7 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
         .select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v"))
         .distinct()
     )
-    rest = written(plausible(close.unionByName(distant).distinct()).join(stars.select("u", "v"), ["u", "v"], "left_anti"), "minhash-rest")
+    rest = written(plausible(distant).join(stars.select("u", "v"), ["u", "v"], "left_anti"), "minhash-rest")
     links = links.unionByName(written(_compared(rest, named, texts, width, percent).filter("linked").select("u", "v"), "minhash-links"))
     # an id that repeats with different texts ties their classes together
     several = some.groupBy("doc_id").agg(F.min("cid").alias("c0"), F.max("cid").alias("c1")).filter("c0 <> c1").select("doc_id")
@@ -255,7 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, rows: in
     own = classes.join(comp, F.col("rep") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "rep").alias("c"))
     least = own.groupBy("c").agg(F.min("least").alias("component_id"))
     least = written(own.join(least, "c").select("cid", "component_id"), "minhash-components")
-    drop_written(classes, reps, buckets, stars, ranked, strange, own_sh, first, rest)
+    drop_written(classes, reps, buckets, stars, around, strange, own_sh, first, rest)
     return (
         sig.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("cid")).alias("cid"))
         .join(least, "cid", "left")

@@ -574,6 +574,40 @@ def test_minhash_growing_chains(spark):
     assert got == {i: i - i % 3 for i, _ in rows}
 
 
+def test_minhash_family_under_the_threshold(spark, monkeypatch):
+    """Near copies of one text, most of them a little too unlike for a link: no pair is emitted but those that join."""
+    r = random.Random(8)
+    base = [f"{r.choice(WORDS)}{k}" for k in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        w = list(base)
+        for k in r.sample(range(4, 100, 12), r.choice([1, 3, 4, 4])):
+            w[k] = r.choice(WORDS[:3])
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]) and least[i] != least[j]:
+                lo, hi = sorted((least[i], least[j]))
+                least = [lo if x == hi else x for x in least]
+    assert 5 < len(set(least)) < 150
+    made = []
+
+    def counted(df, tag, keep=minhash.written):
+        out = keep(df, tag)
+        made.extend([out.count()] if tag in ("minhash-rest", "minhash-links") else [])
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    for tile in (1 << 11, 40):
+        monkeypatch.setattr(minhash, "TILE", tile, raising=False)
+        made.clear()
+        got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert [got[i] for i, _ in rows] == least
+        assert sum(made) < 3 * len(rows)
+
+
 def test_minhash_ids_that_repeat(spark):
     # an id with two texts ties the components of both, whichever row comes first
     a, b = corpus()[3][1], corpus()[5][1]
