@@ -10,7 +10,8 @@
    stars left unlinked is joined with all of its block. All are filtered by what any link must meet: the numbers of
    words, the places of the run in both lines, which edits shift, and the parities of the words in 256 bins.
 3. Candidates are verified by edit similarity over their normalised words: ``1 - edits / more words``. What the stars
-   left is verified family by family, and no link is sought between lines that are joined already.
+   left is verified family by family, and no link is sought between lines that are joined already. Lines with words
+   changed in place and additional words at one place are told without an edit table.
 4. Verified links and classes form connected groups; the first occurrence by (doc_id, line) of each group stays.
 
 SimHash blocks were built first and given up: at the similarities that edit distance allows, few edited lines share a
@@ -221,8 +222,9 @@ def _dealt(fuzzy_words: int, similarity: float, q: int, part_bits: int, levels):
         own[np.unique(h, return_index=True)[1]] = True
         every, n = np.repeat(own, n), n[own]
         k, place = k[every], place[every]
-        order = np.argsort(k)
-        k, columns = k[order], [k[order].astype(np.uint32), np.repeat(h[own], n)[order], np.repeat(np.minimum(words[own], 0xFFFF).astype(np.uint16), n)[order], place[order]]
+        order = np.argsort((k >> shift).astype(np.uint16) if part_bits <= 16 else k, kind="stable")  # 16 bits: by radix
+        line = np.repeat(np.flatnonzero(own), n)[order]
+        k, columns = k[order], [k[order].astype(np.uint32), h[line], np.minimum(words, 0xFFFF).astype(np.uint16)[line], place[order]]
         cut = np.searchsorted(k >> shift, np.arange((1 << part_bits) + 1).astype(U64))
         some = np.flatnonzero(np.diff(cut))
         yield pa.RecordBatch.from_arrays([pa.array(some)] + [pa.array([c[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()) for c in columns], names=["part", "low", "hs", "ns", "places"])
@@ -288,8 +290,11 @@ def _met(part_bits: int, similarity: float):
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))[: len(k)])
         size = np.diff(np.concatenate((first, [len(k)])))
         open_[np.repeat(size, size) > WIDE] = True
-        for step in range(1, min(WIDE, int(size.max(initial=1)))):
-            i = np.flatnonzero(k[step:] == k[:-step])
+        i, step = np.flatnonzero(np.repeat(size, size) <= WIDE), 0
+        while len(i):
+            step += 1
+            i = i[i + step < len(k)]
+            i = i[k[i] == k[i + step]]
             j = i + step
             near = near_places(n[i], n[j], place[i], place[j], similarity) & (star[i] != j) & (star[j] != i)
             open_[i[near]] = open_[j[near]] = True
@@ -448,6 +453,25 @@ def bag_distance(words: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.nd
     return np.abs(bins[at[: len(u)]] - bins[at[len(u) :]]).sum(1)
 
 
+def aligned(words: list[np.ndarray], u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For pairs of lines, the longer first: edits that make one the other, if words were changed in place and the
+    longer has its additional words at one place. The least number of edits is this at most."""
+    name, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    size = np.array([len(words[k]) for k in name])
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    flat = np.concatenate([words[k] for k in name])
+    a, b = at[: len(u)], at[len(u) :]
+    m, more = size[b], size[a] - size[b]
+    cut = np.concatenate(([0], np.cumsum(m)[:-1]))
+    step = np.arange(m.sum()) - np.repeat(cut, m)
+    y, i = flat[np.repeat(begin[b], m) + step], np.repeat(begin[a], m) + step
+    left, right = flat[i] != y, flat[i + np.repeat(more, m)] != y
+    # changed words before the additional ones, which stand behind any number of words, and after them
+    gain = np.concatenate(([0], np.cumsum(left.astype(np.int64) - right)))
+    least = np.minimum(0, np.minimum.reduceat(gain[1:], cut) - gain[cut])
+    return np.add.reduceat(right, cut, dtype=np.int64) + least + more
+
+
 def near_lines(words: list[np.ndarray], u: np.ndarray, v: np.ndarray, similarity: float) -> np.ndarray:
     """Whether each pair of lines is within its edits, by a band of the edit table for many pairs at a time."""
     n, m = (np.array([len(words[k]) for k in z], np.int64) for z in (u, v))
@@ -456,7 +480,10 @@ def near_lines(words: list[np.ndarray], u: np.ndarray, v: np.ndarray, similarity
     most = edits(n, similarity)
     out = np.zeros(len(u), bool)
     near = np.concatenate([bag_distance(words, u[i : i + CHECKED], v[i : i + CHECKED]) for i in range(0, len(u), CHECKED)] or [n]) + n - m <= 2 * most
-    order = np.flatnonzero(near)
+    some = np.flatnonzero(near & (m > 0))
+    for k in (some[i : i + CHECKED] for i in range(0, len(some), CHECKED)):
+        out[k] = aligned(words, u[k], v[k]) <= most[k]
+    order = np.flatnonzero(near & ~out)
     order = order[np.argsort(n[order], kind="stable")]
     i, sizes = 0, n[order]
     while i < len(order):
@@ -552,12 +579,13 @@ def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 6, simil
     kinds = "doc_id long, mark long, line long, h long, fuzzy boolean, n long, p0 long, p1 long, p2 long, p3 long, chunk long, counts binary"
     every = written(texts.mapInArrow(_all_lines(min_words, fuzzy_words, q), kinds), "line-table")
     lines = every.filter("chunk is null").select("doc_id", "mark", "line", "h")
-    # any occurrence stands for its class here
-    one = written(every.filter("fuzzy").select("h", "mark", "n", *PARITIES).dropDuplicates(["h"]), "line-classes")
     part_bits = max(KEY_BITS - 32, int(every.filter("fuzzy").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / PART_WORDS).bit_length())
     levels = spark.sparkContext.broadcast(_levels(every))
     dealt = texts.select("text").mapInArrow(_dealt(fuzzy_words, similarity, q, part_bits, levels), "part long, low binary, hs binary, ns binary, places binary")
     met = written(dealt.groupBy("part").applyInArrow(_met(part_bits, similarity), MET), "line-blocks")
+    # classes that meet another; any occurrence stands for its class here
+    seen = met.select(F.explode(F.array("u", "v")).alias("h")).filter("h is not null").distinct()
+    one = written(every.filter("fuzzy").select("h", "mark", "n", *PARITIES).join(seen, "h").dropDuplicates(["h"]), "line-classes")
     meta = one.select("h", "n", *PARITIES)
 
     def close(a: str, b: str):
@@ -604,7 +632,7 @@ def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 6, simil
         rows = rows.join(meta, "h").join(words_of(family.select("h")), "h").join(family.groupBy("family").agg(tiles), "family")
         rows = written(rows, "line-members")
         more = written(tiled(rows, "family").applyInArrow(_family_links(similarity), "u long, v long"), "line-links")
-        comp = components(links.unionByName(more))
+        comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
         drop_written(rows, more)
     drop_written(one, met, star, words, links, label, blocks, near)
     return lines, comp
@@ -622,7 +650,7 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     refuse_clash(columns, "n_lines", "n_dropped")
     lines, comp = line_groups(docs, **params)
     at = F.struct("doc_id", "mark", "line")
-    group = lines.join(comp, F.col("h") == F.col("node"), "left").select("doc_id", "mark", "line", F.coalesce("component", "h").alias("g"))
+    group = written(lines.join(comp, F.col("h") == F.col("node"), "left").select("doc_id", "mark", "line", F.coalesce("component", "h").alias("g")), "line-groups")
     # written, so that a hot group's join can be split
     first = written(group.groupBy("g").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("g", "first"), "line-first")
     dropped = group.join(first, "g").filter(~at.eqNullSafe(F.col("first"))).groupBy(F.col("mark").alias("_line_mark")).agg(F.collect_set("line").alias("_dropped_lines"))

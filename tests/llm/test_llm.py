@@ -518,6 +518,29 @@ def word_edits(a, b):
     return row[-1]
 
 
+def test_lines_changed_in_place_need_no_edit_table(monkeypatch):
+    r = random.Random(4)
+    words, pairs, edits = [], [], []
+    for n in range(20, 80):
+        a = [r.randrange(1 << 30) for _ in range(n)]
+        b = list(a)
+        for k in r.sample(range(n), n // 14):
+            b[k] = r.randrange(1 << 30)
+        gap, at = r.randint(0, 2), r.randrange(n)
+        b[at:at] = [r.randrange(1 << 30) for _ in range(gap)]
+        words += [np.array(x, np.uint32) for x in ((a, b) if n % 2 else (b, a))]
+        pairs.append((len(words) - 2, len(words) - 1))
+        edits.append((word_edits(a, b), max(len(a), len(b))))
+    u, v = np.array(pairs).T
+    ok = np.array([e <= linedup.edits(n, 0.85) for e, n in edits])
+    longer = [(i, j) if len(words[i]) >= len(words[j]) else (j, i) for i, j in pairs]
+    assert list(linedup.aligned(words, *np.array(longer).T)) == [e for e, _ in edits]
+    calls = []
+    monkeypatch.setattr(linedup, "_in_band", lambda a, b, n, m, most, band=linedup._in_band: (calls.append(len(a)), band(a, b, n, m, most))[1])
+    assert list(linedup.near_lines(words, u, v, 0.85)) == list(ok)
+    assert sum(calls) <= (~ok).sum()
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(12)
     lines = []
