@@ -44,8 +44,14 @@ FILTER_BITS = 25
 ANYWHERE = 0xFFFF
 #: stars of a block; lines of a block that are looked at two by two
 STARS, WIDE = 4, 64
-#: words of lines for each part of the keys, which one task sorts
-PART_WORDS = 2_000_000
+#: runs of lines for each part of the keys, which one task sorts
+PART_RUNS = 2_000_000
+#: a line as it travels with many others in one binary; bits of its hash that name its part; lines that are dealt at a time
+LINE = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("mark", "<i8"), ("line", "<i4"), ("h", "<i8"), ("n", "<i4"), ("parity", "<u8", 4)])
+LINE_BITS, DEALT = 8, 250_000
+#: likewise a line of a block that can be linked yet, with their number; and one that has its component, in a tile (a, b)
+OPEN = np.dtype([("h", "<i8"), ("key", "<i8"), ("place", "<u2"), ("size", "<i4")])
+MEMBER = np.dtype([("key", "<i8"), ("a", "<i4"), ("b", "<i4"), ("own", "<i4"), ("n", "<i4"), ("place", "<u2"), ("h", "<i8"), ("c", "<i8"), ("parity", "<u8", 4)])
 #: lines of one sort; of one tile of a block; of the tiles that one task compares
 LINES, TILE, PART_LINES = 1 << 17, 1 << 11, 20_000
 #: pairs that are verified at a time; bins of words as bags, and pairs that meet as bags at a time
@@ -78,22 +84,59 @@ def prefixes(n: np.ndarray, similarity: float, q: int) -> np.ndarray:
     return n - q + 2 - np.array([need[k : int(k / similarity) + 2].min() for k in own])[which]
 
 
+#: bytes of a text -> lower-cased ones of words, 0 for all else
+WORD_BYTE = np.where(vec.ALNUM[vec.LOWER], vec.LOWER, 0).astype(np.uint8).tobytes()
+#: the first k of eight bytes
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: longest word that is hashed eight bytes at a time
+LONG = 64
+
+
+def word_hash(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word of ``b``. No byte of a word is 0, so eight of them, filled up, tell words of up to eight apart."""
+    padded = np.concatenate((b, np.zeros(8, np.uint8)))
+    at = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = e - s
+    out = vec.mix((at[s] & HEAD[np.minimum(size, 8)]) + vec.STEP)
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < LONG:
+        x = at[s[more] + k] & HEAD[np.minimum(size[more] - k, 8)]
+        out[more] = vec.mix((out[more] ^ x) * vec.STEP)
+        k += 8
+        more = more[size[more] > k]
+    if len(more):
+        out[more] = vec.span_hash(b, s[more], e[more])
+    return out
+
+
 def lines_of(b: np.ndarray, offs: np.ndarray):
     """Of every line with a word: row, number in its row, hash, words; and the hashes of all words."""
-    b = vec.LOWER[b]
-    s, e, rows = vec.word_spans(b, offs, vec.ALNUM)
+    z = np.zeros(0, np.int64)
+    if not len(b):
+        return z, z, z.view(U64), z, z.view(U64)
+    breaks = np.flatnonzero(b == 10)
+    b = np.frombuffer(b.tobytes().translate(WORD_BYTE), np.uint8)
+    own = b > 0
+    edge = np.flatnonzero(own[1:] != own[:-1]) + 1
+    # words that meet where one row ends and the next begins
+    inner = np.unique(offs[(offs > 0) & (offs < len(b))])
+    meet = inner[own[inner - 1] & own[inner]]
+    edge = np.concatenate(([0] * int(own[0]), edge, [len(b)] * int(own[-1]))).astype(np.int64)
+    if len(meet):
+        edge = np.sort(np.concatenate((edge, meet, meet)))
+    s, e = edge[::2], edge[1::2]
     if not len(s):
-        z = np.zeros(0, np.int64)
         return z, z, z.view(U64), z, z.view(U64)
-    breaks = np.concatenate(([0], np.cumsum(b == 10)))
-    line = breaks[s]  # lines before it in the slice
-    number = line - breaks[offs[rows]]
-    first = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (rows[1:] != rows[:-1]))))
+    # a line begins with the first word of the slice, after a break, or of a row
+    first = np.unique(np.concatenate(([0], np.searchsorted(s, breaks), np.searchsorted(s, offs))))
+    first = first[first < len(s)]
+    rows = np.searchsorted(offs, s[first], "right") - 1
+    number = np.searchsorted(breaks, s[first]) - np.searchsorted(breaks, offs[rows])
     n = np.diff(np.concatenate((first, [len(s)])))
-    w = vec.span_hash(b, s, e)
+    w = word_hash(b, s, e)
     up, down = vec._powers(len(w))
     c = np.concatenate((np.zeros(1, U64), np.cumsum(w * up[: len(w)], dtype=U64)))
-    return rows[first], number[first], vec.mix((c[first + n] - c[first]) * down[first] + n.astype(U64)), n, w
+    return rows, number, vec.mix((c[first + n] - c[first]) * down[first] + n.astype(U64)), n, w
 
 
 def runs_of(w: np.ndarray, n: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,22 +166,27 @@ def shown_runs(w: np.ndarray, n: np.ndarray, similarity: float, q: int, levels:
     if same.any():
         # a run's repeats in its line are runs of their own: its first, its second ...
         place[np.concatenate((same, [False])) | np.concatenate(([False], same))] = ANYWHERE
-        at = np.arange(len(x))
-        nth = at - np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), at, 0))
-        key = np.where(nth > 0, vec.mix((x & KEY_MASK) + nth.astype(U64) * vec.STEP), x) & KEY_MASK
-        x = (x >> U64(KEY_BITS + LEVEL) << U64(KEY_BITS + LEVEL)) | (level(key) << U64(KEY_BITS)) | key
-        order = np.argsort(x)
-        x, place = x[order], place[order]
+        again = np.flatnonzero(same) + 1
+        start = np.flatnonzero(np.concatenate(([True], again[1:] != again[:-1] + 1)))
+        nth = np.arange(len(again)) - np.repeat(start, np.diff(np.append(start, len(again)))) + 1
+        key = vec.mix((x[again] & KEY_MASK) + nth.astype(U64) * vec.STEP) & KEY_MASK
+        line = x[again] >> U64(KEY_BITS + LEVEL)
+        x[again] = (line << U64(KEY_BITS + LEVEL)) | (level(key) << U64(KEY_BITS)) | key
+        # only their lines are sorted anew
+        moved = np.zeros(len(n), bool)
+        moved[line.astype(np.int64)] = True
+        moved = np.flatnonzero(np.repeat(moved, runs))
+        order = moved[np.argsort(x[moved])]
+        x[moved], place[moved] = x[order], place[order]
     shown = np.minimum(runs, prefixes(n, similarity, q))
     keep = np.arange(len(x)) - np.repeat(begin, runs) < np.repeat(shown, runs)
     return x[keep] & KEY_MASK, np.minimum(place[keep], ANYWHERE).astype(np.uint16), shown
 
 
-def near_places(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether lines of ``n`` and ``m`` words that hold a run at ``i`` and ``j`` can be linked with the run in place:
+def near_places(n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether lines of ``n`` and ``m`` words that hold a run at ``i`` and ``j`` can be linked by ``most`` edits with the run in place:
     the edits before it are as many as its shift at least, those after it as the shift of the lines' ends from it."""
     shift, ends = np.abs(i - j), np.abs((n - i) - (m - j))
-    most = edits(np.maximum(n, m), similarity)
     return (np.abs(n - m) <= most) & ((i == ANYWHERE) | (j == ANYWHERE) | (n >= ANYWHERE) | (m >= ANYWHERE) | (shift + ends <= most))
 
 
@@ -157,41 +205,134 @@ def pieces(raw: np.ndarray, offs: np.ndarray, limit: int = 1 << 19) -> Iterator[
             at, line = int(ends[k]), k + 1
 
 
+def _first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines by class, the first by (doc_id, mark, line) of each; and whether a line is its class's first. Repeated rows
+    hold one line."""
+    order = np.lexsort((rows["line"], rows["mark"], rows["doc_id"], rows["known"], rows["h"]))
+    rows = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows["h"][1:] != rows["h"][:-1]
+    again = np.zeros(len(rows), bool)
+    for c in ("known", "doc_id", "mark", "line"):
+        again[1:] |= rows[c][1:] != rows[c][:-1]
+    keep = new | again
+    return rows[keep], new[keep]
+
+
+def _by_mark(rows: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Marks and, for each, the numbers of its lines."""
+    rows = rows[np.argsort(rows["mark"], kind="stable")]
+    mark, cut = np.unique(rows["mark"], return_index=True)
+    return pa.array(mark), pa.ListArray.from_arrays(pa.array(np.append(cut, len(rows)).astype(np.int32)), pa.array(rows["line"]))
+
+
+def _table(kinds: dict[str, pa.DataType], **columns: pa.Array) -> pa.RecordBatch:
+    """Columns of one length; those of ``kinds`` that are not given are null."""
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[c].cast(t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()], names=list(kinds))
+
+
+EVERY = {"part": pa.int32(), "lines": pa.binary(), "mark": pa.int64(), "gone": pa.list_(pa.int32()), "chunk": pa.int64(), "counts": pa.binary()}
+
+
+def _part(h: np.ndarray) -> np.ndarray:
+    return (h.view(U64) >> U64(64 - LINE_BITS)).astype(np.int64)
+
+
+def _packed(rows: np.ndarray, part: np.ndarray | None = None) -> tuple[pa.Array, pa.Array]:
+    """Parts, and the rows (lines, or their hashes) of each as one binary."""
+    part = _part(np.ascontiguousarray(rows["h"] if rows.dtype.names else rows)) if part is None else part
+    order = np.argsort(part, kind="stable")
+    rows = rows[order]
+    some, cut = np.unique(part[order], return_index=True)
+    cut = np.append(cut, len(rows))
+    return pa.array(some), pa.array([rows[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+
+
 def _all_lines(min_words: int, fuzzy_words: int, q: int):
-    """Every line that takes part; then the counters of the task's runs, in rows of ``CHUNK``."""
+    """Every line that takes part, dealt by its hash. Of a class's lines in one task only the first does: the others can't
+    be the first of all and are listed by mark (gone). Then the counters of the task's runs, in rows of ``CHUNK``."""
+
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows, first = _first(np.concatenate(held))
+        part, lines = _packed(rows[first])
+        yield _table(EVERY, part=part, lines=lines)
+        if not first.all():
+            mark, gone = _by_mark(rows[~first])
+            yield _table(EVERY, mark=mark, gone=gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << LEVEL_BITS, np.int64)
+        held, size = [], 0
         for batch in batches:
             raw, offs = vec.buffers(batch.column("text"))
-            for b, o, i, j, line in pieces(raw, offs):
+            ids, marks = batch.column("doc_id"), batch.column("mark").to_numpy()
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            for b, o, i, _, line in pieces(raw, offs):
                 row, number, h, n, w = lines_of(b, o)
-                parity = [np.zeros(len(n), U64) for _ in PARITIES]
+                parity = np.zeros((len(n), 4), U64)
                 fuzzy = n >= fuzzy_words
                 if fuzzy.any():
                     x, m = w[np.repeat(fuzzy, n)], n[fuzzy]
                     cut = np.concatenate(([0], np.cumsum(m)[:-1]))
                     bit = U64(1) << ((x >> U64(56)) & U64(63))
-                    for k, out in enumerate(parity):
-                        out[fuzzy] = np.bitwise_xor.reduceat(np.where(x >> U64(62) == U64(k), bit, U64(0)), cut)
+                    for k in range(4):
+                        parity[fuzzy, k] = np.bitwise_xor.reduceat(np.where(x >> U64(62) == U64(k), bit, U64(0)), cut)
                     counts += np.bincount((runs_of(x, m, q)[0] >> U64(KEY_BITS - LEVEL_BITS)).astype(np.int64), minlength=len(counts))
                 ok = n >= min_words
-                take = pa.array(row[ok])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i).take(take), batch.column("mark").slice(i, j - i).take(take), pa.array(number[ok].astype(np.int64) + line), pa.array(h[ok].view(np.int64)), pa.array(fuzzy[ok]), pa.array(n[ok].astype(np.int64))]
-                    + [pa.array(p[ok].view(np.int64)) for p in parity] + [pa.nulls(int(ok.sum()), pa.int64()), pa.nulls(int(ok.sum()), pa.binary())],
-                    names=["doc_id", "mark", "line", "h", "fuzzy", "n", *PARITIES, "chunk", "counts"],
-                )
+                out = np.zeros(int(ok.sum()), LINE)
+                for c, v in (("known", known[row + i]), ("doc_id", ids[row + i]), ("mark", marks[row + i]), ("line", number + line), ("h", h.view(np.int64)), ("n", n), ("parity", parity)):
+                    out[c] = v[ok]
+                held.append(out)
+                size += len(out)
+                if size > DEALT:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
         if counts.any():
-            none = pa.nulls(len(counts) // CHUNK, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none] * 4 + [none.cast(pa.bool_())] + [none] * 5 + [pa.array(np.arange(len(none))), pa.array([x.tobytes() for x in counts.reshape(-1, CHUNK)], pa.binary())],
-                names=["doc_id", "mark", "line", "h", "fuzzy", "n", *PARITIES, "chunk", "counts"],
-            )
+            yield _table(EVERY, chunk=pa.array(np.arange(len(counts) // CHUNK)), counts=pa.array([x.tobytes() for x in counts.reshape(-1, CHUNK)], pa.binary()))
 
     return run
 
 
+def _rows(table: pa.Table, kind=LINE, column: str = "lines") -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x), kind)
+
+
+def _component(comp: pa.Table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each class is linked with another, and its component, itself if not."""
+    node, component = (comp.column(c).drop_null().to_numpy() for c in ("node", "component"))
+    if not len(node):
+        return np.zeros(len(h), bool), h
+    order = np.argsort(node)
+    at = np.minimum(np.searchsorted(node[order], h), len(node) - 1)
+    linked = node[order][at] == h
+    return linked, np.where(linked, component[order][at], h)
+
+
+def _classes(key: tuple[pa.Scalar, ...], seen: pa.Table, every: pa.Table) -> pa.Table:
+    """Of one part, the classes that are seen: any of their lines."""
+    h, rows = np.unique(_rows(seen, np.int64)), _rows(every)
+    rows = rows[np.isin(rows["h"], h)]
+    rows = rows[np.unique(rows["h"], return_index=True)[1]]
+    return pa.table({"h": rows["h"], "mark": rows["mark"], "n": rows["n"].astype(np.int64)} | {p: rows["parity"][:, k].view(np.int64) for k, p in enumerate(PARITIES)})
+
+
+GROUPS = {"mark": pa.int64(), "gone": pa.list_(pa.int32()), "g": pa.int64(), "doc_id": pa.int64(), "line": pa.int32()}
+
+
+def _groups(key: tuple[pa.Scalar, ...], every: pa.Table, comp: pa.Table) -> pa.Table:
+    """Of one part, lines that are not their class's first, by mark (gone); and the first of each class in a group (g)."""
+    rows, first = _first(_rows(every))
+    mark, gone = _by_mark(rows[~first])
+    rows = rows[first]
+    linked, g = _component(comp, rows["h"])
+    rows, g = rows[linked], g[linked]
+    own = _table(GROUPS, mark=pa.array(rows["mark"]), g=pa.array(g), doc_id=pa.array(rows["doc_id"], mask=rows["known"] == 0), line=pa.array(rows["line"]))
+    return pa.Table.from_batches([_table(GROUPS, mark=mark, gone=gone), own])
+
+
 def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -201,14 +342,14 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def _levels(every: DataFrame) -> np.ndarray:
-    """For each counter the bits of its sum over all tasks: 2 ** LEVEL_BITS bytes."""
+def _counted(every: DataFrame) -> np.ndarray:
+    """The counters' sums over all tasks."""
     part = every.filter("chunk is not null").select("chunk", "counts").mapInArrow(_add_chunks, "chunk long, counts binary")
     both = part.groupBy("chunk").applyInArrow(lambda table: pa.Table.from_batches(_add_chunks(iter(table.to_batches())), pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])), "chunk long, counts binary")
     counts = np.zeros((1 << LEVEL_BITS) // CHUNK * CHUNK, np.int64)
     for r in both.toArrow().to_pylist():
         counts[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return np.ceil(np.log2(counts + 1.0)).astype(np.uint8)
+    return counts
 
 
 def _dealt(fuzzy_words: int, similarity: float, q: int, part_bits: int, levels):
@@ -252,12 +393,12 @@ def _dealt(fuzzy_words: int, similarity: float, q: int, part_bits: int, levels):
     return run
 
 
-MET = "key long, place int, u long, v long"
+MET = {"u": pa.int64(), "v": pa.int64(), "part": pa.int32(), "lines": pa.binary(), "open": pa.binary(), "n_open": pa.int64()}
 
 
 def _met(part_bits: int, similarity: float):
     """Of one part's keys that several lines show: pairs (u, v) of ``STARS`` stars of each block, of lines that can be
-    linked; and (key, place, v) of the lines that can be linked with others yet."""
+    linked; the hashes of all that meet (lines) and the lines that can be linked with others yet (open), dealt as lines are."""
     top = KEY_BITS - part_bits
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -271,12 +412,13 @@ def _met(part_bits: int, similarity: float):
         # a line that tasks repeat shows its keys to each
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))[: len(k)]
         k, h, n, place = k[new], h[new], n[order][new].astype(np.int64), place[order][new].astype(np.int64)
+        most = edits(n, similarity)
         left, pairs, star = np.arange(len(k)), [], np.full(len(k), -1)
         for _ in range(STARS):
             first = np.flatnonzero(np.concatenate(([True], k[left][1:] != k[left][:-1]))[: len(left)])
             size = np.diff(np.concatenate((first, [len(left)])))
             pivot = np.repeat(left[first], size)
-            near = near_places(n[pivot], n[left], place[pivot], place[left], similarity) & (size.repeat(size) > 1)
+            near = near_places(n[pivot], n[left], place[pivot], place[left], np.maximum(most[pivot], most[left])) & (size.repeat(size) > 1)
             star[left[near]] = pivot[near]
             hit = near & (left != pivot)
             pairs.append(np.stack([h[pivot[hit]], h[left[hit]]]))
@@ -296,12 +438,16 @@ def _met(part_bits: int, similarity: float):
             i = i[i + step < len(k)]
             i = i[k[i] == k[i + step]]
             j = i + step
-            near = near_places(n[i], n[j], place[i], place[j], similarity) & (star[i] != j) & (star[j] != i)
+            near = near_places(n[i], n[j], place[i], place[j], np.maximum(most[i], most[j])) & (star[i] != j) & (star[j] != i)
             open_[i[near]] = open_[j[near]] = True
-        full = ((key[0].as_py() << top) & ~0xFFFFFFFF) | k[open_].astype(np.int64)
-        n_pairs, n_open = int(once.sum()), int(open_.sum())
-        none = pa.nulls(n_pairs, pa.int64())
-        return pa.table({"key": pa.concat_arrays([none, pa.array(full)]), "place": pa.concat_arrays([none.cast(pa.int32()), pa.array(place[open_].astype(np.int32))]), "u": pa.concat_arrays([pa.array(u[once]), pa.nulls(n_open, pa.int64())]), "v": np.concatenate((v[once], h[open_]))})
+        out = np.zeros(int(open_.sum()), OPEN)
+        out["h"], out["key"], out["place"] = h[open_], ((key[0].as_py() << top) & ~0xFFFFFFFF) | k[open_].astype(np.int64), place[open_]
+        out["size"] = np.repeat(np.diff(np.concatenate(([0], np.cumsum(open_)))[np.append(first, len(k))]), size)[open_]
+        part, lines = _packed(np.unique(np.concatenate((u[once], v[once], out["h"]))))
+        pairs, seen = _table(MET, u=pa.array(u[once]), v=pa.array(v[once])), _table(MET, part=part, lines=lines)
+        part, lines = _packed(out)
+        tiles = -(-out["size"].astype(np.int64) // TILE)
+        return pa.Table.from_batches([pairs, seen, _table(MET, part=part, open=lines), _table(MET, n_open=pa.array([int(tiles.sum())]))])
 
     return run
 
@@ -309,26 +455,48 @@ def _met(part_bits: int, similarity: float):
 def _near(x: dict[str, np.ndarray], block: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of lines of one block, in different components, that pass the filters. Lines stand by number of
     words in each block, so a line meets only those whose number allows a link. Tiles of one line meet others only."""
-    parity = np.stack([x[p].view(U64) for p in PARITIES], axis=1)
+    parity, most = np.stack([x[p].view(U64) for p in PARITIES], axis=1), edits(x["n"], similarity)
     i, step = np.arange(len(block)), 0
     while len(i):
         step += 1
         i = i[i + step < len(block)]
         j = i + step
         gap = x["n"][j] - x["n"][i]
-        near = (block[i] == block[j]) & (gap <= edits(x["n"][j], similarity))
+        near = (block[i] == block[j]) & (gap <= most[j])
         i, j, gap = i[near], j[near], gap[near]
         ok = (x["c"][i] != x["c"][j]) & ((x["a"][i] == x["b"][i]) | (x["own"][i] != x["own"][j]))
         if "place" in x:
-            ok &= near_places(x["n"][i], x["n"][j], x["place"][i], x["place"][j], similarity)
+            ok &= near_places(x["n"][i], x["n"][j], x["place"][i], x["place"][j], most[j])
         u, v = i[ok], j[ok]
-        ok = np.bitwise_count(parity[u] ^ parity[v]).sum(axis=1) + gap[ok] <= 2 * edits(x["n"][v], similarity)
+        ok = np.bitwise_count(parity[u] ^ parity[v]).sum(axis=1) + gap[ok] <= 2 * most[v]
         yield u[ok], v[ok]
 
 
-def _ordered(table: pa.Table, group: str, more: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _labelled(n_parts: int):
+    """Of one part of the lines, those of blocks that can be linked yet with their components, dealt to tiles of the blocks."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found, rows = _rows(table, OPEN, "open"), _rows(table)
+        rows = rows[np.unique(rows["h"], return_index=True)[1]]
+        at = np.searchsorted(rows["h"], found["h"])
+        out = np.zeros(len(found), MEMBER)
+        for c in ("key", "place", "h"):
+            out[c] = found[c]
+        out["c"], out["n"], out["parity"] = _component(table, found["h"])[1], rows["n"][at], rows["parity"][at]
+        tiles = -(-found["size"].astype(np.int64) // TILE)
+        out["own"] = (vec.mix(found["h"].astype(U64)) % tiles.astype(U64)).astype(np.int32)
+        other = np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
+        out = np.repeat(out, tiles)
+        out["a"], out["b"] = np.minimum(out["own"], other), np.maximum(out["own"], other)
+        part = (vec.mix(out["key"].astype(U64) ^ vec.mix(out["a"].astype(U64) << U64(32) | out["b"].astype(U64))) % U64(n_parts)).astype(np.int64)
+        part, members = _packed(out, part)
+        return pa.table({"part": part, "members": members})
+
+    return run
+
+
+def _ordered(x: dict[str, np.ndarray], group: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Columns, the order of the rows in them, and the tile of each: by group, tile and number of words."""
-    x = {c: table.column(c).to_numpy() for c in (group, "a", "b", "n", "h", "c", "own", *PARITIES, *more)}
     order = np.lexsort((x["n"], x["b"], x["a"], x[group]))
     x = {k: v[order] for k, v in x.items()}
     start = np.zeros(len(order), bool)
@@ -348,8 +516,14 @@ def _families(similarity: float):
     """Of tiles of blocks, pairs (u, v) that join the lines that may be linked: no more than there are lines."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x, _, block = _ordered(table, "key", ("place",))
-        x["place"] = x["place"].astype(np.int64)
+        rows = _rows(table, MEMBER, "members")
+        x = {c: rows[c].astype(np.int64) for c in ("key", "a", "b", "n", "h", "c", "own", "place")} | {p: rows["parity"][:, k] for k, p in enumerate(PARITIES)}
+        x, _, block = _ordered(x, "key")
+        # tiles whose members, but for the stars, span components
+        cut = np.flatnonzero(np.diff(block, prepend=0))
+        mixed = np.minimum.reduceat(x["c"], cut) < np.maximum.reduceat(x["c"], cut)
+        keep = np.repeat(mixed, np.diff(np.append(cut, len(block))))
+        x, block = {k: v[keep] for k, v in x.items()}, block[keep]
         name, at = np.unique(x["h"], return_inverse=True)
         root, found = np.arange(len(name)), []
         for u, v in _near(x, block, similarity):
@@ -372,7 +546,7 @@ def _family_links(similarity: float):
     """Of tiles of families, links (u, v) that join all that is linked: those between lines joined already are not sought."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        x, order, block = _ordered(table, "family", ())
+        x, order, block = _ordered({c: table.column(c).to_numpy() for c in ("family", "a", "b", "n", "h", "c", "own", *PARITIES)}, "family")
         raw = table.column("words").to_pylist()
         words = [np.frombuffer(raw[k], np.uint32) for k in order]
         root = np.unique(x["c"], return_inverse=True)[1]
@@ -557,9 +731,9 @@ def _remove(columns):
                 out, n, gone = [], [], []
                 for text, drop in zip(b.column("text").to_pylist(), b.column("_dropped_lines").to_pylist(), strict=True):
                     n.append(0 if text is None else text.count("\n") + 1)
-                    gone.append(len(drop or ()))
+                    drop = set(drop or ())
+                    gone.append(len(drop))
                     if drop:
-                        drop = set(drop)
                         text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
                     out.append(text)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in columns] + [pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
@@ -571,22 +745,26 @@ def _mark() -> F.Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def line_part(h: str) -> F.Column:
+    """The part of a class's lines."""
+    return F.shiftrightunsigned(h, 64 - LINE_BITS).cast("int").alias("part")
+
+
 def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 6, similarity: float = 0.85) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, mark, line, h) and, for lines tied by verified links, (node: h, component: group)."""
+    """Lines (part, lines, or mark, gone: not their class's first) and, for lines tied by verified links, (node: h, component: group)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), F.col("text").cast("string").alias("text")).filter("text is not null")
     q = gram_width(similarity, fuzzy_words)
-    kinds = "doc_id long, mark long, line long, h long, fuzzy boolean, n long, p0 long, p1 long, p2 long, p3 long, chunk long, counts binary"
-    every = written(texts.mapInArrow(_all_lines(min_words, fuzzy_words, q), kinds), "line-table")
-    lines = every.filter("chunk is null").select("doc_id", "mark", "line", "h")
-    part_bits = max(KEY_BITS - 32, int(every.filter("fuzzy").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / PART_WORDS).bit_length())
-    levels = spark.sparkContext.broadcast(_levels(every))
+    every = written(texts.mapInArrow(_all_lines(min_words, fuzzy_words, q), "part int, lines binary, mark long, gone array<int>, chunk long, counts binary"), "line-table")
+    lines = every.filter("part is not null").select("part", "lines")
+    counts = _counted(every)
+    part_bits = max(KEY_BITS - 32, int(counts.sum() / PART_RUNS).bit_length())
+    levels = spark.sparkContext.broadcast(np.ceil(np.log2(counts + 1.0)).astype(np.uint8))
     dealt = texts.select("text").mapInArrow(_dealt(fuzzy_words, similarity, q, part_bits, levels), "part long, low binary, hs binary, ns binary, places binary")
-    met = written(dealt.groupBy("part").applyInArrow(_met(part_bits, similarity), MET), "line-blocks")
+    met = written(dealt.groupBy("part").applyInArrow(_met(part_bits, similarity), "u long, v long, part int, lines binary, open binary, n_open long"), "line-blocks")
     # classes that meet another; any occurrence stands for its class here
-    seen = met.select(F.explode(F.array("u", "v")).alias("h")).filter("h is not null").distinct()
-    one = written(every.filter("fuzzy").select("h", "mark", "n", *PARITIES).join(seen, "h").dropDuplicates(["h"]), "line-classes")
-    meta = one.select("h", "n", *PARITIES)
+    seen = met.filter("lines is not null").select("part", "lines")
+    one = written(seen.groupBy("part").cogroup(lines.groupBy("part")).applyInArrow(_classes, "h long, mark long, n long, p0 long, p1 long, p2 long, p3 long"), "line-classes")
 
     def close(a: str, b: str):
         x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -597,45 +775,42 @@ def line_groups(docs: DataFrame, min_words: int = 5, fuzzy_words: int = 6, simil
         return (gap <= allowed) & (bits + gap <= 2 * allowed)
 
     def words_of(need: DataFrame) -> DataFrame:
-        """(h, words) of the lines named in ``need`` (h), read where they stand."""
-        need = written(one.select("h", "mark").join(need, "h"), "line-needed")
+        """(h, words) of the lines named in ``need`` (h, and mark of a text that has it), read where they stand."""
         with shuffles_end(spark):
             marks, hashes = (spark.sparkContext.broadcast(_filter_of(need, c)) for c in ("mark", "h"))
-        out = written(texts.select("mark", "text").mapInArrow(_words_of(marks, hashes), "h long, words binary").groupBy("h").agg(F.first("words").alias("words")), "line-words")
-        drop_written(need)
-        return out
+        return written(texts.select("mark", "text").mapInArrow(_words_of(marks, hashes), "h long, words binary").groupBy("h").agg(F.first("words").alias("words")), "line-words")
 
-    star = met.filter("key is null").select("u", "v").distinct()
-    star = written(star.join(meta.alias("x"), F.col("u") == F.col("x.h")).join(meta.alias("y"), F.col("v") == F.col("y.h")).filter(close("x", "y")).select("u", "v"), "line-stars")
-    words = words_of(star.select(F.explode(F.array("u", "v")).alias("h")).distinct())
+    star = met.filter("u is not null").select("u", "v").distinct()
+    star = star.join(one.alias("x"), F.col("u") == F.col("x.h")).join(one.alias("y"), F.col("v") == F.col("y.h")).filter(close("x", "y"))
+    star = written(star.select("u", "v", F.col("x.mark").alias("u_mark"), F.col("y.mark").alias("v_mark")), "line-stars")
+    words = words_of(star.select(F.explode(F.array(*(F.struct(F.col(c).alias("h"), F.col(f"{c}_mark").alias("mark")) for c in "uv"))).alias("x")).select("x.*"))
     side = lambda pair, own: words.select(F.col("h").alias(pair), F.col("words").alias(own))
-    links = written(star.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_linked(similarity), "u long, v long"), "line-links")
+    links = written(star.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_linked(similarity), "u long, v long"), "line-links")
     comp = components(links)
 
-    def tiled(rows: DataFrame, group: str) -> DataFrame:
-        """Rows with ``tiles`` dealt to pairs of tiles (a, b) of their group, and those to parts."""
-        n_parts = int(rows.agg(F.coalesce(F.sum("tiles"), F.lit(0))).first()[0] / PART_LINES) + 8
-        out = rows.withColumn("own", F.expr("pmod(xxhash64(h), tiles)")).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-        out = out.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "tiles")
-        return out.withColumn("part", F.pmod(F.xxhash64(group, "a", "b"), F.lit(n_parts))).groupBy("part")
-
     # blocks whose members, but for the stars, span components: lines that may be linked are joined to families
-    label = met.filter("key is not null").select("key", "place", F.col("v").alias("h")).join(comp, F.col("h") == F.col("node"), "left").select("key", "place", "h", F.coalesce("component", "h").alias("c"))
-    label = written(label, "line-labels")
-    tiles = F.ceil(F.count("*") / TILE).alias("tiles")
-    mixed = label.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), tiles).filter("c0 <> c1").select("key", "tiles")
-    blocks = written(label.join(mixed, "key").join(meta, "h"), "line-mixed")
-    near = written(tiled(blocks, "key").applyInArrow(_families(similarity), "u long, v long").distinct(), "line-families")
+    none = lambda **kinds: [F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
+    label = met.filter("open is not null").select("part", "open", *none(lines="binary", node="long", component="long"))
+    label = label.unionByName(lines.select("part", "lines", *none(open="binary", node="long", component="long")))
+    label = label.unionByName(comp.select(line_part("node"), "node", "component", *none(lines="binary", open="binary")))
+    n_parts = int(met.agg(F.coalesce(F.sum("n_open"), F.lit(0))).first()[0] / PART_LINES) + 8
+    blocks = written(label.groupBy("part").applyInArrow(_labelled(n_parts), "part long, members binary"), "line-mixed")
+    near = written(blocks.groupBy("part").applyInArrow(_families(similarity), "u long, v long").distinct(), "line-families")
     if not near.isEmpty():
         family = components(near).select(F.col("node").alias("h"), F.col("component").alias("family"))
         rows = family.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "family", F.coalesce("component", "h").alias("c"))
-        rows = rows.join(meta, "h").join(words_of(family.select("h")), "h").join(family.groupBy("family").agg(tiles), "family")
+        known = written(rows.join(one, "h"), "line-known")
+        rows = known.drop("mark").join(words_of(known.select("h", "mark")), "h").join(family.groupBy("family").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "family")
         rows = written(rows, "line-members")
-        more = written(tiled(rows, "family").applyInArrow(_family_links(similarity), "u long, v long"), "line-links")
+        # dealt to pairs of tiles (a, b) of their family, and those to parts
+        n_parts = int(rows.agg(F.sum("tiles")).first()[0] / PART_LINES) + 8
+        tiled = rows.withColumn("own", F.expr("pmod(xxhash64(h), tiles)")).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+        tiled = tiled.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "tiles")
+        more = written(tiled.groupBy(F.pmod(F.xxhash64("family", "a", "b"), F.lit(n_parts)).alias("part")).applyInArrow(_family_links(similarity), "u long, v long"), "line-links")
         comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-        drop_written(rows, more)
-    drop_written(one, met, star, words, links, label, blocks, near)
-    return lines, comp
+        drop_written(known, rows, more)
+    drop_written(one, met, star, words, links, blocks, near)
+    return every, comp
 
 
 def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), **params) -> DataFrame:
@@ -648,12 +823,19 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"),
     both keep the same lines. Null ids come first. An empty table gives no rows; other columns pass if named, but for n_lines and n_dropped.
     """
     refuse_clash(columns, "n_lines", "n_dropped")
-    lines, comp = line_groups(docs, **params)
+    every, comp = line_groups(docs, **params)
     at = F.struct("doc_id", "mark", "line")
-    group = written(lines.join(comp, F.col("h") == F.col("node"), "left").select("doc_id", "mark", "line", F.coalesce("component", "h").alias("g")), "line-groups")
+    comp = comp.select("node", "component", line_part("node"))
+    lines = every.filter("part is not null").select("part", "lines")
+    group = written(lines.groupBy("part").cogroup(comp.groupBy("part")).applyInArrow(_groups, "mark long, gone array<int>, g long, doc_id long, line int"), "line-groups")
+    linked = group.filter("g is not null").select("g", "doc_id", "mark", "line")
     # written, so that a hot group's join can be split
-    first = written(group.groupBy("g").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("g", "first"), "line-first")
-    dropped = group.join(first, "g").filter(~at.eqNullSafe(F.col("first"))).groupBy(F.col("mark").alias("_line_mark")).agg(F.collect_set("line").alias("_dropped_lines"))
+    first = written(linked.groupBy("g").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("g", "first"), "line-first")
+    gone = linked.join(first, "g").filter(~at.eqNullSafe(F.col("first"))).select("mark", F.array("line").alias("gone"))
+    for rows in (every, group):
+        gone = gone.unionByName(rows.filter("gone is not null").select("mark", "gone"))
+    dropped = gone.groupBy(F.col("mark").alias("_line_mark")).agg(F.flatten(F.collect_list("gone")).alias("_dropped_lines"))
     own = docs.select(*columns, _mark().alias("_line_mark"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
-    return own.join(dropped, "_line_mark", "left").select(*columns, "_dropped_lines").mapInArrow(_remove(columns), f"{kinds}, n_lines long, n_dropped long")
+    # a table of the dropped lines by mark, so that texts needn't be sorted
+    return own.join(dropped.hint("shuffle_hash"), "_line_mark", "left").select(*columns, "_dropped_lines").mapInArrow(_remove(columns), f"{kinds}, n_lines long, n_dropped long")

@@ -541,6 +541,42 @@ def test_lines_changed_in_place_need_no_edit_table(monkeypatch):
     assert sum(calls) <= (~ok).sum()
 
 
+def test_lines_travel_in_parts():
+    r = random.Random(8)
+    texts = ["\n".join(" ".join(r.choice(WORDS) for _ in range(r.randint(4, 12))) for _ in range(40)) for _ in range(100)]
+    texts += [texts[3], None, "one two three four five six\n\none two three four five six", texts[5]]
+    ids = [*range(100), 2, 101, None, 5]
+    marks = [hash((i, t)) for i, t in zip(ids, texts, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "mark", "text"])
+    out = pa.Table.from_batches(linedup._all_lines(5, 6, 3)(iter([batch])))
+    # a row for each part, each text with repeats and each chunk of the counters, not one for each line
+    assert out.num_rows <= (1 << linedup.LINE_BITS) + len(texts) + (1 << linedup.LEVEL_BITS) // linedup.CHUNK < 4000
+    at: dict[str, set] = {}
+    for i, m, t in zip(ids, marks, texts, strict=True):
+        for k, line in enumerate((t or "").split("\n")):
+            if len(line.split()) >= 5:
+                at.setdefault(line.lower(), set()).add((i is not None, i or 0, m, k))
+    rows = linedup._rows(out)
+    got = sorted((bool(x["known"]), int(x["doc_id"]), int(x["mark"]), int(x["line"]), int(x["n"])) for x in rows)
+    assert got == sorted((*min(v), len(line.split())) for line, v in at.items()) and len(set(rows["h"].tolist())) == len(at)
+    gone = {(m, k) for m, lines in zip(out["mark"].to_pylist(), out["gone"].to_pylist(), strict=True) for k in lines or ()}
+    assert gone == {x[2:] for v in at.values() for x in v - {min(v)}} and (marks[102], 2) in gone
+
+
+def test_lines_and_words_by_definition():
+    r = random.Random(9)
+    some = ["a", "B", "\u00e9", " ", "\n", "-", "z" * 9, "z" * 70, "0", "\0", "\r\n", "word", "WORD12345"]
+    for _ in range(300):
+        texts = ["".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(r.randint(0, 8))]
+        raw = "".join(texts).encode()
+        row, number, _, n, w = linedup.lines_of(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+        words = [(i, k, re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))) for i, t in enumerate(texts) for k, line in enumerate(t.split("\n"))]
+        words = [x for x in words if x[2]]
+        assert list(zip(row.tolist(), number.tolist(), n.tolist(), strict=True)) == [(i, k, len(x)) for i, k, x in words]
+        flat = [y for *_, x in words for y in x]
+        assert len(set(zip(flat, w.tolist(), strict=True))) == len(set(flat)) == len(set(w.tolist()))
+
+
 def test_lines_against_brute_force(spark):
     r = random.Random(12)
     lines = []
